@@ -5,15 +5,18 @@ from __future__ import annotations
 from quillmesh.llm.chat import OP2_SQL, op2_query
 from quillmesh.llm.decontaminate import OP3_SQL, op3_query
 from quillmesh.llm.ngram_join import OP8_SQL, op8_query
+from quillmesh.llm.repeats import OP10_SQL, op10_query
 
 QUERIES = {
     "op2_chat_formatting": op2_query,
     "op3_benchmark_decontamination": op3_query,
     "op8_ngram_jaccard_join": op8_query,
+    "op10_substring_dedup": op10_query,
 }
 
 ORACLES = {
     "op2_chat_formatting": OP2_SQL,
     "op3_benchmark_decontamination": OP3_SQL,
     "op8_ngram_jaccard_join": OP8_SQL,
+    "op10_substring_dedup": OP10_SQL,
 }
