@@ -8,7 +8,8 @@ n-grams, so a language's model has a proven bound of 16 MB; languages are scored
 max_languages, one broadcast for each, and a document only by its own language's block.
 
 Verdict: a language's band is its median log-perplexity over all documents, plus and minus `spread` median
-absolute deviations but at least `least` nats. Documents beyond either end are rejected.
+absolute deviations but at least `least` nats, and `short` / sqrt(characters in words) wider for the noise of
+short texts. Documents beyond either end are rejected.
 
 Cases: null texts count as empty; texts without words fail the base rules and have perplexity 0; a null
 language is a language of its own; repeated rows are counted and judged each; a language with a single
@@ -23,7 +24,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -240,7 +240,7 @@ def _score_rows(key: str, models, schema: pa.Schema):
 COLUMNS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
-def quality_rules(docs: DataFrame, spread: float = 8.0, least: float = 0.25, max_languages: int = 24) -> DataFrame:
+def quality_rules(docs: DataFrame, spread: float = 8.0, least: float = 0.3, short: float = 4.0, max_languages: int = 24) -> DataFrame:
     """(doc_id, lang, the base figures, log_perplexity, low, high, base_failed, kept)."""
     spark = docs.sparkSession
     ship_package(spark)
@@ -265,13 +265,15 @@ def quality_rules(docs: DataFrame, spread: float = 8.0, least: float = 0.25, max
         scored = part if scored is None else scored.union(part)
     scored = stage.put(scored, "scored")
     worded = scored.filter("n_words > 0")
-    middle = worded.groupBy("lang").agg(F.percentile_approx("log_perplexity", 0.5, 10000).alias("mid"))
-    off = worded.join(middle, worded["lang"].eqNullSafe(middle["lang"])).select(worded["lang"], "mid", F.abs(F.col("log_perplexity") - F.col("mid")).alias("off"))
+    middle = worded.groupBy(F.col("lang").alias("_lang")).agg(F.percentile_approx("log_perplexity", 0.5, 10000).alias("mid"))
+    off = worded.join(middle, F.col("lang").eqNullSafe(F.col("_lang"))).select("lang", "mid", F.abs(F.col("log_perplexity") - F.col("mid")).alias("off"))
     band = off.groupBy("lang", "mid").agg(F.percentile_approx("off", 0.5, 10000).alias("mad"))
     half = F.greatest(F.lit(float(least)), F.col("mad") * spread)
-    band = stage.put(band.select(F.col("lang").alias("_lang"), (F.col("mid") - half).alias("low"), (F.col("mid") + half).alias("high")), "bands")
+    band = stage.put(band.select(F.col("lang").alias("_lang"), F.col("mid"), half.alias("half")), "bands")
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    judged = scored.join(band, scored["lang"].eqNullSafe(band["_lang"]), "left").drop("_lang")
+    judged = scored.join(band, F.col("lang").eqNullSafe(F.col("_lang")), "left")
+    slack = F.col("half") + F.lit(float(short)) / F.sqrt(F.greatest("word_chars", F.lit(1)))
+    judged = judged.withColumns({"low": F.col("mid") - slack, "high": F.col("mid") + slack}).drop("_lang", "mid", "half")
     inside = F.coalesce(F.col("log_perplexity").between(F.col("low"), F.col("high")), F.lit(True))
     return judged.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & inside)
 
