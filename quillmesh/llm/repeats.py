@@ -36,6 +36,7 @@ MAX_CELLS = 1 << 30
 BLOCK = 1 << 20
 PLACE_BITS = 24
 FLUSH = 1 << 22
+MARKS = 1 << 21
 
 
 def window_anchors(words: np.ndarray, counts: np.ndarray, window: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -177,7 +178,7 @@ def _split_rows(window: int, anchor: int, bits: int, key: str, cells, schema: pa
 
 
 def _window_rows(window: int):
-    """The windows estimated repeated: (h, g, rid, place)."""
+    """The windows estimated repeated: (h, more of the hash above the place, rid)."""
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, bounds in text_groups(batches):
@@ -193,34 +194,53 @@ def _window_rows(window: int):
                     index.append(place[-1] + first[i])
                     own.append(np.full(b - a, rid[i]))
             at = np.concatenate(index)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(h[at].view(np.int64)), pa.array((g[at] >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(np.concatenate(own)), pa.array(np.concatenate(place).astype(np.int32))],
-                names=["h", "g", "rid", "place"],
-            )
+            more = (g[at] & ~np.uint64(0xFFFFFFFF)) | np.concatenate(place).astype(np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(h[at].view(np.int64)), pa.array(more.view(np.int64)), pa.array(np.concatenate(own))], names=["h", "more", "rid"])
 
     return windows
 
 
 def _met_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From windows sorted by hash: the places of those met twice or more."""
+    """From windows sorted by hash: the places of those met twice or more, gathered by text as far as MARKS go."""
     held, before = None, False
+    rids, places, size = [], [], 0
+
+    def emit() -> pa.RecordBatch:
+        rid, place = np.concatenate(rids), np.concatenate(places)
+        order = np.lexsort((place, rid))
+        rid, place = rid[order], place[order]
+        first = np.flatnonzero(np.concatenate([[True], rid[1:] != rid[:-1]]))
+        offsets = np.append(first, len(rid)).astype(np.int32) * 4
+        blobs = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(place.astype(np.int32))])
+        return pa.RecordBatch.from_arrays([pa.array(rid[first]), blobs], names=["rid", "places"])
+
+    def keep(cols, which) -> int:
+        rids.append(cols[2][which])
+        places.append(cols[1][which] & 0xFFFFFFFF)
+        return len(rids[-1])
+
     for batch in batches:
-        cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(4)]
+        cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(3)]
         if not len(cols[0]):
             continue
         if held is not None:
             cols = [np.concatenate([a, b]) for a, b in zip(held, cols, strict=True)]
-        same = (cols[0][1:] == cols[0][:-1]) & (cols[1][1:] == cols[1][:-1])
+        same = (cols[0][1:] == cols[0][:-1]) & (cols[1][1:] >> 32 == cols[1][:-1] >> 32)
         again = np.concatenate([[before], same])
-        keep = (again | np.concatenate([same, [False]]))[:-1]
-        yield pa.RecordBatch.from_arrays([pa.array(cols[2][:-1][keep]), pa.array(cols[3][:-1][keep])], names=["rid", "place"])
+        size += keep([c[:-1] for c in cols], (again | np.concatenate([same, [False]]))[:-1])
         held, before = [c[-1:].copy() for c in cols], bool(again[-1])
+        if size >= MARKS:
+            yield emit()
+            rids.clear(), places.clear()
+            size = 0
     if held is not None and before:
-        yield pa.RecordBatch.from_arrays([pa.array(held[2]), pa.array(held[3])], names=["rid", "place"])
+        size += keep(held, slice(None))
+    if size:
+        yield emit()
 
 
 def _cut_rows(window: int, schema: pa.Schema):
-    """From rows sorted by (rid, place), a text before its marks: the words that no marked window covers."""
+    """From rows sorted by (rid, mark), a text before its marks: the words that no marked window covers."""
 
     def finish(doc, places: list[np.ndarray]):
         doc_id, text = doc
@@ -240,17 +260,15 @@ def _cut_rows(window: int, schema: pa.Schema):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         doc, places = None, []
         for batch in batches:
-            place = batch.column(1).to_numpy()
-            heads = np.flatnonzero(place < 0)
-            done, at = [], 0
-            for k in heads:
-                if k > at:
-                    places.append(place[at:k])
+            heads = batch.column(1).to_pylist()
+            done = []
+            for k, mark in enumerate(heads):
+                if mark:
+                    places.append(np.frombuffer(batch.column(4)[k].as_py(), np.int32))
+                    continue
                 if doc is not None:
                     done.append(finish(doc, places))
-                doc, places, at = (batch.column(2)[k].as_py(), batch.column(3)[k].as_py()), [], k + 1
-            if at < len(place):
-                places.append(place[at:].copy())
+                doc, places = (batch.column(2)[k].as_py(), batch.column(3)[k].as_py()), []
             if done:
                 yield batch_of(done)
         if doc is not None:
@@ -270,12 +288,12 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     kind = "rid long, doc_id long, n_words long, kept string, text string, ranges binary"
     rows = stage.put(docs.mapInArrow(_split_rows(window, anchor, bits, uuid.uuid4().hex, cells, schema), kind), "rows")
     suspects = rows.filter("ranges is not null")
-    windows = suspects.select("rid", "text", "ranges").mapInArrow(_window_rows(window), "h long, g int, rid long, place int")
-    marks = windows.repartition("h").sortWithinPartitions("h", "g").mapInArrow(_met_again, "rid long, place int")
-    texts = suspects.select("rid", F.lit(-1).alias("place"), "doc_id", "text")
-    both = marks.select("rid", "place", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text")).union(texts)
+    windows = suspects.select("rid", "text", "ranges").mapInArrow(_window_rows(window), "h long, more long, rid long")
+    marks = windows.repartition("h").sortWithinPartitions("h", "more").mapInArrow(_met_again, "rid long, places binary")
+    texts = suspects.select("rid", F.lit(False).alias("mark"), "doc_id", "text", F.lit(None).cast("binary").alias("places"))
+    both = marks.select("rid", F.lit(True).alias("mark"), F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"), "places").union(texts)
     out = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())])
-    cut = both.repartition("rid").sortWithinPartitions("rid", "place").mapInArrow(_cut_rows(window, out), "doc_id long, n_words long, n_removed long, kept string")
+    cut = both.repartition("rid").sortWithinPartitions("rid", "mark").mapInArrow(_cut_rows(window, out), "doc_id long, n_words long, n_removed long, kept string")
     return rows.filter("ranges is null").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept").union(cut)
 
 
