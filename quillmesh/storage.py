@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -20,6 +21,12 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished plans now, not when the driver next happens to collect garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 class Stage:
     """A set of Parquet tables in the shared folder. Executors may be lost: written tables stay readable."""
 
@@ -31,6 +38,7 @@ class Stage:
         """Write df, and return it as read from the written table."""
         path = f"{self.root}/{name}"
         df.write.mode("overwrite").parquet(path)
+        release(self.spark)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
