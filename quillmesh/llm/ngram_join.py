@@ -14,7 +14,7 @@ the threshold share a run among the first n - ceil(0.8 n) + 1 of each.
    never formed, so a large group costs (sets outside its main component) x (its size) at most.
 5. Each remaining pair is verified once on whole sets, and components are taken over verified links.
 
-The suffix filter bounds the intersection by the sum of minima of both sets' counts in 16 hash ranges.
+The suffix filter bounds the intersection by the sum of minima of both sets' counts in 128 hash ranges.
 
 Cases: null or empty texts and texts without words have empty sets, link with nothing and are their own
 component; repeated rows, and rows that share a doc_id but not the text, are judged row by row; a row with a
@@ -40,7 +40,7 @@ from quillmesh.storage import Stage
 RUN = 5
 SKETCH_BITS = 20
 BLOCK_BITS = 15
-RANGES = 16
+RANGES = 128
 MEMBERS = 512
 
 
@@ -251,7 +251,7 @@ class NgramJoin:
         comp = self.stage.put(connected_components(comp.toDF("a", "b").union(more.select("a", "b")), "a", "b"), "components2")
         least = comp.join(self.reps.select("node", "rep"), "node").groupBy("component").agg(F.min("rep").alias("component_id"))
         self.components = self.stage.put(comp.join(least, "component").select("node", "component_id"), "components")
-        self.stage.drop("postings", "sets", "mixed")
+        self.stage.drop("postings", "sets_first", "sets_cross", "mixed")
 
     def _profiles(self) -> None:
         sketch = self.spark.sparkContext.broadcast(run_sketch(self.docs, self.run))
@@ -268,13 +268,10 @@ class NgramJoin:
         self.stage.drop("profiles")
 
     def _postings(self) -> None:
-        """Prefix runs that two or more nodes share, and the whole sets of these nodes."""
+        """Prefix runs that two or more nodes share."""
         rows = self.reps.select("node", "n", "prefix").mapInArrow(_posting_rows, "run long, node long, n int, pos int")
         dealt = rows.repartition("run").sortWithinPartitions("run", "n", "node")
         self.postings = self.stage.put(dealt.mapInArrow(_shared_rows, "run long, node long, n int, pos int, partner long"), "postings")
-        wanted = self.reps.join(self.postings.select("node").distinct(), "node", "left_semi").select("node", "low", "high", F.col("rep").alias("doc_id"))
-        texts = self.docs.join(wanted, "doc_id").select("node", "low", "high", "text")
-        self.sets = self.stage.put(texts.mapInArrow(_set_rows(self.run), "node long, hashes binary"), "sets")
 
     def _bounded(self, pairs: DataFrame) -> DataFrame:
         """Length and suffix filters, on pairs (a, b)."""
@@ -311,10 +308,14 @@ class NgramJoin:
     def _verified(self, pairs: DataFrame, name: str) -> DataFrame:
         """The pairs that reach the threshold; centres with many partners are dealt to several groups."""
         pairs = self.stage.put(pairs, f"pairs_{name}")
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        wanted = self.reps.join(wanted, "node", "left_semi").select("node", "low", "high", F.col("rep").alias("doc_id"))
+        texts = self.docs.join(wanted, "doc_id").select("node", "low", "high", "text")
+        sets = self.stage.put(texts.mapInArrow(_set_rows(self.run), "node long, hashes binary"), f"sets_{name}")
         salts = pairs.groupBy("a").agg(F.ceil(F.count("*") / F.lit(MEMBERS)).cast("int").alias("salts"))
         member = pairs.join(salts, "a").select("a", F.expr("pmod(xxhash64(b), salts)").cast("int").alias("salt"), F.col("b").alias("node"), F.lit(False).alias("leads"))
         centre = salts.select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("a").alias("node"), F.lit(True).alias("leads"))
-        rows = member.union(centre).join(self.sets, "node").select("a", "salt", "node", "leads", "hashes")
+        rows = member.union(centre).join(sets, "node").select("a", "salt", "node", "leads", "hashes")
         dealt = rows.repartition("a", "salt").sortWithinPartitions("a", "salt", F.desc("leads"), "node")
         return dealt.mapInArrow(_verify_rows(self.percent), "a long, b long, both long, either long")
 
