@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,10 +38,11 @@ from quillmesh.storage import Stage
 MAGIC = b"QWM1"
 STEP = 512
 SHARD_TOKENS = 1 << 20
-KEPT_WORDS = 800_000
+KEPT_WORDS = 1_500_000
 END_ID = 0
 
-ODD_SPACE = re.compile(r"[^\S \n]|[ \n][ \n]|\A[ \n]|[ \n]\Z|<\|")
+#: Where these stand, or any other white space, blanks don't split alike whatever stands around them; the last begins special tokens.
+ODD = ("  ", "\n\n", " \n", "\n ", "<|")
 WORD_TAIL = re.compile(r"(.*?)([!-&(-/:-@\[-`{-~]*)", re.DOTALL)
 
 
@@ -55,6 +57,10 @@ def _byte_letters() -> dict[int, str]:
 LETTERS = {b: c for b, c in _byte_letters().items()}
 
 
+class _OddSpace(Exception):
+    pass
+
+
 class _Words(dict):
     """Ids of words as bytes; made when first met."""
 
@@ -84,15 +90,20 @@ class Encoder:
 
     def _piece(self, text: str) -> bytes:
         """Ids of a text that is one piece for the tokenizer."""
-        spelled = "".join([LETTERS[b] for b in text.encode()])
-        return np.array([t.id for t in self.model.tokenize(spelled)], "<u4").tobytes()
+        spelled = text.replace(" ", LETTERS[32]) if text.isascii() else "".join([LETTERS[b] for b in text.encode()])
+        ids = [t.id for t in self.model.tokenize(spelled)]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def word(self, lead: str, word: str) -> bytes:
+        if not word:
+            return self.whole(lead)
+        if word.split() != [word]:
+            raise _OddSpace
         body, tail = WORD_TAIL.fullmatch(word).groups()
         if body and not body.isalpha():
             return self.whole(lead + word)
         if not body:
-            return self._piece(lead + tail) if tail else self.whole(lead + word)
+            return self._piece(lead + tail)
         if not tail:
             return self._piece(lead + body)
         known = self.after if lead else self.first
@@ -102,12 +113,15 @@ class Encoder:
         """Little-endian unsigned 32-bit ids of a text."""
         if not text:
             return b""
-        if ODD_SPACE.search(text):
+        if any(x in text for x in ODD):
             return self.whole(text)
         out = []
-        for line in text.split("\n"):
-            words = line.split(" ")
-            out.append(self.first[words[0]] + b"".join(map(self.after.__getitem__, words[1:])))
+        try:
+            for line in text.split("\n"):
+                words = line.split(" ")
+                out.append(self.first[words[0]] + b"".join(map(self.after.__getitem__, words[1:])))
+        except _OddSpace:
+            return self.whole(text)
         return self.line_end.join(out)
 
 
@@ -123,13 +137,16 @@ def encoder(path: str) -> Encoder:
 def build_image(ids: np.ndarray, ends: np.ndarray) -> bytes:
     """The file image of a shard: ids of its documents one after another, and where each document ends."""
     width = max(1, int(ids.max()).bit_length()) if len(ids) else 1
-    planes, cur = [], ids.astype(np.uint32)
+    kind = np.uint16 if width <= 16 else np.uint32
+    planes, cur = [], ids.astype(kind)
     for bit in range(width - 1, -1, -1):
-        ones = (cur >> np.uint32(bit)) & 1 == 1
+        ones = (cur & kind(1 << bit)).astype(bool)
         planes.append(np.packbits(ones, bitorder="little").tobytes())
-        cur = np.concatenate([cur[~ones], cur[ones]])
+        if bit:
+            cur = np.concatenate([cur[~ones], cur[ones]])
+    pack = zstandard.ZstdCompressor(level=1).compress
     head = MAGIC + struct.pack("<QII", len(ids), len(ends), width)
-    blobs = [zlib.compress(np.asarray(ends, "<u8").tobytes(), 1), *[zlib.compress(p, 1) for p in planes]]
+    blobs = [pack(np.asarray(ends, "<u8").tobytes()), *map(pack, planes)]
     return head + struct.pack(f"<{len(blobs)}Q", *map(len, blobs)) + b"".join(blobs)
 
 
@@ -143,7 +160,7 @@ class WaveletMatrix:
         sizes = struct.unpack_from(f"<{self.width + 1}Q", image, 20)
         at, blobs = 20 + 8 * (self.width + 1), []
         for size in sizes:
-            blobs.append(zlib.decompress(image[at : at + size]))
+            blobs.append(zstandard.ZstdDecompressor().decompress(image[at : at + size]))
             at += size
         self.ends = np.frombuffer(blobs[0], "<u8").astype(np.int64)
         self.planes = [np.frombuffer(b, np.uint8) for b in blobs[1:]]
@@ -154,15 +171,17 @@ class WaveletMatrix:
 
     def tokens(self) -> np.ndarray:
         """All ids in order."""
-        out = np.zeros(self.n, np.uint32)
+        kind = np.uint16 if self.width <= 16 else np.uint32
+        out = np.zeros(self.n, kind)
         for bit, plane in enumerate(reversed(self.planes)):
             ones = self._bits(plane)
-            below = out
-            out = np.empty(self.n, np.uint32)
-            zeros = self.n - int(np.count_nonzero(ones))
-            out[~ones] = below[:zeros]
-            out[ones] = below[zeros:] | np.uint32(1 << bit)
-        return out
+            if bit:
+                below, out = out, np.empty(self.n, kind)
+                zeros = self.n - int(np.count_nonzero(ones))
+                out[~ones] = below[:zeros]
+                out[ones] = below[zeros:]
+            out |= ones.astype(kind) << kind(bit)
+        return out.astype(np.uint32)
 
     def _index(self) -> None:
         if self.sums is None:
