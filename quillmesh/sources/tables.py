@@ -1,0 +1,128 @@
+"""Sources and sinks: text tables with explicit schemas, stage tables, JSON documents, review tables."""
+
+from __future__ import annotations
+
+import re
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from quillmesh.functions.text import na_to_null
+from quillmesh.operators.linkage import review_state
+
+BOM = b"\xef\xbb\xbf"
+
+
+def detect_encoding(spark: SparkSession, path: str, sample: int = 10_000) -> str:
+    """The encoding of a file's first bytes: UTF-8 if they decode, else Windows-1252; read through Spark."""
+    row = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, sample).alias("head")).first()
+    head = bytes(row.head) if row else b""
+    for name, codec in (("UTF-8", "utf-8"), ("windows-1252", "cp1252")):
+        try:
+            head[: len(head) - 3 if len(head) == sample else None].decode(codec)
+            return name
+        except UnicodeDecodeError:
+            continue
+    return "ISO-8859-1"
+
+
+def read_csv(spark: SparkSession, path: str, columns: list[str], encoding: str = "UTF-8", na: bool = True) -> DataFrame:
+    """A CSV table as texts, with quotes over line ends; missing-value texts become null. Types come later by casts."""
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
+    df = spark.read.schema(schema).option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').option("encoding", encoding).option("mode", "PERMISSIVE").csv(path)
+    return df.select(*[na_to_null(F.col(f"`{c}`")).alias(c) for c in columns]) if na else df
+
+
+def csv_columns(spark: SparkSession, path: str, encoding: str = "UTF-8") -> list[str]:
+    """Column names of a CSV file's header line."""
+    return spark.read.option("header", True).option("multiLine", True).option("encoding", encoding).csv(path).columns
+
+
+def write_csv(df: DataFrame, path: str, bom: bool = False) -> None:
+    """A CSV table without an index. With bom, the first column's name carries the mark of UTF-8 in each part."""
+    if bom:
+        df = df.withColumnRenamed(df.columns[0], BOM.decode() + df.columns[0])
+    df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+
+
+def read_parquet(spark: SparkSession, path: str, required: tuple[str, ...] = ()) -> DataFrame:
+    df = spark.read.parquet(path)
+    require_columns(df, required)
+    return df
+
+
+def write_parquet(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> None:
+    writer = df.write.mode("overwrite").option("compression", "snappy")
+    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+
+
+def write_json(df: DataFrame, path: str) -> None:
+    """One object a line, with its nulls."""
+    df.write.mode("overwrite").option("ignoreNullFields", False).json(path)
+
+
+def read_json(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    reader = spark.read.option("multiLine", schema is None)
+    return (reader.schema(schema) if schema else reader).json(path)
+
+
+def require_columns(df: DataFrame, required: tuple[str, ...]) -> None:
+    if missing := [c for c in required if c not in df.columns]:
+        raise ValueError(f"missing columns: {', '.join(missing)}")
+
+
+def require_rows(df: DataFrame, expected: int) -> DataFrame:
+    if (n := df.count()) != expected:
+        raise ValueError(f"{n} rows where {expected} are expected")
+    return df
+
+
+def aligned(a: DataFrame, b: DataFrame, key: str = "record_id") -> bool:
+    """Whether two tables hold the same keys."""
+    return a.select(key).exceptAll(b.select(key)).isEmpty() and b.select(key).exceptAll(a.select(key)).isEmpty()
+
+
+def write_review(pairs: DataFrame, path: str) -> None:
+    """The review table with its row states, as CSV; styling of sheets is left to the reader's program."""
+    write_csv(pairs.withColumn("state", review_state(F.col("criterion"), F.col("decision"))), path)
+
+
+def read_review(spark: SparkSession, path: str) -> DataFrame:
+    df = read_csv(spark, path, csv_columns(spark, path))
+    return df.withColumns({"id_a": F.col("id_a").cast("long"), "id_b": F.col("id_b").cast("long")})
+
+
+def schema_dictionary(schema: T.DataType, prefix: str = "") -> list[tuple[str, str]]:
+    """(path, type) rows of a nested schema; arrays are marked []."""
+    if isinstance(schema, T.ArrayType):
+        return schema_dictionary(schema.elementType, f"{prefix}[]") or [(f"{prefix}[]", schema.elementType.simpleString())]
+    if isinstance(schema, T.StructType):
+        out = []
+        for f in schema.fields:
+            path = f"{prefix}.{f.name}" if prefix else f.name
+            out += schema_dictionary(f.dataType, path) or [(path, f.dataType.simpleString())]
+        return out
+    return [(prefix, schema.simpleString())] if prefix else []
+
+
+def source_alias(name: str, aliases: dict[str, str]) -> str:
+    """A source's name by any of its spellings, whatever their case and blanks."""
+    key = re.sub(r"\s+", " ", name).strip().lower()
+    known = {k.lower(): v for k, v in aliases.items()} | {v.lower(): v for v in aliases.values()}
+    if key not in known:
+        raise ValueError(f"unknown source {name!r}")
+    return known[key]
+
+
+def fetch_rows(df: DataFrame, lo: int, hi: int, key: str = "record_id") -> DataFrame:
+    """Rows by a stored position, with a check of the range."""
+    if lo < 0 or hi < lo:
+        raise ValueError(f"no such range: {lo} to {hi}")
+    return df.filter(F.col(key).between(lo, hi))
+
+
+def lookup_must_hit(df: DataFrame, table: DataFrame, key: str, value: str) -> DataFrame:
+    """A left lookup that fails the job where a key is absent."""
+    got = df.join(table.select(key, F.col(value).alias("_v")), key, "left")
+    return got.withColumn(value, F.coalesce("_v", F.raise_error(F.concat(F.lit("no entry for "), F.col(key).cast("string"))))).drop("_v")
