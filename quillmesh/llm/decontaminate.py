@@ -75,6 +75,8 @@ class Scanner:
 
     def scan(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
         """Merged word ranges that hits cover, and the items that own them."""
+        if not self.lengths:
+            return [], set()
         ids = tuple(map(self.vocabulary.get, words, repeat(0)))
         ranges: list[tuple[int, int]] = []
         items: set[str] = set()
