@@ -2,8 +2,9 @@
 
 A text's set is its distinct runs of five words (A-Z lower-cased; a shorter text is one run), as 64-bit
 hashes. Runs are ordered rare first by a merged sketch of their counts, then by hash: any order common to
-all sets keeps prefix filtering lossless, so the sketch's fixed size bounds only speed. Two sets that reach
-the threshold share a run among the first n - ceil(0.8 n) + 1 of each.
+all sets keeps prefix filtering lossless, so the sketch's size (by the input, up to max_cells / 2 bytes) bounds
+only speed. Two sets that reach the threshold share a run among the first n - ceil(0.8 n) + 1 of each; runs that
+the sketch, which never estimates too low, shows in one text only are not dealt.
 
 1. Equal sets are one node; only nodes go on, so copies never meet pair by pair.
 2. Prefix runs are dealt by run and sorted; a run met once is dropped, in streams of constant memory.
@@ -14,7 +15,7 @@ the threshold share a run among the first n - ceil(0.8 n) + 1 of each.
    never formed, so a large group costs (sets outside its main component) x (its size) at most.
 5. Each remaining pair is verified once on whole sets, and components are taken over verified links.
 
-The suffix filter bounds the intersection by the sum of minima of both sets' counts in 128 hash ranges.
+The suffix filter bounds the sets' difference from below by that of their counts (up to 127) in 128 hash ranges.
 
 Cases: null or empty texts and texts without words have empty sets, link with nothing and are their own
 component; repeated rows, and rows that share a doc_id but not the text, are judged row by row; a row with a
@@ -29,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmesh.llm.tokens import VALUES_LOWER, gram_hashes, grams_inside, text_groups, word_bounds, word_hashes
@@ -38,8 +39,11 @@ from quillmesh.session import ship_package
 from quillmesh.storage import Stage
 
 RUN = 5
-SKETCH_BITS = 20
-BLOCK_BITS = 15
+MAX_CELLS = 1 << 28
+BLOCK = 1 << 20
+FLUSH = 1 << 22
+#: Least counts of the sketch's codes 1 to 15; code 1 is a single text's run for certain.
+STEPS = np.array([1, 2, 3, 4, 5, 6, 8, 12, 18, 32, 64, 128, 512, 2048, 16384])
 RANGES = 128
 MEMBERS = 512
 
@@ -64,56 +68,79 @@ def text_sets(batches: Iterator[pa.RecordBatch], run: int) -> Iterator[tuple[pa.
         yield rows, sets
 
 
-def _cells(sets: list[np.ndarray]) -> np.ndarray:
-    cells = np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS)
-    return np.bincount(cells.astype(np.int64), minlength=1 << SKETCH_BITS).astype(np.uint32)
+def _sketch_rows(run: int, bits: int):
+    """The cells of each task's runs, as one row a block of cells."""
+    size = min(BLOCK, 1 << bits)
 
-
-def _sketch_rows(run: int):
-    """Each task's run counts by sketch cell, as one row a block of cells."""
+    def emit(held: list[np.ndarray]) -> pa.RecordBatch:
+        cells = np.sort(np.concatenate(held) >> np.uint64(64 - bits))
+        cuts = np.searchsorted(cells, np.arange((1 << bits) // size + 1, dtype=np.uint64) * np.uint64(size))
+        full = np.flatnonzero(np.diff(cuts))
+        blobs = [(cells[cuts[b] : cuts[b + 1]] % np.uint64(size)).astype(np.uint32).tobytes() for b in full]
+        return pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(blobs, pa.binary())], names=["block", "cells"])
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << SKETCH_BITS, np.uint32)
-        held, size = [], 0
+        held, n = [], 0
         for _, sets in text_sets(batches, run):
             held += sets
-            size += sum(map(len, sets))
-            if size >= 1 << SKETCH_BITS:
-                counts += _cells(held)
-                held, size = [], 0
-        if size:
-            counts += _cells(held)
-        for block, part in enumerate(counts.reshape(-1, 1 << BLOCK_BITS)):
-            if part.any():
-                yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int32()), "counts": pa.array([part.tobytes()], pa.binary())})
+            n += sum(map(len, sets))
+            if n >= FLUSH:
+                yield emit(held)
+                held, n = [], 0
+        if n:
+            yield emit(held)
 
     return sketch
 
 
-def _merge_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sums: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for block, counts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            part = np.frombuffer(counts.as_buffer(), np.uint32)
-            sums[block] = np.minimum(sums.get(block, np.uint64(0)) + part.astype(np.uint64), 0xFFFFFFFF)
-    for block, part in sums.items():
-        yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int32()), "counts": pa.array([part.astype(np.uint32).tobytes()], pa.binary())})
-
-
-def run_sketch(docs: DataFrame, run: int) -> np.ndarray:
-    """Counts of all texts' distinct runs by the leading bits of their hash: 2^20 cells at any input size."""
-    parts = docs.select("text").mapInArrow(_sketch_rows(run), "block int, counts binary")
-    merged = parts.repartition(16, "block").mapInArrow(_merge_rows, "block int, counts binary")
-    out = np.zeros(1 << SKETCH_BITS, np.uint32)
+def _merge_rows(size: int):
+    """Sums of blocks of cells, as 4-bit codes of the counts' magnitude."""
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, cells in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                own = sums.setdefault(block, np.zeros(size, np.uint32))
+                cell, n = np.unique(np.frombuffer(cells.as_buffer(), np.uint32), return_counts=True)
+                own[cell] += n.astype(np.uint32)
+        for block, counts in sums.items():
+            codes = np.searchsorted(STEPS, counts, side="right").astype(np.uint8)
+            packed = codes[0::2] | (codes[1::2] << np.uint8(4))
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([packed.tobytes()], pa.binary())], names=["block", "codes"])
+
+    return merge
+
+
+def sketch_bits(docs: DataFrame, max_cells: int) -> int:
+    """Cells for an input of this size: about one for two runs, a power of two."""
+    try:
+        size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    except Exception:  # no estimate: the largest sketch is right at any size
+        size = max_cells
+    return int(min(max(size * 0.13, 1 << 12), max_cells) - 1).bit_length()
+
+
+def run_sketch(docs: DataFrame, run: int, bits: int) -> np.ndarray:
+    """Codes of all texts' distinct runs' counts, by the leading bits of their hash."""
+    size = min(BLOCK, 1 << bits)
+    blocks = (1 << bits) // size
+    parts = docs.select("text").mapInArrow(_sketch_rows(run, bits), "block int, cells binary")
+    merged = parts.repartition(max(16, blocks // 16), "block").mapInArrow(_merge_rows(size), "block int, codes binary")
+    out = np.zeros((blocks, size // 2), np.uint8)
     for row in merged.toLocalIterator():
-        out[row.block << BLOCK_BITS : (row.block + 1) << BLOCK_BITS] = np.frombuffer(row.counts, np.uint32)
-    return out
+        out[row.block] = np.frombuffer(row.codes, np.uint8)
+    return out.ravel()
+
+
+def codes_of(sketch: np.ndarray, hashes: np.ndarray, bits: int) -> np.ndarray:
+    cell = hashes >> np.uint64(64 - bits)
+    return (sketch[cell >> np.uint64(1)] >> ((cell & np.uint64(1)) << np.uint64(2)).astype(np.uint8)) & 15
 
 
 _SKETCH: dict[str, np.ndarray] = {}
 
 
-def _profile_rows(run: int, percent: int, key: str, sketch, schema: pa.Schema):
+def _profile_rows(run: int, percent: int, bits: int, key: str, sketch, schema: pa.Schema):
     """Of each text: class fingerprint, set size, prefix runs rare first, counts by hash range."""
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,15 +155,18 @@ def _profile_rows(run: int, percent: int, key: str, sketch, schema: pa.Schema):
                 if len(s):
                     # n - ceil(percent / 100 * n) + 1 runs, rare first
                     keep = len(s) - (percent * len(s) + 99) // 100 + 1
-                    order = np.lexsort((s, counts[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]))[:keep]
-                    prefix.append(s[order].tobytes())
-                    ranges.append(np.bincount((s & np.uint64(RANGES - 1)).astype(np.int64), minlength=RANGES).tolist())
+                    code = codes_of(counts, s, bits)
+                    order = np.lexsort((s, code))[:keep]
+                    # runs of a single text meet nothing, and keep their places only
+                    alone = int(np.count_nonzero(code[order] == 1))
+                    prefix.append(np.uint64(alone).tobytes() + s[order[alone:]].tobytes())
+                    ranges.append(np.minimum(np.bincount((s & np.uint64(RANGES - 1)).astype(np.int64), minlength=RANGES), 127).astype(np.int8))
                     for out, v in zip((low, high), fingerprint(s), strict=True):
                         out.append(v)
                 else:
                     prefix.append(None), ranges.append(None), low.append(None), high.append(None)
             yield pa.RecordBatch.from_arrays(
-                [rows.column(0), pa.array(n), pa.array(low, pa.int64()), pa.array(high, pa.int64()), pa.array(prefix, pa.binary()), pa.array(ranges, pa.list_(pa.int32()))],
+                [rows.column(0), pa.array(n), pa.array(low, pa.int64()), pa.array(high, pa.int64()), pa.array(prefix, pa.binary()), pa.array(ranges, pa.list_(pa.int8()))],
                 schema=schema,
             )
 
@@ -148,8 +178,10 @@ def _posting_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         node, n, prefix = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2)
         for i in range(0, len(node), 512):
             parts = [np.frombuffer(p.as_buffer(), np.int64) for p in prefix[i : i + 512]]
+            skipped = np.array([p[0] for p in parts])
+            parts = [p[1:] for p in parts]
             sizes = np.array([len(p) for p in parts])
-            pos = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            pos = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes - skipped, sizes)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.concatenate(parts)), pa.array(np.repeat(node[i : i + 512], sizes)), pa.array(np.repeat(n[i : i + 512], sizes).astype(np.int32)), pa.array(pos.astype(np.int32))],
                 names=["run", "node", "n", "pos"],
@@ -237,8 +269,8 @@ class NgramJoin:
     connected. components: (node, component_id), the least doc_id reachable, for nodes that have links.
     """
 
-    def __init__(self, docs: DataFrame, run: int = RUN, percent: int = 80):
-        self.spark, self.run, self.percent = docs.sparkSession, run, percent
+    def __init__(self, docs: DataFrame, run: int = RUN, percent: int = 80, max_cells: int = MAX_CELLS):
+        self.spark, self.run, self.percent, self.max_cells = docs.sparkSession, run, percent, max_cells
         ship_package(self.spark)
         self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
         self.stage = Stage(self.spark, "ngram_join")
@@ -254,10 +286,11 @@ class NgramJoin:
         self.stage.drop("postings", "sets_first", "sets_cross", "mixed")
 
     def _profiles(self) -> None:
-        sketch = self.spark.sparkContext.broadcast(run_sketch(self.docs, self.run))
-        kind = "doc_id long, n long, low long, high long, prefix binary, ranges array<int>"
-        schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("low", pa.int64()), ("high", pa.int64()), ("prefix", pa.binary()), ("ranges", pa.list_(pa.int32()))])
-        rows = self.docs.mapInArrow(_profile_rows(self.run, self.percent, uuid.uuid4().hex, sketch, schema), kind)
+        bits = sketch_bits(self.docs, self.max_cells)
+        sketch = self.spark.sparkContext.broadcast(run_sketch(self.docs, self.run, bits))
+        kind = "doc_id long, n long, low long, high long, prefix binary, ranges array<tinyint>"
+        schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("low", pa.int64()), ("high", pa.int64()), ("prefix", pa.binary()), ("ranges", pa.list_(pa.int8()))])
+        rows = self.docs.mapInArrow(_profile_rows(self.run, self.percent, bits, uuid.uuid4().hex, sketch, schema), kind)
         profiles = self.stage.put(rows, "profiles")
         key = ["low", "high", "n"]
         reps = profiles.filter("doc_id is not null and n > 0").groupBy(*key).agg(
@@ -277,10 +310,13 @@ class NgramJoin:
         """Length and suffix filters, on pairs (a, b)."""
         size = self.reps.select("node", "n", "ranges")
         both = pairs.join(size.toDF("a", "na", "ra"), "a").join(size.toDF("b", "nb", "rb"), "b")
-        least = F.ceil((F.col("na") + F.col("nb")) * F.lit(self.percent) / F.lit(100 + self.percent) - F.lit(1e-9))
-        overlap = F.aggregate(F.zip_with("ra", "rb", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
-        fits = (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * self.percent) & (overlap >= least)
-        return both.filter(fits).select("a", "b")
+        return both.filter(self._fits("na", "nb", "ra", "rb")).select("a", "b")
+
+    def _fits(self, na: str, nb: str, ra: str, rb: str) -> Column:
+        """Whether sizes and counts by hash range leave room for the threshold."""
+        a, b, p = F.col(na), F.col(nb), self.percent
+        differ = F.aggregate(F.zip_with(ra, rb, lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x)
+        return (F.least(a, b) * 100 >= F.greatest(a, b) * p) & ((a + b - differ) * (100 + p) >= (a + b) * (2 * p))
 
     def _first_pairs(self) -> DataFrame:
         """Each node with the earlier one that precedes it in most of its runs."""
@@ -293,7 +329,8 @@ class NgramJoin:
         post = self.postings.join(comp, "node", "left").select("run", "node", "n", "pos", F.coalesce("component", "node").alias("comp"))
         sizes = post.groupBy("run", "comp").count()
         split = sizes.groupBy("run").agg(F.max(F.struct("count", "comp")).alias("m"), F.count("*").alias("k")).filter("k > 1")
-        post = self.stage.put(post.join(split.select("run", F.col("m.comp").alias("main")), "run"), "mixed")
+        post = post.join(split.select("run", F.col("m.comp").alias("main")), "run").join(self.reps.select("node", "ranges"), "node")
+        post = self.stage.put(post, "mixed")
         a, b = post.filter("comp <> main").alias("a"), post.alias("b")
         na, nb, at_a, at_b = F.col("a.n"), F.col("b.n"), F.col("a.pos"), F.col("b.pos")
         p = self.percent
@@ -301,9 +338,9 @@ class NgramJoin:
         pairs = a.join(
             b,
             (F.col("a.run") == F.col("b.run")) & (F.col("a.comp") != F.col("b.comp")) & ((F.col("b.comp") == F.col("b.main")) | (F.col("a.node") < F.col("b.node")))
-            & (F.least(na, nb) * 100 >= F.greatest(na, nb) * p) & (reach * (100 + p) >= (na + nb) * p),
+            & (reach * (100 + p) >= (na + nb) * p) & self._fits("a.n", "b.n", "a.ranges", "b.ranges"),
         )
-        return self._bounded(pairs.select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")).distinct())
+        return pairs.select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")).distinct()
 
     def _verified(self, pairs: DataFrame, name: str) -> DataFrame:
         """The pairs that reach the threshold; centres with many partners are dealt to several groups."""
