@@ -212,3 +212,27 @@ def manual_review_by_cross(reviewed: DataFrame) -> DataFrame:
     return reviewed.filter(F.col("criterion") == OPEN).groupBy("source_a", "source_b").agg(
         one(F.coalesce(F.col("decision") == "match", F.lit(False))).alias("n_match"), one(F.coalesce(F.col("decision") == "no_match", F.lit(False))).alias("n_no_match"), one(blank).alias("n_blank")
     )
+
+
+def null_key_diagnostics(records: DataFrame, source: str) -> DataFrame:
+    """Over records of one source without a file number: how many names occur in each other source, or in none."""
+    lost = records.filter((F.col("source") == source) & F.col("exp").isNull()).select("record_id", "key")
+    others = records.filter(F.col("source") != source).select("key", F.col("source").alias("other")).distinct()
+    found = lost.join(others, "key", "left").groupBy("record_id").agg(F.sort_array(F.collect_set("other")).alias("others"))
+    return found.select(F.when(F.size("others") == 0, "none").otherwise(F.array_join("others", "+")).alias("found_in")).groupBy("found_in").agg(F.count("*").alias("n"))
+
+
+def compare_keys(records: DataFrame, old: str, new: str) -> DataFrame:
+    """By two sources: pairs that share the file number and each key, and the share of the new ones that are new."""
+    a, b = records.alias("a"), records.alias("b")
+    pairs = a.join(b, (F.col("a.exp") == F.col("b.exp")) & (F.col("a.source") < F.col("b.source")))
+    was, now = F.col(f"a.{old}") == F.col(f"b.{old}"), F.col(f"a.{new}") == F.col(f"b.{new}")
+    got = pairs.groupBy(F.col("a.source").alias("source_a"), F.col("b.source").alias("source_b")).agg(
+        F.sum(was.cast("long")).alias("n_old"), F.sum(now.cast("long")).alias("n_new"), F.sum((now & ~was).cast("long")).alias("n_gained"), F.sum((was & ~now).cast("long")).alias("n_lost"),
+    )
+    return got.withColumn("pct_gained", F.round(100 * F.col("n_gained") / F.greatest("n_new", F.lit(1)), 4))
+
+
+def display_clusters(tagged: DataFrame) -> DataFrame:
+    """Entities of exactly three records, one of each of three sources."""
+    return tagged.groupBy("entity_id").agg(F.count("*").alias("n"), F.countDistinct("source").alias("s"), F.min("record_id").alias("first_record")).filter("n = 3 and s = 3").select("entity_id", "first_record")

@@ -173,3 +173,20 @@ def running_offsets(df: DataFrame, group: str) -> DataFrame:
     """Rows of each group and of all groups before it."""
     counts = df.groupBy(group).agg(F.count("*").alias("n"))
     return counts.withColumn("offset", F.sum("n").over(Window.orderBy(group).rowsBetween(Window.unboundedPreceding, 0)) - F.col("n"))
+
+
+def categorical_resume(df: DataFrame, column: str) -> DataFrame:
+    """Distinct raw and normalised values, values met once, and whether normalising reduces them; nulls left out."""
+    c = F.col(column)
+    counts = df.filter(c.isNotNull()).groupBy(c.alias("v")).agg(F.count("*").alias("n"))
+    return counts.agg(
+        F.count("*").alias("n_raw"), F.countDistinct(F.upper(F.trim("v"))).alias("n_normal"), F.sum((F.col("n") == 1).cast("long")).alias("n_single"),
+        (F.countDistinct(F.upper(F.trim("v"))) < F.count("*")).alias("reduces"),
+    )
+
+
+def identifier_composition(df: DataFrame, column: str, sentinel: str = "S/E") -> DataFrame:
+    """Rows of an identifier column by kind, and its distinct values."""
+    c = F.col(column)
+    kind = F.when(c.isNull(), "null").when(c == sentinel, "sentinel").when(c.rlike(r"^\d+\.?0?$"), "numeric").otherwise("other")
+    return df.groupBy(kind.alias("kind")).agg(F.count("*").alias("n"), F.countDistinct(c).alias("n_distinct"))

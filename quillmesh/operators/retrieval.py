@@ -119,3 +119,22 @@ def mine_hard_pairs(ranked: DataFrame, records: DataFrame) -> DataFrame:
     )
     negative = near.join(a, "id_a").join(b, "id_b").filter("ea <> eb and sa <> sb").select("id_a", "id_b", F.lit(0).alias("label"), F.lit("hard_negative").alias("type"))
     return positive.unionByName(negative)
+
+
+def directional_metrics(vectors: DataFrame, sources: list, k: int = 5) -> DataFrame:
+    """Hit and precision at k from each source to each other: queries have their entity in the target source,
+    the pool is all of the target's records. vectors: (id, embedding, entity, source); sources: the stated few."""
+    out = None
+    for a in sources:
+        for b in sources:
+            if a == b:
+                continue
+            pool = vectors.filter(F.col("source") == b)
+            queries = vectors.filter(F.col("source") == a).join(pool.select("entity").distinct(), "entity", "left_semi")
+            ent = vectors.select("id", "entity")
+            near = top_k(queries, pool, k).join(ent.toDF("query_id", "qe"), "query_id").join(ent.toDF("cand_id", "ce"), "cand_id")
+            hits = near.groupBy("query_id").agg(F.sum((F.col("qe") == F.col("ce")).cast("long")).alias("h"))
+            got = hits.agg(F.count("*").alias("n_queries"), F.round(F.avg((F.col("h") > 0).cast("double")), 4).alias("hit"), F.round(F.avg(F.col("h") / k), 4).alias("precision"))
+            got = got.select(F.lit(a).alias("source_a"), F.lit(b).alias("source_b"), "n_queries", "hit", "precision")
+            out = got if out is None else out.unionAll(got)
+    return out
