@@ -135,12 +135,13 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, label: s
     return Model().fit([(r.label, np.frombuffer(r.ids, np.int32), np.frombuffer(r.ns, np.float32)) for r in rows])
 
 
-def score(docs: DataFrame, model: Model | None, column: str = "score") -> DataFrame:
-    """docs with the probability of class 1."""
+def score(docs: DataFrame, model: Model | None, column: str = "score", keep_text: bool = True) -> DataFrame:
+    """docs, with text or without, with the probability of class 1."""
     ship_package(docs.sparkSession)
     docs = docs.drop(column)
     folded = docs.sparkSession.sparkContext.broadcast(model.folded() if model else (np.zeros(1 << BUCKET_BITS, np.float32), 0.0))
-    schema = T.StructType([*docs.schema.fields, T.StructField(column, T.DoubleType())])
+    kept = [f for f in docs.schema.fields if keep_text or f.name != "text"]
+    schema = T.StructType([*kept, T.StructField(column, T.DoubleType())])
     target = to_arrow_schema(schema)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,7 +153,7 @@ def score(docs: DataFrame, model: Model | None, column: str = "score") -> DataFr
                 total += sums[cuts[1:]] - sums[cuts[:-1]]
                 n += np.diff(cuts)
             p = 1 / (1 + np.exp(-(total / np.maximum(n, 1) + bias)))
-            yield pa.RecordBatch.from_arrays([*[c.cast(f.type) for c, f in zip(rows.columns, target, strict=False)], pa.array(p)], schema=target)
+            yield pa.RecordBatch.from_arrays([*[rows.column(f.name).cast(target.field(f.name).type) for f in kept], pa.array(p)], schema=target)
 
     return docs.mapInArrow(scored, schema)
 
@@ -161,10 +162,10 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % FOLDS == 0, F.lit(False))
 
 
-def score_documents(docs: DataFrame, sf_labels: DataFrame, threshold: float = 0.3) -> DataFrame:
+def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, keep_text: bool = True) -> DataFrame:
     """docs with score, held_out and predicted; held-out rows don't train."""
-    model = train(docs, sf_labels.filter(~held_out()))
-    scored = score(docs, model)
+    model = train(docs, labels.filter(~held_out()))
+    scored = score(docs, model, keep_text=keep_text)
     return scored.withColumn("held_out", held_out()).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
@@ -172,4 +173,4 @@ def op1_query(spark, sf_dir: str) -> DataFrame:
     """Quality score of every document."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
-    return score_documents(docs, labels).select("doc_id", "held_out", "score", "predicted")
+    return score_documents(docs, labels, keep_text=False).select("doc_id", "held_out", "score", "predicted")

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmesh.llm.tokens import SPACE, gram_hashes, grams_inside, text_groups, word_bounds, word_hashes
+from quillmesh.llm.tokens import SLAB, SPACE, gram_hashes, grams_inside, text_groups, word_bounds, word_hashes
 from quillmesh.session import ship_package
 from quillmesh.storage import Stage
 
@@ -102,7 +102,7 @@ def _count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(gram), pa.string()), pa.array(gram.astype(np.int32)), pa.array(counts[gram])], names=["lang", "gram", "n"])
         sums.clear()
 
-    for rows, data, bounds in text_groups(batches):
+    for rows, data, bounds in text_groups(batches, limit=SLAB):
         key, counts = char_grams(data, bounds)
         langs = rows.column(1).to_pylist()
         which = {lang: k for k, lang in enumerate(dict.fromkeys(langs))}
@@ -226,7 +226,7 @@ def _score_rows(key: str, models, schema: pa.Schema):
             _SCORERS.clear()
             _SCORERS[key] = Scorer(models.value)
         scorer = _SCORERS[key]
-        for rows, data, bounds in text_groups(batches):
+        for rows, data, bounds in text_groups(batches, limit=SLAB):
             figures = base_counts(data, bounds)
             grams, counts = char_grams(data, bounds)
             langs = rows.column(1).to_pylist()

@@ -15,6 +15,7 @@ import pyarrow.compute as pc
 
 U64 = np.uint64
 SLAB = 1 << 20
+GROUP = 1 << 18
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -57,7 +58,7 @@ LOWER[65:91] += 32
 VALUES_LOWER = VALUES[LOWER]
 
 
-def text_groups(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLAB) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def text_groups(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = GROUP) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """(rows, bytes, bounds): slices of at most about limit bytes of text, or of one longer text. Null counts as empty."""
     for batch in batches:
         if not batch.num_rows:
