@@ -240,7 +240,7 @@ def _score_rows(key: str, models, schema: pa.Schema):
 COLUMNS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
-def quality_rules(docs: DataFrame, spread: float = 8.0, least: float = 0.3, short: float = 4.0, max_languages: int = 24) -> DataFrame:
+def quality_rules(docs: DataFrame, spread: float = 8.0, least: float = 0.6, short: float = 4.0, max_languages: int = 24) -> DataFrame:
     """(doc_id, lang, the base figures, log_perplexity, low, high, base_failed, kept)."""
     spark = docs.sparkSession
     ship_package(spark)
