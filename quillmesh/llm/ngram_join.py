@@ -15,7 +15,8 @@ the sketch, which never estimates too low, shows in one text only are not dealt.
    never formed, so a large group costs (sets outside its main component) x (its size) at most.
 5. Each remaining pair is verified once on whole sets, and components are taken over verified links.
 
-The suffix filter bounds the sets' difference from below by that of their counts (up to 127) in 128 hash ranges.
+The suffix filter bounds the sets' difference from below by the hash ranges, of 1,024, that an odd number of
+hashes of one set and an even number of the other fall into.
 
 Cases: null or empty texts and texts without words have empty sets, link with nothing and are their own
 component; repeated rows, and rows that share a doc_id but not the text, are judged row by row; a row with a
@@ -44,7 +45,7 @@ BLOCK = 1 << 20
 FLUSH = 1 << 22
 #: Least counts of the sketch's codes 1 to 15; code 1 is a single text's run for certain.
 STEPS = np.array([1, 2, 3, 4, 5, 6, 8, 12, 18, 32, 64, 128, 512, 2048, 16384])
-RANGES = 128
+RANGES = 1024
 MEMBERS = 512
 
 
@@ -125,7 +126,7 @@ def run_sketch(docs: DataFrame, run: int, bits: int) -> np.ndarray:
     size = min(BLOCK, 1 << bits)
     blocks = (1 << bits) // size
     parts = docs.select("text").mapInArrow(_sketch_rows(run, bits), "block int, cells binary")
-    merged = parts.repartition(max(16, blocks // 16), "block").mapInArrow(_merge_rows(size), "block int, codes binary")
+    merged = parts.repartition(max(16, blocks), "block").mapInArrow(_merge_rows(size), "block int, codes binary")
     out = np.zeros((blocks, size // 2), np.uint8)
     for row in merged.toLocalIterator():
         out[row.block] = np.frombuffer(row.codes, np.uint8)
@@ -141,7 +142,7 @@ _SKETCH: dict[str, np.ndarray] = {}
 
 
 def _profile_rows(run: int, percent: int, bits: int, key: str, sketch, schema: pa.Schema):
-    """Of each text: class fingerprint, set size, prefix runs rare first, counts by hash range."""
+    """Of each text: class fingerprint, set size, prefix runs rare first, parities by hash range."""
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if key not in _SKETCH:
@@ -160,13 +161,14 @@ def _profile_rows(run: int, percent: int, bits: int, key: str, sketch, schema: p
                     # runs of a single text meet nothing, and keep their places only
                     alone = int(np.count_nonzero(code[order] == 1))
                     prefix.append(np.uint64(alone).tobytes() + s[order[alone:]].tobytes())
-                    ranges.append(np.minimum(np.bincount((s & np.uint64(RANGES - 1)).astype(np.int64), minlength=RANGES), 127).astype(np.int8))
+                    parity = np.bincount((s & np.uint64(RANGES - 1)).astype(np.int64), minlength=RANGES) & 1
+                    ranges.append(np.packbits(parity.astype(bool)).view(np.int64))
                     for out, v in zip((low, high), fingerprint(s), strict=True):
                         out.append(v)
                 else:
                     prefix.append(None), ranges.append(None), low.append(None), high.append(None)
             yield pa.RecordBatch.from_arrays(
-                [rows.column(0), pa.array(n), pa.array(low, pa.int64()), pa.array(high, pa.int64()), pa.array(prefix, pa.binary()), pa.array(ranges, pa.list_(pa.int8()))],
+                [rows.column(0), pa.array(n), pa.array(low, pa.int64()), pa.array(high, pa.int64()), pa.array(prefix, pa.binary()), pa.array(ranges, pa.list_(pa.int64()))],
                 schema=schema,
             )
 
@@ -288,8 +290,8 @@ class NgramJoin:
     def _profiles(self) -> None:
         bits = sketch_bits(self.docs, self.max_cells)
         sketch = self.spark.sparkContext.broadcast(run_sketch(self.docs, self.run, bits))
-        kind = "doc_id long, n long, low long, high long, prefix binary, ranges array<tinyint>"
-        schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("low", pa.int64()), ("high", pa.int64()), ("prefix", pa.binary()), ("ranges", pa.list_(pa.int8()))])
+        kind = "doc_id long, n long, low long, high long, prefix binary, ranges array<bigint>"
+        schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("low", pa.int64()), ("high", pa.int64()), ("prefix", pa.binary()), ("ranges", pa.list_(pa.int64()))])
         rows = self.docs.mapInArrow(_profile_rows(self.run, self.percent, bits, uuid.uuid4().hex, sketch, schema), kind)
         profiles = self.stage.put(rows, "profiles")
         key = ["low", "high", "n"]
@@ -313,9 +315,9 @@ class NgramJoin:
         return both.filter(self._fits("na", "nb", "ra", "rb")).select("a", "b")
 
     def _fits(self, na: str, nb: str, ra: str, rb: str) -> Column:
-        """Whether sizes and counts by hash range leave room for the threshold."""
+        """Whether sizes and parities by hash range leave room for the threshold."""
         a, b, p = F.col(na), F.col(nb), self.percent
-        differ = F.aggregate(F.zip_with(ra, rb, lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x)
+        differ = sum((F.bit_count(F.get(ra, F.lit(k)).bitwiseXOR(F.get(rb, F.lit(k)))) for k in range(RANGES // 64)), F.lit(0))
         return (F.least(a, b) * 100 >= F.greatest(a, b) * p) & ((a + b - differ) * (100 + p) >= (a + b) * (2 * p))
 
     def _first_pairs(self) -> DataFrame:
