@@ -336,7 +336,8 @@ class NgramJoin:
         a, b = post.filter("comp <> main").alias("a"), post.alias("b")
         na, nb, at_a, at_b = F.col("a.n"), F.col("b.n"), F.col("a.pos"), F.col("b.pos")
         p = self.percent
-        reach = F.least(at_a, at_b) + F.least(na - at_a, nb - at_b)
+        # a pair that reaches its least overlap shares a run that early in both sets
+        reach = F.least(na - at_a, nb - at_b)
         pairs = a.join(
             b,
             (F.col("a.run") == F.col("b.run")) & (F.col("a.comp") != F.col("b.comp")) & ((F.col("b.comp") == F.col("b.main")) | (F.col("a.node") < F.col("b.node")))
