@@ -195,6 +195,24 @@ def test_quality_bands_reject_noise(spark):
     assert len(got) == 61 and not got[60]
 
 
+def test_quality_rejects_shuffled_words(spark):
+    rng = np.random.default_rng(3)
+    after = {w: [f"w{x}" for x in rng.integers(0, 300, 4)] for w in (f"w{i}" for i in range(300))}
+    plain = []
+    for _ in range(120):
+        words = [f"w{rng.integers(300)}"]
+        while len(words) < 120:
+            words.append(str(rng.choice(after[words[-1]])))
+        plain.append(words)
+    mixed = [" ".join(rng.permutation(w)) for w in plain[:10]]
+    rows = [(i, " ".join(w), "en" if i % 2 else None) for i, w in enumerate(plain[10:])] + [(1000 + i, t, "en" if i % 2 else None) for i, t in enumerate(mixed)]
+    got = Q.quality_rules(spark.createDataFrame([*rows, (2000, None, "en")], "doc_id long, text string, lang string")).collect()
+    assert len(got) == 121
+    assert not any(r.kept for r in got if 1000 <= r.doc_id < 2000)
+    assert all(r.kept for r in got if r.doc_id < 1000)
+    assert all(r.order_gain < 0.3 < 1 < s.order_gain for r in got for s in got if 1000 <= r.doc_id < 2000 and s.doc_id < 1000)
+
+
 def brute_secrets(t):
     assign = re.compile(r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.A)
     s = [(m.start(), 0, m.end()) for m in assign.finditer(t) if len(m[2]) >= 12]
