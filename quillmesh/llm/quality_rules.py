@@ -5,7 +5,8 @@ each task sums its n-gram counts, Spark adds them by (language, n-gram). Discoun
 interpolation are computed from these counts for each language, whose model is arrays of sorted n-gram
 hashes with their log-probabilities and back-off weights. An order-4 alphabet of 32 classes has 2^20
 n-grams, so a language's model has a proven bound of 16 MB; languages are scored in blocks of at most
-max_languages, one broadcast for each, and a document only by its own language's block.
+max_languages, one broadcast for each. A document gets the perplexity of the language whose model fits it best
+(`fit`), and is judged among that language's documents, so a wrong language mark widens no band.
 
 The word model is modified Kneser-Ney over word pairs (ASCII case folded), counted by Spark over all documents and
 as large as their different pairs: no part of it is collected or broadcast. Its pairs are one table, by hash, with
@@ -15,18 +16,19 @@ totals, and a word of one document alone counts as unknown; else any order of wo
 the perplexity there is `order_gain`, the mean log-ratio of a word's probability after its neighbour to the one
 without: shuffled words keep their frequencies and lose this gain.
 
-Words are judged by language: a document is rejected when its word perplexity is over the median by more than
+Words are judged by best-fitting language: a document is rejected when its word perplexity is over the median by more than
 `spread` median absolute deviations, or when its order gain is under `order` times the language's median gain.
 There is no lower end, as near copies vouch for each other. Where the median gain is not positive, order says
 nothing and is not judged.
 
-Verdict: a language's band is its median log-perplexity over all documents, plus and minus `spread` median
-absolute deviations but at least `least` nats, and `short` / sqrt(characters in words) wider for the noise of
-short texts. Documents beyond either end are rejected.
+Verdict: a language's band is its median log-perplexity plus and minus `spread` of its own median absolute
+deviations, exact copies counted once; for texts shorter than the language's median length it widens with the
+noise of a mean, by the root of median length / length. There is no fixed width. Documents beyond either end are
+rejected.
 
 Cases: null texts count as empty; texts without words fail the base rules and have perplexity 0; a null
-language is a language of its own; repeated rows are counted and judged each; a language with a single
-document has the least band; input columns that carry an output's name are replaced; empty tables give no rows.
+language is a language of its own; repeated rows are counted and judged each; a language of
+fewer than `few` different documents has no band and rejects nothing by it; input columns that carry an output's name are replaced; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -197,8 +199,6 @@ class Scorer:
 
     def table(self, lang) -> np.ndarray:
         if lang not in self.tables:
-            if len(self.tables) >= 8:
-                self.tables.clear()
             self.tables[lang] = log_probabilities(self.models[lang], np.arange(GRAMS, dtype=np.int64))
         return self.tables[lang]
 
@@ -237,7 +237,9 @@ def base_counts(data: np.ndarray, bounds: np.ndarray) -> dict[str, np.ndarray]:
     }
 
 
-def _score_rows(key: str, models, schema: pa.Schema):
+def _score_rows(key: str, models, known: list, schema: pa.Schema):
+    """The base figures, and the least mean log-perplexity among the known languages with its language."""
+
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if key not in _SCORERS:
             _SCORERS.clear()
@@ -246,10 +248,18 @@ def _score_rows(key: str, models, schema: pa.Schema):
         for rows, data, bounds in text_groups(batches, limit=SLAB):
             figures = base_counts(data, bounds)
             grams, counts = char_grams(data, bounds)
-            langs = rows.column(1).to_pylist()
-            ends = np.cumsum(counts)
-            mean = [float(-scorer.table(lang)[grams[e - c : e]].mean()) if c else 0.0 for lang, c, e in zip(langs, counts, ends, strict=True)]
-            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), rows.column(3), *[pa.array(v) for v in figures.values()], pa.array(mean)], schema=schema)
+            some, first = counts > 0, np.cumsum(counts) - counts
+            own = rows.column(1).to_pylist()
+            mean, fit = np.where(some, np.inf, 0.0), own if not known else [None] * len(own)
+            for lang in known:
+                part = np.zeros(len(counts))
+                if some.any():
+                    part[some] = -np.add.reduceat(scorer.table(lang)[grams], first[some], dtype=np.float64) / counts[some]
+                better = some & (part < mean)
+                mean = np.where(better, part, mean)
+                fit = [lang if b else x for b, x in zip(better, fit, strict=True)]
+            fit = [x if s else lang for x, s, lang in zip(fit, some, own, strict=True)]
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), rows.column(3), *[pa.array(v) for v in figures.values()], pa.array(mean), pa.array(fit, pa.string())], schema=schema)
 
     return score
 
@@ -344,8 +354,8 @@ def word_perplexity(docs: DataFrame, stage: Stage) -> DataFrame:
 COLUMNS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
-def quality_rules(docs: DataFrame, spread: float = 8.0, least: float = 0.6, short: float = 4.0, max_languages: int = 24, order: float = 0.2) -> DataFrame:
-    """(doc_id, lang, the base figures, log_perplexity, word_log_perplexity, order_gain, low, high, base_failed, kept)."""
+def quality_rules(docs: DataFrame, spread: float = 8.0, few: int = 10, max_languages: int = 24, order: float = 0.2) -> DataFrame:
+    """(doc_id, lang, the base figures, log_perplexity, fit, word_log_perplexity, order_gain, low, high, base_failed, kept)."""
     spark = docs.sparkSession
     ship_package(spark)
     # repeated rows share a key, and their figures
@@ -354,39 +364,48 @@ def quality_rules(docs: DataFrame, spread: float = 8.0, least: float = 0.6, shor
     counted = docs.select("text", "lang").mapInArrow(_count_rows, "lang string, gram int, n long")
     model = stage.put(counted.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "counts")
     languages = [r.lang for r in model.select("lang").distinct().orderBy("lang").toLocalIterator()]
-    schema = pa.schema([("doc_id", docs_type(docs)), ("lang", pa.string()), ("key", pa.int64()), *[(c, pa.int64()) for c in COLUMNS], ("log_perplexity", pa.float64())])
-    kind = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang string, key long, {', '.join(f'{c} long' for c in COLUMNS)}, log_perplexity double"
-    scored = None
+    schema = pa.schema([("doc_id", docs_type(docs)), ("lang", pa.string()), ("key", pa.int64()), *[(c, pa.int64()) for c in COLUMNS], ("log_perplexity", pa.float64()), ("fit", pa.string())])
+    kind = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang string, key long, {', '.join(f'{c} long' for c in COLUMNS)}, log_perplexity double, fit string"
+    parts = []
     for k in range(0, max(len(languages), 1), max_languages):
         block = languages[k : k + max_languages]
         models = {}
         for lang in block:
             got = model.filter(F.col("lang").eqNullSafe(F.lit(lang))).select("gram", "n").toArrow()
             models[lang] = kneser_ney(*[c.to_numpy() for c in got.columns])
-        for lang in {*block, None} - models.keys() if len(languages) <= max_languages else ():
-            models[lang] = models[block[0]] if block else kneser_ney(np.zeros(1, np.int64), np.ones(1))
-        own = docs if len(languages) <= max_languages else docs.filter(_among(block))
-        part = own.mapInArrow(_score_rows(uuid.uuid4().hex, spark.sparkContext.broadcast(models), schema), kind)
-        scored = part if scored is None else scored.union(part)
+        parts.append(docs.mapInArrow(_score_rows(uuid.uuid4().hex, spark.sparkContext.broadcast(models), block, schema), kind))
+    scored = parts[0]
+    if len(parts) > 1:
+        # every block sees every document; the best fit of all blocks stays
+        parts = [stage.put(p, f"block{k}") for k, p in enumerate(parts)]
+        best = None
+        for p in parts:
+            own = p.select("key", F.struct("log_perplexity", "fit").alias("best"))
+            best = own if best is None else best.union(own)
+        best = best.groupBy("key").agg(F.min("best").alias("best"))
+        scored = parts[0].drop("log_perplexity", "fit").join(best, "key").select("doc_id", "lang", "key", *COLUMNS, "best.log_perplexity", "best.fit")
     scored = stage.put(scored, "scored")
     scored = stage.put(scored.join(word_perplexity(docs, stage), "key", "left").drop("key"), "worded")
     stage.drop("scored", "word_scores")
     worded = scored.filter("n_words > 0")
-    middle = worded.groupBy(F.col("lang").alias("_lang")).agg(F.percentile_approx("log_perplexity", 0.5, 10000).alias("mid"))
-    off = worded.join(middle, F.col("lang").eqNullSafe(F.col("_lang"))).select("lang", "mid", F.abs(F.col("log_perplexity") - F.col("mid")).alias("off"))
-    band = off.groupBy("lang", "mid").agg(F.percentile_approx("off", 0.5, 10000).alias("mad"))
-    half = F.greatest(F.lit(float(least)), F.col("mad") * spread)
-    band = stage.put(band.select(F.col("lang").alias("_lang"), F.col("mid"), half.alias("half")), "bands")
-    usual = scored.filter("word_log_perplexity is not null").groupBy(F.col("lang").alias("_lang")).agg(
+    worded = worded.select(F.col("fit").alias("_fit"), "log_perplexity", "word_chars").distinct()
+    middle = worded.groupBy("_fit").agg(
+        F.percentile_approx("log_perplexity", 0.5, 10000).alias("mid"), F.percentile_approx("word_chars", 0.5, 10000).alias("length"), F.count("*").alias("texts")
+    )
+    middle = middle.filter(F.col("texts") >= few).withColumnRenamed("_fit", "_mid_fit")
+    off = worded.join(middle, F.col("_fit").eqNullSafe(F.col("_mid_fit"))).select("_fit", "mid", "length", F.abs(F.col("log_perplexity") - F.col("mid")).alias("off"))
+    band = off.groupBy("_fit", "mid", "length").agg((F.percentile_approx("off", 0.5, 10000) * spread).alias("half"))
+    band = stage.put(band, "bands")
+    usual = scored.filter("word_log_perplexity is not null").groupBy(F.col("fit").alias("_lang")).agg(
         F.percentile_approx("word_log_perplexity", 0.5, 10000).alias("word_mid"), F.percentile_approx("order_gain", 0.5, 10000).alias("gain")
     )
-    off = scored.join(usual, F.col("lang").eqNullSafe(F.col("_lang"))).select("_lang", "word_mid", "gain", F.abs(F.col("word_log_perplexity") - F.col("word_mid")).alias("off"))
+    off = scored.join(usual, F.col("fit").eqNullSafe(F.col("_lang"))).select("_lang", "word_mid", "gain", F.abs(F.col("word_log_perplexity") - F.col("word_mid")).alias("off"))
     usual = stage.put(off.groupBy("_lang", "word_mid", "gain").agg((F.percentile_approx("off", 0.5, 10000) * spread).alias("word_half")), "word_bands")
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    judged = scored.join(band, F.col("lang").eqNullSafe(F.col("_lang")), "left")
-    slack = F.col("half") + F.lit(float(short)) / F.sqrt(F.greatest("word_chars", F.lit(1)))
-    judged = judged.withColumns({"low": F.col("mid") - slack, "high": F.col("mid") + slack}).drop("_lang", "mid", "half")
-    judged = judged.join(usual, F.col("lang").eqNullSafe(F.col("_lang")), "left")
+    judged = scored.join(band, F.col("fit").eqNullSafe(F.col("_fit")), "left")
+    slack = F.col("half") * F.sqrt(F.greatest(F.lit(1.0), F.col("length") / F.greatest("word_chars", F.lit(1))))
+    judged = judged.withColumns({"low": F.col("mid") - slack, "high": F.col("mid") + slack}).drop("_fit", "mid", "length", "half")
+    judged = judged.join(usual, F.col("fit").eqNullSafe(F.col("_lang")), "left")
     inside = F.coalesce(F.col("log_perplexity").between(F.col("low"), F.col("high")), F.lit(True))
     odd = F.col("word_log_perplexity") > F.col("word_mid") + F.col("word_half")
     mixed = (F.col("gain") > 0) & (F.col("order_gain") < F.col("gain") * F.lit(float(order)))
@@ -400,11 +419,6 @@ def docs_type(docs: DataFrame) -> pa.DataType:
     return to_arrow_type(docs.schema["doc_id"].dataType)
 
 
-def _among(block: list):
-    named = F.col("lang").isin([x for x in block if x is not None])
-    return named | F.col("lang").isNull() if None in block else named
-
-
 def op7_query(spark, sf_dir: str) -> DataFrame:
     """Base figures and verdict of every document."""
     return quality_rules(spark.read.parquet(f"{sf_dir}/documents.parquet")).select(

@@ -213,6 +213,26 @@ def test_quality_rejects_shuffled_words(spark):
     assert all(r.order_gain < 0.3 < 1 < s.order_gain for r in got for s in got if 1000 <= r.doc_id < 2000 and s.doc_id < 1000)
 
 
+def test_quality_band_is_the_language_s_own(spark):
+    rng = np.random.default_rng(4)
+    words = {lang: [f"{''.join(rng.choice(list(letters), 6))}" for _ in range(60)] for lang, letters in (("xa", "abcdefgh"), ("xb", "mnopqrst"))}
+    text = lambda lang, n=150: " ".join(rng.choice(words[lang], n))
+    rows = [(i, text(lang), lang) for i, lang in enumerate(["xa", "xb"] * 60)]
+    rows += [(200, text("xa"), "xb"), (201, text("xb"), "xa"), (202, text("xa"), None)]  # wrong marks
+    # a text of letters in another order: under 0.6 nats from the others, beyond the language's own spread
+    odd = " ".join("".join(rng.permutation(list(w))) if k % 6 == 0 else w for k, w in enumerate(text("xa").split()))
+    rows += [(300, odd, "xa"), (400, text("xa", 25), "xa")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for limit in (24, 1):
+        got = {r.doc_id: r for r in Q.quality_rules(docs, max_languages=limit).collect()}
+        assert len(got) == len(rows)
+        assert (got[200].fit, got[201].fit, got[202].lang) == ("xa", "xb", None)
+        usual = np.median([got[i].log_perplexity for i in range(0, 120, 2)])
+        assert got[300].log_perplexity - usual < 0.6 and not got[300].kept
+        assert got[200].kept and got[201].kept and got[400].kept
+        assert sum(not got[i].kept for i in range(120)) <= 1
+
+
 def brute_secrets(t):
     assign = re.compile(r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.A)
     s = [(m.start(), 0, m.end()) for m in assign.finditer(t) if len(m[2]) >= 12]
