@@ -4,11 +4,13 @@ Targets: the total is shared by weight; a source stops at `cap` times its size a
 again by weight (water filling: target = least of cap * size and level * weight, the level found by a
 running sum over sources sorted by cap * size / weight).
 
-Schedule: at most a fixed number of slots (a parameter, so the schedule has a bounded size at any input size). Slot
-i stands at the fraction of i times the golden ratio's inverse; the source whose interval of cumulative
-targets holds this point gets the slot, and slots of a source are ranked by their number. Each source's
-documents, in the order of a hash, are one stream of tokens cut into blocks of one length, the same for all
-sources; the k-th slot of a source takes its block k, counted round when all blocks are taken.
+Schedule: each source has its own block length, the whole target over `slots` or a PARTS-th of its own target,
+whichever is less, so that a small source is met as closely as a large one at any input size. A source needs its
+target over its block length in slots; the slots are at most `slots` and PARTS more for each source. Slot i stands at
+the fraction of i times the golden ratio's inverse; the source whose interval of cumulative needs holds this point
+gets the slot, and slots of a source are ranked by their number. Each source's documents, in the order of a hash, are
+one stream of tokens cut into its blocks; the k-th slot of a source takes its block k, counted round when all blocks
+are taken.
 
 Places in a source's stream come from sums over hash ranges of documents first and a running sum inside a
 range then, so that a source with a third of all rows is no single task. Blocks and slots meet by (source,
@@ -27,6 +29,7 @@ from pyspark.sql import functions as F
 from quillmesh.storage import Stage
 
 SLOTS = 1 << 20
+PARTS = 1024
 RANGE_ROWS = 4096
 CELLS = 4096
 #: Weights of sources in order, repeating.
@@ -40,7 +43,7 @@ def word_count(text: Column) -> Column:
 
 
 def targets(sizes: DataFrame, share: float, cap: float, weights=WEIGHTS) -> DataFrame:
-    """sizes (source, source_size, rows) with weight, target, and the interval [low, high) of cumulative shares."""
+    """sizes (source, source_size, rows) with weight, target, and the whole of all targets."""
     order = Window.orderBy(F.col("source").asc_nulls_last())
     # one row a source from here
     rank = F.row_number().over(order) - 1
@@ -55,26 +58,40 @@ def targets(sizes: DataFrame, share: float, cap: float, weights=WEIGHTS) -> Data
     got = got.withColumn("level", rest / left)
     got = got.withColumn("level", F.max("level").over(every))
     got = got.withColumn("target", F.least("most", F.col("level") * F.col("weight")))
-    upto = Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
-    whole = F.sum("target").over(every)
-    got = got.withColumn("high", F.when(whole > 0, F.sum("target").over(upto) / whole).otherwise(0.0))
-    return got.withColumn("low", F.coalesce(F.lag("high").over(Window.orderBy("rank")), F.lit(0.0))).withColumn("whole", whole).drop("level")
+    return got.withColumn("whole", F.sum("target").over(every)).drop("level")
 
 
 def block_length(slots: int) -> Column:
-    """Tokens of a block, so that the blocks of all targets fill at most the slots."""
-    return F.greatest(F.lit(1), F.ceil(F.col("whole") / F.lit(float(slots)))).cast("long")
+    """Tokens of a source's block."""
+    common = F.ceil(F.col("whole") / F.lit(float(slots)))
+    return F.greatest(F.lit(1), F.least(common, F.ceil(F.col("target") / PARTS))).cast("long")
 
 
-def schedule(sources: DataFrame, slots: int = SLOTS) -> DataFrame:
-    """(slot, rank of the source, turn): the source of each slot and the slot's number within it, from 0."""
+def needs(sources: DataFrame, slots: int) -> DataFrame:
+    """sources with their block length, the slots all need, and the interval [low, high) of cumulative needs."""
+    # one row a source
+    got = sources.withColumn("block", block_length(slots))
+    need = F.col("target") / F.col("block")
+    every = F.sum(need).over(Window.partitionBy())
+    upto = F.sum(need).over(Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, 0))
+    got = got.withColumn("needed", F.ceil(every)).withColumn("high", F.when(every > 0, upto / every).otherwise(0.0))
+    return got.withColumn("low", F.coalesce(F.lag("high").over(Window.orderBy("rank")), F.lit(0.0)))
+
+
+def golden_point(slot: Column) -> Column:
+    """The fraction of slot times the golden ratio's inverse; two steps, as the whole product would not fit a long."""
+    whole = (slot % F.lit(1 << 20)) * F.lit(GOLDEN_40) + F.shiftright(slot, 20) * F.lit((GOLDEN_40 << 20) % (1 << 40))
+    return (whole % F.lit(1 << 40)) / F.lit(float(1 << 40))
+
+
+def schedule(sources: DataFrame) -> DataFrame:
+    """(slot, rank of the source, turn) of sources with their needs: the source of each slot and the slot's number within it, from 0."""
     spark = sources.sparkSession
-    point = ((F.col("id") * F.lit(GOLDEN_40)) % F.lit(1 << 40)) / F.lit(float(1 << 40))
-    slot = spark.range(0, slots, 1, 16).select(F.col("id").alias("slot"), point.alias("point")).withColumn("cell", F.floor(F.col("point") * CELLS))
+    count = sources.agg(F.max("needed")).first()[0] or 0
+    slot = spark.range(0, count, 1, 16).select(F.col("id").alias("slot"), golden_point(F.col("id")).alias("point")).withColumn("cell", F.floor(F.col("point") * CELLS))
     cells = F.sequence(F.floor(F.col("low") * CELLS), F.least(F.floor(F.col("high") * CELLS), F.lit(CELLS - 1)))
-    needed = F.ceil(F.col("whole") / block_length(slots))
-    spans = sources.filter("high > low").select("rank", "low", "high", needed.alias("needed"), F.explode(cells).alias("cell"))
-    dealt = slot.join(spans, "cell").filter("slot < needed and point >= low and point < high").select("slot", "rank")
+    spans = sources.filter("high > low").select("rank", "low", "high", F.explode(cells).alias("cell"))
+    dealt = slot.join(spans, "cell").filter("point >= low and point < high").select("slot", "rank")
     return dealt.withColumn("turn", F.row_number().over(Window.partitionBy("rank").orderBy("slot")) - 1)
 
 
@@ -88,9 +105,8 @@ class Mixture:
         sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), key.alias("order"), F.xxhash64("text").alias("tie"))
         self.sized = stage.put(sized, "sized")
         sizes = self.sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows"))
-        self.sources = stage.put(targets(sizes, share, cap, weights), "sources")
-        block = block_length(slots)
-        known = self.sources.select(F.col("source").alias("_s"), "rank", "source_size", "target", block.alias("block"), (F.floor(F.col("rows") / RANGE_ROWS) + 1).alias("ranges"))
+        self.sources = stage.put(needs(targets(sizes, share, cap, weights), slots), "sources")
+        known = self.sources.select(F.col("source").alias("_s"), "rank", "source_size", "target", "block", (F.floor(F.col("rows") / RANGE_ROWS) + 1).alias("ranges"))
         named = self.sized.join(known, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
         # ranges of the hash order: the leading part of the unsigned hash
         named = named.withColumn("range", F.floor((F.shiftright("order", 33) + F.lit(1 << 30)) * F.col("ranges") / F.lit(float(1 << 31))).cast("long"))
@@ -101,8 +117,8 @@ class Mixture:
         placed = named.withColumn("upto", F.sum("size").over(inside)).join(sums, ["rank", "range"])
         placed = placed.withColumn("end", F.col("base") + F.col("upto")).withColumn("start", F.col("end") - F.col("size"))
         self.placed = stage.put(placed.withColumn("row", F.monotonically_increasing_id()).drop("base", "upto", "order", "tie", "range", "ranges"), "placed")
-        self.schedule = schedule(self.sources, slots)
-        blocks = self.sources.select("rank", block.alias("block"), F.greatest(F.lit(1), F.ceil(F.col("source_size") / block)).cast("long").alias("n_blocks"))
+        self.schedule = schedule(self.sources)
+        blocks = self.sources.select("rank", "block", F.greatest(F.lit(1), F.ceil(F.col("source_size") / F.col("block"))).cast("long").alias("n_blocks"))
         turns = self.schedule.join(blocks, "rank").select("slot", "rank", "turn", F.pmod("turn", "n_blocks").alias("at"), "block")
         self.turns = turns
         times = turns.groupBy("rank", "at").agg(F.count("*").alias("times"))

@@ -122,6 +122,17 @@ def test_mixture(spark, slots):
     assert Mixture(spark.createDataFrame([], "doc_id long, text string, source string")).documents.count() == 0
 
 
+def test_mixture_meets_small_targets(spark):
+    rows = [(i, "w " * 500, "hot") for i in range(400)] + [(1000 + 10 * k + i, "v " * (10 * k + 7), f"small{k}") for k in range(12) for i in range(3)]
+    got = Mixture(spark.createDataFrame(rows, "doc_id long, text string, source string"), slots=64).documents.collect()
+    taken, target = {}, {}
+    for r in got:
+        taken[r.source] = taken.get(r.source, 0) + r.taken
+        target[r.source] = r.target
+    off = {s: abs(taken[s] - t) / t for s, t in target.items() if s != "hot"}
+    assert len(off) == 12 and max(off.values()) <= 0.25, off  # a few words of 42
+
+
 def test_classifier_learns_and_handles_odd_rows(spark):
     rng = random.Random(2)
     good = lambda: " ".join(rng.choice(["river", "stone", "bridge", "under", "water"]) for _ in range(40))
