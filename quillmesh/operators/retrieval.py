@@ -80,6 +80,61 @@ def mean_reciprocal_rank(ranked: DataFrame, entities: DataFrame) -> DataFrame:
     return first.agg(F.round(F.avg(1 / F.col("r")), 6).alias("mrr"), F.count("*").alias("n_queries"))
 
 
+def _met_blocks(queries: DataFrame, pool: DataFrame, extra: tuple[str, ...] = (), block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(rows, cands): each chunk of the pool (id, embedding, entity) with each block of queries (these and extra), as in top_k()."""
+    n_blocks = max(1, -(-queries.count() // block_rows))
+    blocks = queries.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n_blocks)).cast("int"))
+    packed = blocks.groupBy("block").agg(F.collect_list(F.struct("id", "embedding", "entity", *extra)).alias("rows"))
+    chunk = pool.withColumn("chunk", F.pmod(F.xxhash64("id", F.lit(7)), F.lit(max(1, pool.rdd.getNumPartitions()))).cast("int"))
+    chunks = chunk.groupBy("chunk").agg(F.collect_list(F.struct("id", "embedding", "entity")).alias("cands"))
+    return chunks.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))).join(packed, "block").select("rows", "cands")
+
+
+def _block_sims(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """(rows, query ids, candidate ids, similarities, other, same, known): other is false for a record and itself, known where both have an entity."""
+    for batch in batches:
+        for rows, cands in zip(batch.column(0), batch.column(1), strict=True):
+            rows, cands = rows.values, cands.values
+            qid, cid = rows.field(0).to_numpy(zero_copy_only=False), cands.field(0).to_numpy(zero_copy_only=False)
+            q = rows.field(1).flatten().to_numpy().astype(np.float64).reshape(len(qid), -1)
+            c = cands.field(1).flatten().to_numpy().astype(np.float64).reshape(len(cid), -1)
+            qe, ce = rows.field(2), cands.field(2)
+            known = qe.is_valid().to_numpy(zero_copy_only=False)[:, None] & ce.is_valid().to_numpy(zero_copy_only=False)[None, :]
+            same = qe.to_numpy(zero_copy_only=False)[:, None] == ce.to_numpy(zero_copy_only=False)[None, :]
+            yield rows, qid, cid, np.round(q @ c.T, 9), (qid[:, None] != cid[None, :]), same & known, known
+
+
+def full_reciprocal_rank(queries: DataFrame, pool: DataFrame) -> DataFrame:
+    """The mean over all queries with a positive of 1 / rank of the first in the whole ranking, and their number.
+
+    Both inputs are (id, embedding, entity). A first scan finds each query's best positive, a second counts the
+    candidates before it by (similarity down, id); no ranking is kept.
+    """
+    ids = queries.schema["id"].dataType.simpleString()
+    cids = pool.schema["id"].dataType.simpleString()
+    queries, pool = queries.select("id", "embedding", "entity"), pool.select("id", "embedding", "entity")
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, qid, cid, sims, other, same, _ in _block_sims(batches):
+            at = np.argsort(cid, kind="stable")
+            got = np.where((other & same)[:, at], sims[:, at], -np.inf)
+            first = got.argmax(axis=1)
+            top = got[np.arange(len(qid)), first]
+            ok = np.isfinite(top)
+            yield pa.RecordBatch.from_arrays([pa.array(qid[ok]), pa.array(cid[at][first[ok]]), pa.array(top[ok])], names=["id", "cand", "top"])
+
+    def before(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, qid, cid, sims, other, _, _ in _block_sims(batches):
+            cand, top = rows.field(3).to_numpy(zero_copy_only=False)[:, None], rows.field(4).to_numpy()[:, None]
+            ahead = other & (cid[None, :] != cand) & ((sims > top) | ((sims == top) & (cid[None, :] < cand)))
+            yield pa.RecordBatch.from_arrays([pa.array(qid), pa.array(ahead.sum(axis=1))], names=["id", "ahead"])
+
+    found = _met_blocks(queries, pool).mapInArrow(best, f"id {ids}, cand {cids}, top double")
+    found = found.groupBy("id").agg(F.min(F.struct((-F.col("top")).alias("down"), "cand")).alias("b")).select("id", F.col("b.cand").alias("cand"), (-F.col("b.down")).alias("top"))
+    ranked = _met_blocks(queries.join(found, "id"), pool, ("cand", "top")).mapInArrow(before, f"id {ids}, ahead long")
+    return ranked.groupBy("id").agg((F.sum("ahead") + 1).alias("r")).agg(F.round(F.avg(1 / F.col("r")), 6).alias("mrr"), F.count("*").alias("n_queries"))
+
+
 def separability(pairs: DataFrame) -> DataFrame:
     """pairs (sim, same): means, population deviations and the distance of means in pooled deviations."""
     pick = lambda f, same: f(F.when(F.col("same") == same, F.col("sim")))

@@ -62,6 +62,7 @@ _add(
  round(sum(h / least(k, n_pos)) / (SELECT count(*) FROM v), 4) AS recall_norm, round(sum(h / k) / (SELECT count(*) FROM v), 4) AS precision FROM h JOIN pos USING (query_id) WHERE n_pos > 0 GROUP BY k""",
 )
 _add("mrr", lambda s, d: R.mean_reciprocal_rank(ranked(s, d), vectors(s, d)), V, "SELECT round(avg(1 / r), 6) AS mrr, count(*) AS n_queries FROM (SELECT query_id, min(rank) AS r FROM rk WHERE rank <= 20 AND same GROUP BY 1)")
+_add("mrr_full", lambda s, d: R.full_reciprocal_rank(vectors(s, d), vectors(s, d)), V, "SELECT round(avg(1 / r), 6) AS mrr, count(*) AS n_queries FROM (SELECT query_id, min(rank) AS r FROM rk WHERE same GROUP BY 1)")
 _add(
     "separability",
     lambda s, d: R.separability(R.all_pairs(vectors(s, d).filter("id % 50 = 0"), vectors(s, d))),

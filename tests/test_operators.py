@@ -168,3 +168,15 @@ def test_streams(spark, tmp_path):
         q.stop()
     assert spark.table("seen").count() == 2
     assert {(r.e, r.n, r["mean"]) for r in spark.table("counts").collect()} == {("a", 2, 2.0), ("b", 1, 5.0)}
+
+
+def _line(spark, n):
+    """n records, the first and the last of one entity, the others of their own; the last is the first's farthest."""
+    rows = [(i, [1.0 - i / 100, 0.5], 0 if i in (0, n - 1) else i) for i in range(n)]
+    return spark.createDataFrame(rows, "id long, embedding array<double>, entity long")
+
+
+def test_reciprocal_rank_has_no_cut(spark):
+    v = _line(spark, 40)
+    got = retrieval.full_reciprocal_rank(v, v).first()
+    assert got.n_queries == 2 and got.mrr == round((1 / 39 + 1) / 2, 6)  # record 0 is most similar to itself and then to 1, 2...; 39 to 0
