@@ -146,6 +146,29 @@ def separability(pairs: DataFrame) -> DataFrame:
     return out.select(*[F.round(c, 6).alias(c) for c in out.columns])
 
 
+def full_separability(queries: DataFrame, pool: DataFrame) -> DataFrame:
+    """separability() of all pairs of both inputs (id, embedding, entity): counts, sums and squares from one blocked scan."""
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, _, _, sims, other, same, known in _block_sims(batches):
+            parts = [sims[other & same], sims[other & known & ~same]]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([True, False]), pa.array([len(x) for x in parts]), pa.array([float(x.sum()) for x in parts]), pa.array([float((x * x).sum()) for x in parts])], names=["same", "n", "s", "ss"]
+            )
+
+    met = _met_blocks(queries.select("id", "embedding", "entity"), pool.select("id", "embedding", "entity"))
+    pick = lambda c, same: F.sum(F.when(F.col("same") == same, F.col(c)))
+    of = {"pos": True, "neg": False}
+    got = met.mapInArrow(sums, "same boolean, n long, s double, ss double").agg(*[pick(c, same).alias(f"{c}_{name}") for name, same in of.items() for c in ("n", "s", "ss")])
+    for name in of:
+        n = F.when(F.col(f"n_{name}") > 0, F.col(f"n_{name}"))
+        got = got.withColumn(f"mean_{name}", F.col(f"s_{name}") / n)
+        got = got.withColumn(f"std_{name}", F.sqrt(F.greatest(F.lit(0.0), F.col(f"ss_{name}") / n - F.col(f"mean_{name}") ** 2)))
+    pooled = F.sqrt((F.col("std_pos") ** 2 + F.col("std_neg") ** 2) / 2)
+    got = got.withColumn("delta", (F.col("mean_pos") - F.col("mean_neg")) / F.when(pooled > 0, pooled))
+    return got.select(*[F.round(c, 6).alias(c) for c in ("mean_pos", "std_pos", "mean_neg", "std_neg", "delta")])
+
+
 def all_pairs(queries: DataFrame, pool: DataFrame, similarity: Column | None = None) -> DataFrame:
     """Every query with every candidate of another id: for stated, small query sets only."""
     sim = similarity if similarity is not None else dot(F.col("q"), F.col("c"))

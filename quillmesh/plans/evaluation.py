@@ -69,6 +69,12 @@ _add(
     V + ", m AS (SELECT avg(sim) FILTER (same) AS mp, stddev_pop(sim) FILTER (same) AS sp, avg(sim) FILTER (NOT same) AS mn, stddev_pop(sim) FILTER (NOT same) AS sn FROM sim WHERE query_id % 50 = 0)",
     "SELECT round(mp, 6) AS mean_pos, round(sp, 6) AS std_pos, round(mn, 6) AS mean_neg, round(sn, 6) AS std_neg, round((mp - mn) / sqrt((sp * sp + sn * sn) / 2), 6) AS delta FROM m",
 )
+_add(
+    "separability_full",
+    lambda s, d: R.full_separability(vectors(s, d), vectors(s, d)),
+    V + ", m AS (SELECT avg(sim) FILTER (same) AS mp, stddev_pop(sim) FILTER (same) AS sp, avg(sim) FILTER (NOT same) AS mn, stddev_pop(sim) FILTER (NOT same) AS sn FROM sim)",
+    "SELECT round(mp, 6) AS mean_pos, round(sp, 6) AS std_pos, round(mn, 6) AS mean_neg, round(sn, 6) AS std_neg, round((mp - mn) / sqrt((sp * sp + sn * sn) / 2), 6) AS delta FROM m",
+)
 _add("candidate_pool_stats", lambda s, d: R.pool_statistics(vectors(s, d)), V, "SELECT count(*) AS n_entities, max(n) AS max_positives, round(avg(n), 6) AS mean_positives, CAST(sum(CASE WHEN n > 1 THEN 1 ELSE 0 END) AS BIGINT) AS n_many FROM (SELECT count(*) AS n FROM v GROUP BY entity)")
 HARD = V + """, near AS (SELECT DISTINCT least(query_id, cand_id) AS id_a, greatest(query_id, cand_id) AS id_b FROM rk WHERE rank <= 20),
 hp AS (SELECT a.id AS id_a, b.id AS id_b, 1 AS label, CASE WHEN near.id_a IS NOT NULL THEN 'positive' ELSE 'hard_positive' END AS type FROM v a JOIN v b ON a.entity = b.entity AND a.id < b.id AND a.source <> b.source LEFT JOIN near ON near.id_a = a.id AND near.id_b = b.id

@@ -180,3 +180,9 @@ def test_reciprocal_rank_has_no_cut(spark):
     v = _line(spark, 40)
     got = retrieval.full_reciprocal_rank(v, v).first()
     assert got.n_queries == 2 and got.mrr == round((1 / 39 + 1) / 2, 6)  # record 0 is most similar to itself and then to 1, 2...; 39 to 0
+
+
+def test_separability_of_all_queries(spark):
+    v = spark.createDataFrame([(1, [1.0, 0.0], 1), (2, [0.0, 1.0], 1), (3, [1.0, 1.0], 2), (51, [1.0, 1.0], 2)], "id long, embedding array<double>, entity long")
+    got = retrieval.full_separability(v, v).first()  # no id divides by 50
+    assert (got.mean_pos, got.std_pos, got.mean_neg, got.std_neg) == (1.0, 1.0, 1.0, 0.0)
