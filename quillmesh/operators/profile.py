@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from quillmesh.functions.text import snake_case
 
 
+#: Ids of a range in which gaps are sought, and of a span in which missing ones are dealt out.
+GAP_RANGE = 4096
+
+
 def null_profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """(column, rows, nulls, null_pct, n_distinct): distinct values without null; one aggregation, then unpivoted."""
     columns = columns or df.columns
@@ -140,6 +144,15 @@ def missing_in_sequence(df: DataFrame, column: str, lo: int, hi: int) -> DataFra
     return df.sparkSession.range(lo, hi + 1).select(F.col("id").alias("missing")).join(df.select(F.col(column).alias("missing")), "missing", "left_anti")
 
 
+def missing_between_ends(df: DataFrame, column: str) -> DataFrame:
+    """Numbers between the column's least and greatest that it lacks: each gap is found by id_gaps() and dealt out from there."""
+    gaps = id_gaps(df, column, GAP_RANGE)
+    # a wide gap is cut in spans, so that no single row makes all of it
+    spans = F.sequence(F.lit(0).cast("long"), F.floor((F.col("n_missing") - 1) / GAP_RANGE))
+    cut = gaps.select("after_id", "next_id", F.explode(spans).alias("span")).withColumn("first", F.col("after_id") + 1 + F.col("span") * GAP_RANGE)
+    return cut.select(F.explode(F.sequence(F.col("first"), F.least(F.col("first") + GAP_RANGE, F.col("next_id")) - 1)).alias("missing"))
+
+
 def cleaning_plan(profile: DataFrame) -> DataFrame:
     """profile (column, dtype): which cleaning a column calls for."""
     name, text = F.lower("column"), F.col("dtype") == "string"

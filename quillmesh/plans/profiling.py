@@ -121,6 +121,7 @@ _add("key_duplicates_diff", lambda s, d: P.differing_columns(_docs(s, d).withCol
 _add("key_conflicts", lambda s, d: P.key_conflicts(t(s, d, "part"), "p_brand", "p_type"), "SELECT p_brand, count(DISTINCT p_type) AS n_values, string_agg(DISTINCT p_type, '|' ORDER BY p_type) AS \"values\" FROM part GROUP BY 1 HAVING count(DISTINCT p_type) > 1")
 _add("id_gaps", lambda s, d: P.id_gaps(t(s, d, "events").filter("event_id % 7 <> 3 and event_id % 11 <> 5"), "event_id", 1000), "SELECT * FROM (SELECT lag(event_id) OVER (ORDER BY event_id) AS after_id, event_id AS next_id, event_id - lag(event_id) OVER (ORDER BY event_id) - 1 AS n_missing FROM events WHERE event_id % 7 <> 3 AND event_id % 11 <> 5) WHERE n_missing > 0")
 _add("sequence_missing", lambda s, d: P.missing_in_sequence(t(s, d, "labels"), "doc_id", 0, 199), "SELECT i AS missing FROM range(200) r(i) WHERE i NOT IN (SELECT doc_id FROM labels)")
+_add("sequence_missing_full", lambda s, d: P.missing_between_ends(t(s, d, "labels"), "doc_id"), "SELECT missing FROM (SELECT unnest(range(min(doc_id), max(doc_id) + 1)) AS missing FROM labels) WHERE missing NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)")
 _add("date_coherence", lambda s, d: t(s, d, "lineitem").join(t(s, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).withColumn("days", F.datediff("l_shipdate", "o_orderdate")).agg(
     F.count("*").alias("n"), F.sum((F.col("days") < 0).cast("long")).alias("n_inverted"), F.sum((F.col("days") == 0).cast("long")).alias("n_same_day"), F.sum((~F.year("l_shipdate").between(1993, 2000)).cast("long")).alias("n_out_of_range"), F.round(F.avg("days"), 6).alias("mean_days")),
     "SELECT count(*) AS n, count(*) FILTER (days < 0) AS n_inverted, count(*) FILTER (days = 0) AS n_same_day, count(*) FILTER (y NOT BETWEEN 1993 AND 2000) AS n_out_of_range, round(avg(days), 6) AS mean_days FROM (SELECT date_diff('day', CAST(o_orderdate AS DATE), CAST(l_shipdate AS DATE)) AS days, year(l_shipdate) AS y FROM lineitem JOIN orders ON l_orderkey = o_orderkey)")

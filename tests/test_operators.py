@@ -186,3 +186,10 @@ def test_separability_of_all_queries(spark):
     v = spark.createDataFrame([(1, [1.0, 0.0], 1), (2, [0.0, 1.0], 1), (3, [1.0, 1.0], 2), (51, [1.0, 1.0], 2)], "id long, embedding array<double>, entity long")
     got = retrieval.full_separability(v, v).first()  # no id divides by 50
     assert (got.mean_pos, got.std_pos, got.mean_neg, got.std_neg) == (1.0, 1.0, 1.0, 0.0)
+
+
+def test_missing_between_ends_has_no_fixed_range(spark):
+    ids = [-3, 5, 5, 190, 250, 20_000, None]
+    got = sorted(r.missing for r in profile.missing_between_ends(spark.createDataFrame([(i,) for i in ids], "i long"), "i").collect())
+    assert got == sorted(set(range(-3, 20_001)) - set(ids))
+    assert profile.missing_between_ends(spark.createDataFrame([], "i long"), "i").count() == 0
