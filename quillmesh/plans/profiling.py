@@ -50,6 +50,11 @@ _add(
     lambda s, d: _docs(s, d).select("doc_id", X.name_key(F.substr("text", F.lit(1), F.lit(60))).alias("key"), X.name_key(F.substr("text", F.lit(1), F.lit(60)), sort_tokens=False).alias("key_v1")),
     f"SELECT doc_id, {KEY.format('substr(text, 1, 60)')} AS key, {KEY.format('substr(text, 1, 60)').replace('list_sort', '')} AS key_v1 FROM documents",
 )
+_add(
+    "name_key_full",
+    lambda s, d: _docs(s, d).select("doc_id", X.name_key(F.col("text")).alias("key"), X.name_key(F.col("text"), sort_tokens=False).alias("key_v1")),
+    f"SELECT doc_id, {KEY.format('text')} AS key, {KEY.format('text').replace('list_sort', '')} AS key_v1 FROM documents",
+)
 _add("whitespace_key", lambda s, d: _docs(s, d).select("doc_id", F.md5(F.upper(X.squeeze_space(F.translate("text", "ß", "s")))).alias("key")), f"SELECT doc_id, md5(upper({SQZ.format(chr(39).join(['replace(text, ', 'ß', ', ', 's', ')']))})) AS key FROM documents")
 _add(
     "numeric_parse",
@@ -137,6 +142,7 @@ SELECT n AS "column", CAST(x AS DOUBLE) AS null_pct, CASE WHEN n = 'c_custkey' T
 _add("target_dictionary", lambda s, d: P.target_dictionary(P.schema_rows(t(s, d, "orders")), [("key$", "ID"), ("date", "TIME"), ("price", "MONEY")]), """SELECT * FROM (VALUES ('o_orderkey', 'ID', 'o_orderkey', 'numeric', 'o_orderkey -> o_orderkey'), ('o_custkey', 'ID', 'o_custkey', 'numeric', 'o_custkey -> o_custkey'), ('o_orderstatus', 'other', 'o_orderstatus', 'categorical', 'o_orderstatus -> o_orderstatus'),
  ('o_totalprice', 'MONEY', 'o_totalprice', 'numeric', 'o_totalprice -> o_totalprice'), ('o_orderdate', 'TIME', 'o_orderdate', 'temporal', 'o_orderdate -> o_orderdate'), ('o_orderpriority', 'other', 'o_orderpriority', 'categorical', 'o_orderpriority -> o_orderpriority')) t("column", block, target, kind, lineage)""")
 _add("snake_case", lambda s, d: _docs(s, d).select("doc_id", X.snake_case(F.substr("text", F.lit(1), F.lit(40))).alias("name")), "SELECT doc_id, trim(regexp_replace(regexp_replace(lower(substr(text, 1, 40)), '[^a-z0-9]', '_', 'g'), '_+', '_', 'g'), '_') AS name FROM documents")
+_add("snake_case_full", lambda s, d: _docs(s, d).select("doc_id", X.snake_case(F.col("text")).alias("name")), "SELECT doc_id, trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9]', '_', 'g'), '_+', '_', 'g'), '_') AS name FROM documents")
 _nations = lambda s, d, n, c: t(s, d, n).select(F.col(c).alias("nation"))
 _add("union_by_name", lambda s, d: t(s, d, "supplier").select(F.col("s_name").alias("name"), F.col("s_nationkey").alias("nation"), F.lit("supplier").alias("kind")).unionByName(t(s, d, "customer").select(F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"), F.lit("customer").alias("kind")), allowMissingColumns=True), "SELECT s_name AS name, s_nationkey AS nation, 'supplier' AS kind, NULL AS segment FROM supplier UNION ALL SELECT c_name, NULL, 'customer', c_mktsegment FROM customer")
 _add("set_intersection", lambda s, d: _nations(s, d, "supplier", "s_nationkey").intersect(_nations(s, d, "customer", "c_nationkey")), "SELECT s_nationkey AS nation FROM supplier INTERSECT SELECT c_nationkey FROM customer")
