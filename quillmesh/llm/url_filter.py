@@ -59,12 +59,13 @@ def matched_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Colum
 
 
 def template_segments(path: Column, depth: int) -> Column:
-    """Segments of a path, those of a varying form as wildcards, and always `depth` of them ('' beyond the end)."""
+    """Segments of a path, those of a varying form as wildcards, and always `depth` of them ('' beyond the end); the last holds all deeper ones too."""
     parts = F.filter(F.split(path, "/"), lambda s: s != "")
     stem = lambda s: F.regexp_replace(s, r"\.[A-Za-z]{1,5}$", "")
     shape = lambda s: F.when(stem(s).rlike(VARIABLE), F.concat(F.lit("*"), F.regexp_extract(s, r"(\.[A-Za-z]{1,5})$", 1))).otherwise(s)
     shaped = F.transform(parts, shape)
-    return F.array(*[F.coalesce(F.get(shaped, F.lit(k)), F.lit("")) for k in range(depth)])
+    own = [F.coalesce(F.get(shaped, F.lit(k)), F.lit("")) for k in range(depth - 1)]
+    return F.array(*own, F.coalesce(F.array_join(F.slice(shaped, depth, F.greatest(F.lit(1), F.size(shaped))), "/"), F.lit("")))
 
 
 class TemplateTree:

@@ -83,6 +83,14 @@ def test_templates_learn_bad_branches(spark):
     assert len({r.template for r in out if r.host == "other"}) == 1  # a crowd of branches without labels
 
 
+def test_templates_tell_deep_branches_apart(spark):
+    rows = [("h", f"/a/b/c/{kind}/{k}", kind == "bad") for k in range(40) for kind in ("good", "bad")]
+    table = spark.createDataFrame(rows, "host string, path string, blocked boolean")
+    out = TemplateTree(table).judge(table).collect()
+    assert len(out) == 80 and all(r.rejected == r.blocked for r in out)
+    assert {r.template for r in out} == {"h/a/b/c/good/*", "h/a/b/c/bad/*"}
+
+
 def fill(sizes, share=1.5, cap=2.0):
     names = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
     weight = {s: (3, 1, 2)[i % 3] for i, s in enumerate(names)}
