@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -12,19 +13,30 @@ _OWN: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where the session names none."""
+    """The folder named by spark.checkpoint.dir. Without one, a temporary folder in local mode, and an error elsewhere."""
     sc = spark.sparkContext
     folder = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = _OWN.setdefault(sc.applicationId, "") or tempfile.mkdtemp(prefix="quillmesh-stage")
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = _OWN.get(sc.applicationId) or tempfile.mkdtemp(prefix="quillmesh-stage")
         _OWN[sc.applicationId] = folder
     return folder.rstrip("/")
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of finished plans now, not when the driver next happens to collect garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+#: Spark's own switch that deletes a plan's shuffle files when its execution ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_end_here(spark: SparkSession) -> Iterator[None]:
+    """Plans executed inside leave no shuffle files; each written table is read from its files only."""
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, before)
 
 
 class Stage:
@@ -34,11 +46,11 @@ class Stage:
         self.spark = spark
         self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
-    def put(self, df: DataFrame, name: str) -> DataFrame:
-        """Write df, and return it as read from the written table."""
+    def put(self, df: DataFrame, name: str, **options) -> DataFrame:
+        """Write df with the writer's options, and return it as read from the written table."""
         path = f"{self.root}/{name}"
-        df.write.mode("overwrite").parquet(path)
-        release(self.spark)
+        with shuffles_end_here(self.spark):
+            df.write.mode("overwrite").options(**options).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
