@@ -1,10 +1,12 @@
 """Quality classifier: supervised subword embeddings, averaged per document, with a softmax output.
 
-A text's features are its words and the byte 3- and 4-grams inside words and at their ends, hashed to 2^18
-buckets, and one feature each for a word that repeats the word before and a 3-word run met before. Each bucket has a learned vector; a document is the mean of its features' vectors; a linear layer
-with softmax gives the classes. Vectors and layer are trained together by numpy stochastic gradient descent
-on the driver, on at most max_rows labelled documents, taken in the order of a hash of doc_id (the bound is
-a parameter; executors turn texts to bucket counts, so the driver holds at most 2^18 buckets a row).
+A text's features are its words and the character (code point) 3- and 4-grams inside words and at their ends, hashed
+to 2^18 buckets, and two signs with buckets of their own, one for each word that repeats the word before and one for
+each 3-word run met before: n-grams alone can't tell a text that repeats itself. Each bucket has a learned vector; a
+document is the mean of its features' vectors; a linear layer with softmax gives the classes. Vectors and layer are
+trained together by numpy stochastic gradient descent on the driver, on labelled documents taken in the order of a
+hash of doc_id, max_rows and max_bytes of text at most (both are parameters; executors turn texts to bucket counts, so
+what the driver holds is bounded by some 20 bytes for each byte of text).
 
 Scoring: the difference of the two outputs is linear in the mean vector, so each bucket's vector is folded
 into one number beforehand and a document's logit is a mean of looked-up numbers: 1 MB is broadcast.
@@ -20,18 +22,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from quillmesh.llm.tokens import SPACE, gram_hashes, grams_inside, text_groups, word_bounds, word_hashes
+from quillmesh.llm.tokens import gram_hashes, grams_inside, mix, text_groups, word_bounds, word_hashes
 from quillmesh.session import ship_package
 
 BUCKET_BITS = 18
 WIDTH = 16
 MAX_ROWS = 6000
-SAME, SEEN = 0, 1
+MAX_BYTES = 1 << 25
+SAME, SEEN = 1 << BUCKET_BITS, (1 << BUCKET_BITS) + 1
+BUCKETS = (1 << BUCKET_BITS) + 2
+#: ASCII white space by code point.
+BLANKS = np.array([9, 10, 11, 12, 13, 32], np.uint32)
 FOLDS = 5
 
 
@@ -42,24 +48,26 @@ def features(data: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[np.ndarray,
     words, last = word_hashes(data, starts, ends), np.concatenate([[0], np.cumsum(counts)])
     yield (words >> shift).astype(np.int32), last
     yield from _again(words, counts, last)
-    solid = ~SPACE[data]
-    plain = np.where(solid, data, 32).astype(np.uint64)
-    cut = np.zeros(len(data) + 1, bool)
-    cut[bounds] = True
+    points = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32)
+    ends_at = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[bounds]
+    solid = ~np.isin(points, BLANKS) if len(points) else np.zeros(0, bool)
+    signs = mix(np.where(solid, points, 32).astype(np.uint64) + np.uint64(1))
+    cut = np.zeros(len(points) + 1, bool)
+    cut[ends_at] = True
     for n, odd in ((3, 0x9E3779B97F4A7C15), (4, 0xC2B2AE3D27D4EB4F)):
-        m = len(data) - n + 1
+        m = len(points) - n + 1
         if m <= 0:
             yield np.zeros(0, np.int32), np.zeros(len(bounds), np.int64)
             continue
         key, ok = np.zeros(m, np.uint64), np.ones(m, bool)
         for k in range(n):
-            key |= plain[k : k + m] << np.uint64(8 * k)
+            key = key * np.uint64(odd) + signs[k : k + m]
             if 0 < k < n - 1:
                 ok &= solid[k : k + m]
             if k:
                 ok &= ~cut[k : k + m]
         at = np.flatnonzero(ok)
-        yield ((key[at] * np.uint64(odd)) >> shift).astype(np.int32), np.searchsorted(at, bounds)
+        yield (key[at] >> shift).astype(np.int32), np.searchsorted(at, ends_at)
 
 
 def _again(words: np.ndarray, counts: np.ndarray, last: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -92,10 +100,10 @@ class Model:
 
     def __init__(self, classes: int = 2, width: int = WIDTH, seed: int = 1):
         rng = np.random.default_rng(seed)
-        self.vectors = ((rng.random((1 << BUCKET_BITS, width), np.float32) - 0.5) / width).astype(np.float32)
+        self.vectors = ((rng.random((BUCKETS, width), np.float32) - 0.5) / width).astype(np.float32)
         self.output, self.bias = np.zeros((width, classes), np.float32), np.zeros(classes, np.float32)
 
-    def fit(self, rows: list[tuple[int, np.ndarray, np.ndarray]], epochs: int = 12, rate: float = 0.5, seed: int = 2) -> Model:
+    def fit(self, rows: list[tuple[int, np.ndarray, np.ndarray]], epochs: int = 6, rate: float = 0.5, seed: int = 2) -> Model:
         """rows: (label, buckets, counts). One step a row, with a rate that falls linearly to 0."""
         rng, total, step = np.random.default_rng(seed), max(1, epochs * len(rows)), 0
         for _ in range(epochs):
@@ -122,12 +130,17 @@ class Model:
         return self.vectors @ (self.output[:, 1] - self.output[:, 0]), float(self.bias[1] - self.bias[0])
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, label: str = "quality") -> Model | None:
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES, label: str = "quality") -> Model | None:
     """A model of the labelled documents; labels: (doc_id, the label column of 0 and 1)."""
     ship_package(docs.sparkSession)
     known = labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(label).alias("label"), F.max(label).alias("top"))
     chosen = known.filter("label = top").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows).select("doc_id", "label")
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("label").cast("int").alias("label"))
+    # at most max_rows rows from here
+    chosen = F.broadcast(chosen)
+    sizes = docs.select("doc_id", F.octet_length("text").alias("size")).join(chosen, "doc_id").groupBy("doc_id", "label").agg(F.max("size").alias("size"))
+    upto = F.sum(F.coalesce("size", F.lit(0))).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0))
+    within = sizes.withColumn("upto", upto).filter(F.col("upto") <= max_bytes).select("doc_id", "label")
+    texts = docs.select("doc_id", "text").join(F.broadcast(within), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("label").cast("int").alias("label"))
     got = texts.mapInArrow(_count_rows, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, label int, ids binary, ns binary")
     rows = sorted(got.toLocalIterator(), key=lambda r: r.doc_id)
     if not rows:
@@ -139,7 +152,7 @@ def score(docs: DataFrame, model: Model | None, column: str = "score", keep_text
     """docs, with text or without, with the probability of class 1."""
     ship_package(docs.sparkSession)
     docs = docs.drop(column)
-    folded = docs.sparkSession.sparkContext.broadcast(model.folded() if model else (np.zeros(1 << BUCKET_BITS, np.float32), 0.0))
+    folded = docs.sparkSession.sparkContext.broadcast(model.folded() if model else (np.zeros(BUCKETS, np.float32), 0.0))
     kept = [f for f in docs.schema.fields if keep_text or f.name != "text"]
     schema = T.StructType([*kept, T.StructField(column, T.DoubleType())])
     target = to_arrow_schema(schema)
