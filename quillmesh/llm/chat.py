@@ -6,7 +6,8 @@ backslashes, `|` gets one more backslash, so `<|` never occurs there and removin
 
 Cases: a null text is empty, a null role is the role '' and no loss, null turns come first; equal turn
 numbers are ordered by role, then text; repeated rows stay repeated turns; a null conv_id is a
-conversation of its own; other columns are ignored; an empty table gives no rows.
+conversation of its own; other columns are ignored; an empty table gives no rows. A conversation becomes one
+string, so its turns meet in one task. The query plants conversation -1; rows of that id in the table would join it.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ def unescaped(c: Column) -> Column:
 
 
 def format_chats(rows: DataFrame) -> DataFrame:
-    """(conv_id, formatted, loss_spans): loss_spans are code points [start, end) of assistant texts in formatted."""
+    """(conv_id, formatted, loss_spans): loss_spans are code points [start, end) in formatted, one for each assistant turn's text."""
     turn = F.struct(
         F.col("turn"), escaped(F.coalesce("role", F.lit(""))).alias("role"), escaped(F.coalesce("text", F.lit(""))).alias("text")
     )
@@ -38,11 +39,16 @@ def format_chats(rows: DataFrame) -> DataFrame:
         F.expr("transform(heads, (h, k) -> struct(t[h].role AS role, transform(slice(t, h + 1, coalesce(get(heads, k + 1), size(t)) - h), x -> x.text) AS texts))"),
     )
     got = got.withColumn("parts", F.expr(f"transform(blocks, b -> concat('{BEGIN}', b.role, '{BODY}', array_join(b.texts, '{NEXT}'), {_sql(END)}))"))
+    none = "CAST(array() AS array<struct<start:int,end:int>>)"
+    # a span for each text of a block, so that no mark between merged turns is under the mask
+    inner = (
+        f"aggregate(b.texts, struct(a.at + {len(BEGIN + BODY)} + char_length(b.role) AS at, {none} AS spans), (x, t) -> struct("
+        f"x.at + char_length(t) + {len(NEXT)} AS at, concat(x.spans, array(struct(x.at AS start, x.at + char_length(t) AS end))) AS spans), x -> x.spans)"
+    )
     span = (
-        "aggregate(blocks, struct(0 AS at, CAST(array() AS array<struct<start:int,end:int>>) AS spans), (a, b) -> struct("
+        f"aggregate(blocks, struct(0 AS at, {none} AS spans), (a, b) -> struct("
         f"a.at + char_length(array_join(b.texts, '{NEXT}')) + char_length(b.role) + {len(BEGIN + BODY + END)} AS at, "
-        f"IF(b.role = 'assistant', concat(a.spans, array(struct(a.at + {len(BEGIN + BODY)} + char_length(b.role) AS start, "
-        f"a.at + {len(BEGIN + BODY)} + char_length(b.role) + char_length(array_join(b.texts, '{NEXT}')) AS end))), a.spans) AS spans), a -> a.spans)"
+        f"IF(b.role = 'assistant', concat(a.spans, {inner}), a.spans) AS spans), a -> a.spans)"
     )
     return got.select("conv_id", F.array_join("parts", "").alias("formatted"), F.expr(span).alias("loss_spans"))
 
@@ -59,10 +65,8 @@ def read_chats(formatted: DataFrame) -> DataFrame:
         f"x -> struct(substring(b, 1, instr(b, '{BODY}') - 1) AS role, x AS text))))"
     )
     plain = lambda c: F.transform(c, lambda x: F.struct(unescaped(x["role"]).alias("role"), unescaped(x["text"]).alias("text")))
-    loss = f"flatten(transform(loss_spans, s -> split(substring(formatted, s.start + 1, s.end - s.start), '{_re(NEXT)}', -1)))"
-    return formatted.withColumn("_t", F.expr(turns)).select(
-        "conv_id", "formatted", plain("_t").alias("turns"), F.transform(F.expr(loss), unescaped).alias("loss_texts")
-    )
+    loss = "transform(loss_spans, s -> substring(formatted, s.start + 1, s.end - s.start))"
+    return formatted.select("conv_id", "formatted", plain(F.expr(turns)).alias("turns"), F.transform(F.expr(loss), unescaped).alias("loss_texts"))
 
 
 def _re(mark: str) -> str:
