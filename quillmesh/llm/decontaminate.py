@@ -5,8 +5,9 @@ symbols are word numbers, its patterns the windows of 13 consecutive item words
 window). Each document is scanned once; hits are word ranges, mapped back to code points.
 
 Size: windows are streamed from the benchmark into blocks of at most max_windows, and each block is one
-automaton and one broadcast of bounded size. One block is the usual case and needs no shuffle and no
-stage table; with more, the documents pass through the shared folder once a block.
+automaton and one broadcast of bounded size (some 200 bytes a window). A benchmark of up to max_windows windows, some
+200,000 words, is one automaton and one scan, without shuffle or stage table; a larger one needs a scan and a pass
+through the shared folder for each block, and gives the same rows.
 
 Cases: null or empty texts have no words, no hits and are not contaminated; items without words are
 ignored; a null item_id marks words but is not named; repeated rows and ids are judged row by row; input
@@ -29,11 +30,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from quillmesh.functions.names import spare
 from quillmesh.session import ship_package
 from quillmesh.storage import Stage
 
 WINDOW = 13
-MAX_WINDOWS = 60_000
+MAX_WINDOWS = 200_000
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 RAW_WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 OUT = ["n_words", "n_hit", "items", "hit_spans", "contaminated"]
@@ -127,7 +129,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     ship_package(spark)
     docs = docs.drop(*OUT)
     others = [f for f in docs.schema.fields if f.name != "text"]
-    carried = T.StructType([*others, T.StructField("text", T.StringType()), T.StructField("_ranges", T.ArrayType(T.IntegerType())), T.StructField("_items", T.ArrayType(T.StringType()))])
+    state = [spare(n, docs.columns) for n in ("ranges", "item_ids")]
+    carried = T.StructType([*others, T.StructField("text", T.StringType()), T.StructField(state[0], T.ArrayType(T.IntegerType())), T.StructField(state[1], T.ArrayType(T.StringType()))])
     tail = [
         T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("items", T.ArrayType(T.StringType())),
         T.StructField("hit_spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))),
@@ -139,15 +142,15 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     block = next(blocks, {})
     stage, k = Stage(spark, "decontaminate"), 0
     while (following := next(blocks, None)) is not None:
-        scan = _pass(spark.sparkContext.broadcast(block), carried, None, share, keep_text)
+        scan = _pass(spark.sparkContext.broadcast(block), carried, None, state, share, keep_text)
         docs = stage.put(docs.mapInArrow(scan, carried), f"block{k}")
         if k:
             stage.drop(f"block{k - 1}")
         block, k = following, k + 1
-    return docs.mapInArrow(_pass(spark.sparkContext.broadcast(block), carried, final, share, keep_text), final)
+    return docs.mapInArrow(_pass(spark.sparkContext.broadcast(block), carried, final, state, share, keep_text), final)
 
 
-def _pass(block, carried: T.StructType, final: T.StructType | None, share: int, keep_text: bool):
+def _pass(block, carried: T.StructType, final: T.StructType | None, state: list[str], share: int, keep_text: bool):
     target = to_arrow_schema(final or carried)
     names = [f.name for f in target][: -5 if final else -3]
     names = [n for n in names if n != "text"]
@@ -157,10 +160,10 @@ def _pass(block, carried: T.StructType, final: T.StructType | None, share: int,
         scanner = _scanner(key, block)
         for batch in batches:
             table = pa.Table.from_batches([batch])
-            earlier = table.column("_ranges").to_pylist() if "_ranges" in table.column_names else None
-            before = table.column("_items").to_pylist() if earlier is not None else None
+            earlier = table.column(state[0]).to_pylist() if state[0] in table.column_names else None
+            before = table.column(state[1]).to_pylist() if earlier is not None else None
             texts = _text_bytes(table.column("text").combine_chunks())
-            cols: dict[str, list] = {n: [] for n in (OUT if final else ["_ranges", "_items"])}
+            cols: dict[str, list] = {n: [] for n in (OUT if final else state)}
             for i, text in enumerate(texts):
                 words = words_of(text)
                 ranges, items = scanner.scan(words)
@@ -169,8 +172,8 @@ def _pass(block, carried: T.StructType, final: T.StructType | None, share: int,
                     ranges = union_ranges(ranges + list(zip(flat[::2], flat[1::2], strict=True)))
                     items |= set(before[i])
                 if not final:
-                    cols["_ranges"].append([x for r in ranges for x in r])
-                    cols["_items"].append(sorted(items))
+                    cols[state[0]].append([x for r in ranges for x in r])
+                    cols[state[1]].append(sorted(items))
                     continue
                 hit = sum(b - a for a, b in ranges)
                 cols["n_words"].append(len(words))
