@@ -3,7 +3,7 @@
 Documents are dealt by ranges of doc_id, sorted, and encoded; every shard of about shard_tokens tokens (at
 least one document) becomes one file image: a header, the end offset of each document, and one bit-plane per
 bit of the largest id, compressed. Images are rows (first doc_id, partition, number, image) of a Parquet
-table in the shared folder, so executors need no file system of their own and a lost one is redone by Spark.
+table in the shared folder, one row a file, so executors need no file system of their own and a lost one is redone by Spark.
 
 A wavelet matrix orders each plane by the bits above it. access(i) follows one bit a plane; rank(id, i)
 counts an id among the first i tokens; select(id, k) finds its k-th occurrence; all from the planes and a
@@ -280,7 +280,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, stage: Stage, name: str =
     partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     dealt = rows.repartitionByRange(partitions, "doc_id").sortWithinPartitions("doc_id", "text")
-    return stage.put(dealt.mapInArrow(_shard_rows(tokenizer_path, shard_tokens), "first_doc long, part int, number int, n_tokens long, doc_ids array<long>, image binary"), name)
+    return stage.put(dealt.mapInArrow(_shard_rows(tokenizer_path, shard_tokens), "first_doc long, part int, number int, n_tokens long, doc_ids array<long>, image binary"), name, maxRecordsPerFile=1)
 
 
 def _read_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
