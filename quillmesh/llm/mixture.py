@@ -10,7 +10,7 @@ target over its block length in slots; the slots are at most `slots` and PARTS m
 the fraction of i times the golden ratio's inverse; the source whose interval of cumulative needs holds this point
 gets the slot, and slots of a source are ranked by their number. Each source's documents, in the order of a hash, are
 one stream of tokens cut into its blocks; the k-th slot of a source takes its block k, counted round when all blocks
-are taken.
+are taken, and `cap` times (a whole number) at most.
 
 Places in a source's stream come from sums over hash ranges of documents first and a running sum inside a
 range then, so that a source with a third of all rows is no single task. Blocks and slots meet by (source,
@@ -96,13 +96,15 @@ def schedule(sources: DataFrame) -> DataFrame:
 
 
 class Mixture:
-    """sources, schedule, and documents with what the mix takes of each."""
+    """sources, schedule, and documents with what the mix takes of each; text_key is xxhash64 of the text."""
 
-    def __init__(self, docs: DataFrame, share: float = 1.5, cap: float = 2.0, slots: int = SLOTS, weights=WEIGHTS):
+    def __init__(self, docs: DataFrame, share: float = 1.5, cap: int = 2, slots: int = SLOTS, weights=WEIGHTS):
+        if cap != int(cap) or cap < 1:
+            raise ValueError("cap must be a whole number of times")
         spark = docs.sparkSession
         stage = Stage(spark, "mixture")
         key = F.xxhash64(F.col("doc_id").cast("string"), F.lit(17))
-        sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), key.alias("order"), F.xxhash64("text").alias("tie"))
+        sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), key.alias("order"), F.xxhash64("text").alias("text_key"))
         self.sized = stage.put(sized, "sized")
         sizes = self.sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows"))
         self.sources = stage.put(needs(targets(sizes, share, cap, weights), slots), "sources")
@@ -113,23 +115,21 @@ class Mixture:
         sums = named.groupBy("rank", "range").agg(F.sum("size").alias("own"))
         before = Window.partitionBy("rank").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
         sums = sums.select("rank", "range", F.coalesce(F.sum("own").over(before), F.lit(0)).alias("base"))
-        inside = Window.partitionBy("rank", "range").orderBy("order", "doc_id", "tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        inside = Window.partitionBy("rank", "range").orderBy("order", "doc_id", "text_key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
         placed = named.withColumn("upto", F.sum("size").over(inside)).join(sums, ["rank", "range"])
         placed = placed.withColumn("end", F.col("base") + F.col("upto")).withColumn("start", F.col("end") - F.col("size"))
-        self.placed = stage.put(placed.withColumn("row", F.monotonically_increasing_id()).drop("base", "upto", "order", "tie", "range", "ranges"), "placed")
+        self.placed = stage.put(placed.withColumn("row", F.monotonically_increasing_id()).drop("base", "upto", "order", "range", "ranges"), "placed")
         self.schedule = schedule(self.sources)
         blocks = self.sources.select("rank", "block", F.greatest(F.lit(1), F.ceil(F.col("source_size") / F.col("block"))).cast("long").alias("n_blocks"))
-        turns = self.schedule.join(blocks, "rank").select("slot", "rank", "turn", F.pmod("turn", "n_blocks").alias("at"), "block")
+        # a block is taken `cap` times at most, whatever the points give its source
+        turns = self.schedule.join(blocks, "rank").filter(F.col("turn") < F.col("n_blocks") * int(cap)).select("slot", "rank", "turn", F.pmod("turn", "n_blocks").alias("at"), "block")
         self.turns = turns
         times = turns.groupBy("rank", "at").agg(F.count("*").alias("times"))
         first, last = F.floor(F.col("start") / F.col("block")), F.floor((F.col("end") - 1) / F.col("block"))
         pieces = self.placed.filter("size > 0").select("row", "rank", "start", "end", "block", F.explode(F.sequence(first, last)).alias("at"))
         part = F.least("end", (F.col("at") + 1) * F.col("block")) - F.greatest("start", F.col("at") * F.col("block"))
         taken = pieces.join(times, ["rank", "at"]).groupBy("row").agg(F.sum(part * F.col("times")).alias("taken"))
-        most = (F.col("size") * F.lit(float(cap))).cast("long")
-        self.documents = self.placed.join(taken, "row", "left").select(
-            "doc_id", "source", "size", "source_size", "target", F.least(F.coalesce("taken", F.lit(0)), most).alias("taken")
-        )
+        self.documents = self.placed.join(taken, "row", "left").select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"), "text_key")
 
 
 def op6_query(spark, sf_dir: str) -> DataFrame:
