@@ -1,8 +1,9 @@
 """Secret scans: keyword prefilter by one automaton, anchored expressions at its hits, checksum validation.
 
 One Aho-Corasick automaton over lower-cased keywords scans each text once; only where a keyword starts is
-the expression of its kind tried, anchored there. Kinds with an embedded checksum are kept only if it holds.
-Runs of hexadecimal digits have no keyword; maximal runs are taken by one linear expression.
+the expression of its kind tried, anchored there. Kinds with an embedded checksum are kept only if it holds; the base
+kinds have none. Runs of hexadecimal digits have one keyword, too, 16 digits, found in the text with every digit as one
+sign by a substring search, which is an automaton's work for a single keyword.
 
 Kinds, in this order: assign, access, hex (base kinds: whole match, leftmost and non-overlapping per kind),
 github and npm (tokens whose last six base-62 digits are the CRC-32 of the thirty characters before).
@@ -41,6 +42,9 @@ KEYWORDS = {
 ASSIGN = re.compile(rb"(?i:(password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
 ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 HEX = re.compile(rb"[0-9a-f]{16,}")
+#: Hexadecimal digits as one sign; 16 of it are the keyword of their kind.
+HEX_SIGN = bytes(1 if b in b"0123456789abcdef" else 0 for b in range(256))
+HEX_KEY = b"\x01" * 16
 CHECKED = {"github": re.compile(rb"gh[pousr]_([0-9A-Za-z]{30})([0-9A-Za-z]{6})(?![0-9A-Za-z])"), "npm": re.compile(rb"npm_([0-9A-Za-z]{30})([0-9A-Za-z]{6})(?![0-9A-Za-z])")}
 DIGITS = b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 
@@ -65,7 +69,13 @@ def _automaton():
 
 def find_spans(text: bytes) -> list[tuple[int, int, int]]:
     """(start, kind number, end) in bytes, sorted."""
-    spans = [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
+    spans = []
+    signs, at = text.translate(HEX_SIGN), 0
+    while (at := signs.find(HEX_KEY, at)) >= 0:
+        # the first sign of the first 16 in a row, so the expression begins where the run does
+        end = HEX.match(text, at).end()
+        spans.append((at, 2, end))
+        at = end
     # lower() of bytes folds A-Z only; one character a byte keeps the places
     hits = sorted((end + 1 - n, kind) for end, (kind, n) in _automaton().iter(text.lower().decode("latin-1")))
     done = dict.fromkeys(KINDS, 0)
