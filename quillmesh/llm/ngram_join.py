@@ -47,6 +47,7 @@ FLUSH = 1 << 22
 STEPS = np.array([1, 2, 3, 4, 5, 6, 8, 12, 18, 32, 64, 128, 512, 2048, 16384])
 RANGES = 1024
 MEMBERS = 512
+ROUNDS = 8
 
 
 def text_sets(batches: Iterator[pa.RecordBatch], run: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
@@ -114,10 +115,7 @@ def _merge_rows(size: int):
 
 def sketch_bits(docs: DataFrame, max_cells: int) -> int:
     """Cells for an input of this size: about one for two runs, a power of two."""
-    try:
-        size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
-    except Exception:  # no estimate: the largest sketch is right at any size
-        size = max_cells
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return int(min(max(size * 0.13, 1 << 12), max_cells) - 1).bit_length()
 
 
@@ -168,7 +166,7 @@ def _profile_rows(run: int, percent: int, bits: int, key: str, sketch, schema: p
                 else:
                     prefix.append(None), ranges.append(None), low.append(None), high.append(None)
             yield pa.RecordBatch.from_arrays(
-                [rows.column(0), pa.array(n), pa.array(low, pa.int64()), pa.array(high, pa.int64()), pa.array(prefix, pa.binary()), pa.array(ranges, pa.list_(pa.int64()))],
+                [rows.column(0), rows.column(1), pa.array(n), pa.array(low, pa.int64()), pa.array(high, pa.int64()), pa.array(prefix, pa.binary()), pa.array(ranges, pa.list_(pa.int64()))],
                 schema=schema,
             )
 
@@ -222,6 +220,28 @@ def _shared(cols, partner, last, keep, done) -> pa.RecordBatch:
     )
 
 
+def _other_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From postings sorted by run: each node with the nearest one before it, in its run, of another component."""
+    held: list[np.ndarray] | None = None  # the row before the last row's block, if its run has one, and the last row
+    for batch in batches:
+        cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(3)]
+        if not len(cols[0]):
+            continue
+        seen = 0
+        if held is not None:
+            seen = len(held[0])
+            cols = [np.concatenate([h, c]) for h, c in zip(held, cols, strict=True)]
+        run, node, comp = cols
+        fresh = np.concatenate([[True], run[1:] != run[:-1]])
+        starts = fresh | np.concatenate([[True], comp[1:] != comp[:-1]])
+        first = np.flatnonzero(starts)[np.cumsum(starts) - 1]
+        has = ~fresh[first]
+        at = seen + np.flatnonzero(has[seen:])
+        yield pa.RecordBatch.from_arrays([pa.array(node[at]), pa.array(node[first[at] - 1])], names=["node", "partner"])
+        end = len(run) - 1
+        held = [c[[first[end] - 1, end] if has[end] else [end]] for c in cols]
+
+
 def _verify_rows(percent: int):
     """From rows (pair centre, salt, doc, is_centre, hashes) sorted so that a centre leads its members: the verified pairs."""
 
@@ -266,40 +286,40 @@ def _set_rows(run: int):
 class NgramJoin:
     """The join's tables.
 
-    classes: (doc_id, n, node), a row for each input row; nodes are the distinct sets. reps: (node, rep) with
-    the least doc_id of each. links: verified pairs of nodes (a, b, both, either) that connect all that is
-    connected. components: (node, component_id), the least doc_id reachable, for nodes that have links.
+    classes: (doc_id, key, n, node), a row for each input row, key a hash of its text; nodes are the distinct sets.
+    reps: (node, rep) with the least doc_id of each. links: verified pairs of nodes (a, b, both, either), of which at
+    most one joins two components of a round, so that there are few more than they need. labels: (node, component),
+    the least node reachable, for nodes that have links; components: (node, component_id), the least doc_id.
     """
 
-    def __init__(self, docs: DataFrame, run: int = RUN, percent: int = 80, max_cells: int = MAX_CELLS):
-        self.spark, self.run, self.percent, self.max_cells = docs.sparkSession, run, percent, max_cells
+    def __init__(self, docs: DataFrame, run: int = RUN, percent: int = 80, max_cells: int = MAX_CELLS, rounds: int = ROUNDS):
+        self.spark, self.run, self.percent, self.max_cells, self.rounds = docs.sparkSession, run, percent, max_cells, rounds
         ship_package(self.spark)
-        self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+        self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("key"))
         self.stage = Stage(self.spark, "ngram_join")
         self._profiles()
         self._postings()
-        links = self.stage.put(self._verified(self._first_pairs(), "first"), "links1")
-        comp = self.stage.put(connected_components(links, "a", "b"), "components1")
-        more = self.stage.put(self._verified(self._cross_pairs(comp), "cross"), "links2")
-        self.links = links.unionByName(more)
-        comp = self.stage.put(connected_components(comp.toDF("a", "b").union(more.select("a", "b")), "a", "b"), "components2")
-        least = comp.join(self.reps.select("node", "rep"), "node").groupBy("component").agg(F.min("rep").alias("component_id"))
-        self.components = self.stage.put(comp.join(least, "component").select("node", "component_id"), "components")
-        self.stage.drop("postings", "sets_first", "sets_cross", "mixed")
+        self._sets()
+        self.last = False
+        self._rounds()
+        least = self.labels.join(self.reps.select("node", "rep"), "node").groupBy("component").agg(F.min("rep").alias("component_id"))
+        self.components = self.stage.put(self.labels.join(least, "component").select("node", "component_id"), "components")
+        self.stage.drop("postings", "sets")
 
     def _profiles(self) -> None:
         bits = sketch_bits(self.docs, self.max_cells)
         sketch = self.spark.sparkContext.broadcast(run_sketch(self.docs, self.run, bits))
-        kind = "doc_id long, n long, low long, high long, prefix binary, ranges array<bigint>"
-        schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("low", pa.int64()), ("high", pa.int64()), ("prefix", pa.binary()), ("ranges", pa.list_(pa.int64()))])
-        rows = self.docs.mapInArrow(_profile_rows(self.run, self.percent, bits, uuid.uuid4().hex, sketch, schema), kind)
+        kind = "doc_id long, key long, n long, low long, high long, prefix binary, ranges array<bigint>"
+        schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("low", pa.int64()), ("high", pa.int64()), ("prefix", pa.binary()), ("ranges", pa.list_(pa.int64()))])
+        rows = self.docs.select("doc_id", "key", "text").mapInArrow(_profile_rows(self.run, self.percent, bits, uuid.uuid4().hex, sketch, schema), kind)
         profiles = self.stage.put(rows, "profiles")
-        key = ["low", "high", "n"]
-        reps = profiles.filter("doc_id is not null and n > 0").groupBy(*key).agg(
+        sketch.destroy()
+        same = ["low", "high", "n"]
+        reps = profiles.filter("doc_id is not null and n > 0").groupBy(*same).agg(
             F.min("doc_id").alias("rep"), F.first("prefix").alias("prefix"), F.first("ranges").alias("ranges")
         )
         self.reps = self.stage.put(reps.withColumn("node", F.monotonically_increasing_id()), "reps")
-        self.classes = self.stage.put(profiles.select("doc_id", *key).join(self.reps.select(*key, "node"), key, "left").select("doc_id", "n", "node"), "classes")
+        self.classes = self.stage.put(profiles.select("doc_id", "key", *same).join(self.reps.select(*same, "node"), same, "left").select("doc_id", "key", "n", "node"), "classes")
         self.stage.drop("profiles")
 
     def _postings(self) -> None:
@@ -308,6 +328,61 @@ class NgramJoin:
         dealt = rows.repartition("run").sortWithinPartitions("run", "n", "node")
         self.postings = self.stage.put(dealt.mapInArrow(_shared_rows, "run long, node long, n int, pos int, partner long"), "postings")
 
+    def _sets(self) -> None:
+        """Whole sets of the nodes that share a prefix run with another."""
+        wanted = self.reps.join(self.postings.select("node").distinct(), "node", "left_semi").select("node", "low", "high", F.col("rep").alias("doc_id"))
+        texts = self.docs.join(wanted, "doc_id").select("node", "low", "high", "text")
+        self.sets = self.stage.put(texts.mapInArrow(_set_rows(self.run), "node long, hashes binary"), "sets")
+
+    def _rounds(self) -> None:
+        """Rounds of one try a node while they link many components, then all pairs that are left."""
+        self.labels = self.spark.createDataFrame([], "node long, component long")
+        posts, pairs, tried, counts = self.postings, self._one_try(self.postings, None, 1), None, []
+        for k in range(1, self.rounds + 2):
+            pairs = self.stage.put(pairs, f"tried{k}")
+            tried = pairs if tried is None else tried.unionByName(pairs)
+            links = self.stage.put(self._spanning(self._verified(pairs)), f"links{k}")
+            self.links = links if k == 1 else self.links.unionByName(links)
+            counts.append(links.count())
+            if counts[-1]:
+                self._merge(links, k)
+            if self.last:
+                break
+            posts = self.stage.put(self._mixed(posts), f"mixed{k}")
+            self.stage.drop(f"mixed{k - 1}")
+            # another round pays while it links a tenth of what the first one did
+            self.last = k == self.rounds or counts[-1] * 10 <= counts[0]
+            pairs = self._all_pairs(posts, tried) if self.last else self._one_try(posts, tried, k + 1)
+        self.stage.drop(*[f"{name}{j}" for name in ("mixed", "tried") for j in range(1, k + 1)])
+
+    def _labelled(self, rows: DataFrame, name: str, label: str) -> DataFrame:
+        """rows with the component of the node in the column called name."""
+        found = self.labels.toDF(name, label)
+        return rows.join(found, name, "left").withColumn(label, F.coalesce(label, name))
+
+    def _spanning(self, links: DataFrame) -> DataFrame:
+        """Of the links between two components, one."""
+        of = self._labelled(self._labelled(links, "a", "ca"), "b", "cb")
+        one = of.groupBy(F.least("ca", "cb").alias("low"), F.greatest("ca", "cb").alias("high")).agg(F.min(F.struct("a", "b", "both", "either")).alias("m"))
+        return one.select("m.*")
+
+    def _merge(self, links: DataFrame, k: int) -> None:
+        """Components over those that were, joined by new links."""
+        of = self._labelled(self._labelled(links, "a", "ca"), "b", "cb")
+        moved = connected_components(of.select("ca", "cb"), "ca", "cb").toDF("old", "component")
+        # nodes without links so far are their own components
+        old = self.labels.select("node", F.col("component").alias("old")).union(moved.select(F.col("old").alias("node"), "old"))
+        old = old.groupBy("node").agg(F.min("old").alias("old"))
+        labels = old.join(moved, "old", "left").select("node", F.coalesce("component", "old").alias("component"))
+        self.labels = self.stage.put(labels, f"labels{k}")
+        self.stage.drop(f"labels{k - 1}")
+
+    def _mixed(self, posts: DataFrame) -> DataFrame:
+        """The postings of runs that still hold several components."""
+        posts = self._labelled(posts.select("run", "node", "n", "pos"), "node", "comp")
+        several = posts.groupBy("run").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("run")
+        return posts.join(several, "run", "left_semi")
+
     def _bounded(self, pairs: DataFrame) -> DataFrame:
         """Length and suffix filters, on pairs (a, b)."""
         size = self.reps.select("node", "n", "ranges")
@@ -320,19 +395,24 @@ class NgramJoin:
         differ = sum((F.bit_count(F.get(ra, F.lit(k)).bitwiseXOR(F.get(rb, F.lit(k)))) for k in range(RANGES // 64)), F.lit(0))
         return (F.least(a, b) * 100 >= F.greatest(a, b) * p) & ((a + b - differ) * (100 + p) >= (a + b) * (2 * p))
 
-    def _first_pairs(self) -> DataFrame:
-        """Each node with the earlier one that precedes it in most of its runs."""
-        votes = self.postings.filter("partner is not null").groupBy("node", "partner").count()
-        best = votes.groupBy("node").agg(F.max(F.struct("count", "partner")).alias("m"))
-        return self._bounded(best.select(F.col("m.partner").alias("a"), F.col("node").alias("b")))
-
-    def _cross_pairs(self, comp: DataFrame) -> DataFrame:
-        """Pairs of one run and different components, after the positional filter."""
-        post = self.postings.join(comp, "node", "left").select("run", "node", "n", "pos", F.coalesce("component", "node").alias("comp"))
-        sizes = post.groupBy("run", "comp").count()
-        split = sizes.groupBy("run").agg(F.max(F.struct("count", "comp")).alias("m"), F.count("*").alias("k")).filter("k > 1")
-        post = post.join(split.select("run", F.col("m.comp").alias("main")), "run").join(self.reps.select("node", "ranges"), "node")
-        post = self.stage.put(post, "mixed")
+    def _one_try(self, posts: DataFrame, tried: DataFrame | None, k: int) -> DataFrame:
+        """Each node with the one, of those that stand before it in its runs and in another component, that does so most often."""
+        if tried is None:
+            near = posts.filter("partner is not null").select("node", "partner")
+        else:
+            dealt = posts.select("run", "node", "comp").repartition("run").sortWithinPartitions("run", F.xxhash64("node", F.lit(k)), "node")
+            near = dealt.mapInArrow(_other_rows, "node long, partner long")
+        votes = near.groupBy(F.least("node", "partner").alias("a"), F.greatest("node", "partner").alias("b"), "node").agg(F.count("*").alias("votes"))
+        if tried is not None:
+            votes = votes.join(tried, ["a", "b"], "left_anti")
+        best = votes.groupBy("node").agg(F.max(F.struct("votes", "a", "b")).alias("m"))
+        return self._bounded(best.select("m.a", "m.b").distinct())
+
+    def _all_pairs(self, posts: DataFrame, tried: DataFrame) -> DataFrame:
+        """Pairs of one run and different components that were not tried, after the positional filter."""
+        sizes = posts.groupBy("run", "comp").count()
+        main = sizes.groupBy("run").agg(F.max(F.struct("count", "comp")).alias("m")).select("run", F.col("m.comp").alias("main"))
+        post = posts.join(main, "run").join(self.reps.select("node", "ranges"), "node")
         a, b = post.filter("comp <> main").alias("a"), post.alias("b")
         na, nb, at_a, at_b = F.col("a.n"), F.col("b.n"), F.col("a.pos"), F.col("b.pos")
         p = self.percent
@@ -343,19 +423,14 @@ class NgramJoin:
             (F.col("a.run") == F.col("b.run")) & (F.col("a.comp") != F.col("b.comp")) & ((F.col("b.comp") == F.col("b.main")) | (F.col("a.node") < F.col("b.node")))
             & (reach * (100 + p) >= (na + nb) * p) & self._fits("a.n", "b.n", "a.ranges", "b.ranges"),
         )
-        return pairs.select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")).distinct()
+        return pairs.select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
 
-    def _verified(self, pairs: DataFrame, name: str) -> DataFrame:
+    def _verified(self, pairs: DataFrame) -> DataFrame:
         """The pairs that reach the threshold; centres with many partners are dealt to several groups."""
-        pairs = self.stage.put(pairs, f"pairs_{name}")
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        wanted = self.reps.join(wanted, "node", "left_semi").select("node", "low", "high", F.col("rep").alias("doc_id"))
-        texts = self.docs.join(wanted, "doc_id").select("node", "low", "high", "text")
-        sets = self.stage.put(texts.mapInArrow(_set_rows(self.run), "node long, hashes binary"), f"sets_{name}")
         salts = pairs.groupBy("a").agg(F.ceil(F.count("*") / F.lit(MEMBERS)).cast("int").alias("salts"))
         member = pairs.join(salts, "a").select("a", F.expr("pmod(xxhash64(b), salts)").cast("int").alias("salt"), F.col("b").alias("node"), F.lit(False).alias("leads"))
         centre = salts.select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("a").alias("node"), F.lit(True).alias("leads"))
-        rows = member.union(centre).join(sets, "node").select("a", "salt", "node", "leads", "hashes")
+        rows = member.union(centre).join(self.sets, "node").select("a", "salt", "node", "leads", "hashes")
         dealt = rows.repartition("a", "salt").sortWithinPartitions("a", "salt", F.desc("leads"), "node")
         return dealt.mapInArrow(_verify_rows(self.percent), "a long, b long, both long, either long")
 
@@ -366,6 +441,12 @@ class NgramJoin:
             "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
         )
 
+    def survivors(self) -> DataFrame:
+        """(doc_id, key): of each component the row of least doc_id, then least key; every row whose set is empty. Without null doc_ids."""
+        rows = self.classes.filter("doc_id is not null")
+        kept = self._labelled(rows.filter("n > 0"), "node", "comp").groupBy("comp").agg(F.min(F.struct("doc_id", "key")).alias("m")).select("m.*")
+        return kept.union(rows.filter("n = 0").select("doc_id", "key").distinct())
+
 
 def op8_query(spark, sf_dir: str) -> DataFrame:
     """Set size and component of every document."""

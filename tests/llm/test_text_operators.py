@@ -108,9 +108,19 @@ def test_repeats_are_exact(spark):
     assert sorted(tuple(r) for r in remove_repeats(docs(spark)).collect()) == brute_repeats(rows)
     # a full sketch estimates everything as repeated, and loses nothing
     assert sorted(tuple(r) for r in remove_repeats(docs(spark), max_cells=1 << 4).collect()) == brute_repeats(rows)
+    # hot anchors are dealt by window, and groups are compared a few windows at a time
+    for hot, at_once in ((1, 40), (3, 200), (4096, 40)):
+        assert sorted(tuple(r) for r in remove_repeats(docs(spark), hot=hot, at_once=at_once).collect()) == brute_repeats(rows), (hot, at_once)
     assert remove_repeats(empty(spark)).count() == 0
 
 
+def test_repeats_in_a_shared_passage(spark):
+    passage = " ".join(f"p{i}" for i in range(50))
+    rows = [f"{' '.join(f'a{k}x{i}' for i in range(k % 40))} {passage} {' '.join(f'b{k}x{i}' for i in range(30))}" for k in range(120)]
+    for hot in (4096, 16):
+        assert sorted(tuple(r) for r in remove_repeats(docs(spark, rows), hot=hot, at_once=512).collect()) == brute_repeats(rows)
+
+
 def brute_hits(rows, items, k=13):
     W = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     windows = {}
@@ -142,6 +152,9 @@ def test_decontamination_is_exact(spark, limit):
     spans = {r.doc_id: r.hit_spans for r in found.collect()}
     assert rows[4][spans[4][0].start : spans[4][0].end] == "One two"
     assert D.decontaminate(empty(spark), bench).count() == 0
+    clash = docs(spark).select("doc_id", "text", F.lit(1).alias("_ranges"), F.lit(2).alias("ranges"), F.lit("x").alias("item_ids"))
+    odd = D.decontaminate(clash, bench, max_windows=limit).collect()
+    assert sorted((r.doc_id, r.n_hit, r._ranges, r.ranges, r.item_ids) for r in odd) == [(d, h, 1, 2, "x") for d, _, h, *_ in brute_hits(rows, items)]
     none = D.decontaminate(docs(spark), bench.limit(0), keep_text=True)
     assert none.filter("contaminated").count() == 0 and "text" in none.columns
 
