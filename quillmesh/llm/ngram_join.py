@@ -114,9 +114,9 @@ def _merge_rows(size: int):
 
 
 def sketch_bits(docs: DataFrame, max_cells: int) -> int:
-    """Cells for an input of this size: about one for two runs, a power of two."""
+    """Cells for an input of this size: about one a run, a power of two."""
     size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return int(min(max(size * 0.13, 1 << 12), max_cells) - 1).bit_length()
+    return int(min(max(size * 0.2, 1 << 12), max_cells) - 1).bit_length()
 
 
 def run_sketch(docs: DataFrame, run: int, bits: int) -> np.ndarray:
