@@ -1,7 +1,7 @@
 """A corpus from documents to token files, in five stages; each one works on what its predecessor kept.
 
-Rows with a null doc_id pass the near-duplicate stage and get no part in the mix, which names documents by
-doc_id. Empty tables pass every stage. Each stage is written as Parquet and read again by the next.
+Rows are named by doc_id and a hash of the text: rows that share a doc_id but not the text are judged apart. Rows with a
+null doc_id pass the near-duplicate stage. Empty tables pass every stage; extra columns of any name are carried. Each stage is written as Parquet and read again by the next.
 """
 
 from __future__ import annotations
@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillmesh.functions.names import spare
 from quillmesh.llm.classifier import score_documents
 from quillmesh.llm.decontaminate import decontaminate
 from quillmesh.llm.mixture import Mixture
@@ -24,9 +25,10 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least doc_id of each component of the n-gram Jaccard join; of repeated rows, one."""
-    own = NgramJoin(docs).membership().filter("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(own, "doc_id", "left_semi").withColumn("_h", F.xxhash64("text")).dropDuplicates(["doc_id", "_h"]).drop("_h")
+    """The row of least doc_id, then of least hash of the text, of each component of the n-gram Jaccard join; of repeated rows, one."""
+    key = spare("text_key", docs.columns)
+    own = NgramJoin(docs).survivors().select("doc_id", F.col("key").alias(key))
+    kept = docs.withColumn(key, F.xxhash64("text")).join(own, ["doc_id", key], "left_semi").dropDuplicates(["doc_id", key])
     return kept.select(*docs.columns).unionByName(docs.filter("doc_id is null"))
 
 
@@ -37,11 +39,19 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them: the words taken, in whole documents to the nearest."""
-    taken = Mixture(docs).documents.filter("taken > 0 and doc_id is not null")
-    times = taken.groupBy("doc_id").agg(F.max(F.floor(F.col("taken") / F.col("size") + 0.5)).cast("int").alias("_n"))
-    repeated = docs.join(times.filter("_n > 0"), "doc_id").withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_n"))))
-    return repeated.select(*docs.columns)
+    """Documents as often as the mix takes them, in whole documents.
+
+    A part of a document becomes a whole one or none, by a hash of its id and text that falls below the part or not, so
+    that a source's words stay near its target, up or down by the root of its number of documents.
+    """
+    taken = Mixture(docs).documents.filter("taken > 0")
+    taken = taken.groupBy(F.col("doc_id").alias("id"), F.col("text_key").alias("key")).agg(F.avg(F.col("taken") / F.col("size")).alias("part"))
+    chance = F.pmod(F.xxhash64(F.col("id").cast("string"), "key", F.lit(29)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    times = taken.select("id", "key", F.floor(F.col("part") + chance).cast("int").alias("times")).filter("times > 0")
+    id_, key, n = (spare(c, docs.columns) for c in ("mix_id", "mix_key", "mix_times"))
+    times = times.toDF(id_, key, n)
+    repeated = docs.join(times, F.col("doc_id").eqNullSafe(F.col(id_)) & (F.xxhash64("text") == F.col(key)))
+    return repeated.withColumn(n, F.explode(F.sequence(F.lit(1), F.col(n)))).select(*docs.columns)
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
