@@ -9,6 +9,8 @@ import zipfile
 from pyspark.sql import SparkSession
 
 _SHIPPED: set[str] = set()
+#: Upper ends of an Arrow batch, which bound what a Python stage and its JVM side hold at once.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 2000, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
 
 
 def build_session(app: str = "quillmesh", master: str | None = None, **conf: str) -> SparkSession:
@@ -26,8 +28,14 @@ def build_session(app: str = "quillmesh", master: str | None = None, **conf: str
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Send this package to the executors once per application, so that Python stages run where it is not installed."""
+    """Send this package to the executors once per application, so that Python stages run where it is not installed.
+
+    Arrow batches of the session are kept small from then on, unless the application set their size.
+    """
     sc = spark.sparkContext
+    for key, most in BATCH.items():
+        if sc.getConf().get(key, None) is None:
+            spark.conf.set(key, str(most))
     root = os.path.dirname(os.path.abspath(__file__))
     if sc.applicationId in _SHIPPED or not os.path.isdir(root):
         return
