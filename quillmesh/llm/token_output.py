@@ -38,7 +38,7 @@ from quillmesh.storage import Stage
 MAGIC = b"QWM1"
 STEP = 512
 SHARD_TOKENS = 1 << 20
-KEPT_WORDS = 1_500_000
+KEPT_WORDS = 800_000
 END_ID = 0
 
 #: Where these stand, or any other white space, blanks don't split alike whatever stands around them; the last begins special tokens.
@@ -62,15 +62,16 @@ class _OddSpace(Exception):
 
 
 class _Words(dict):
-    """Ids of words as bytes; made when first met."""
+    """Ids of words as bytes; made when first met. When full, only words met since it was full before stay."""
 
     def __init__(self, encoder: Encoder, lead: str):
-        self.encoder, self.lead = encoder, lead
+        self.encoder, self.lead, self.before = encoder, lead, {}
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= KEPT_WORDS:
+        if len(self) >= KEPT_WORDS // 2:
+            self.before = dict(self)
             self.clear()
-        ids = self[word] = self.encoder.word(self.lead, word)
+        ids = self[word] = self.before.pop(word, None) or self.encoder.word(self.lead, word)
         return ids
 
 
