@@ -95,6 +95,28 @@ def snake_case(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.lower(c), "[^a-z0-9]", "_"), "_+", "_"), F.lit("_"))
 
 
+#: Forms of a disease code, a history id and a numeric id.
+CODE, HISTORY_ID, NUMERIC_ID = r"(?i)^[A-Z]\d{2}(\.\d{1,2})?$", r"^[A-Z]{3}\d{6}$", r"^\d+\.?0?$"
+
+
+def plain_key(c: Column) -> Column:
+    """Upper-case text without accents in its own word order, other signs kept; null gives ''."""
+    return F.regexp_replace(fold_accents(F.upper(F.trim(F.coalesce(c, F.lit(""))))), r"\s+", " ")
+
+
+def name_flags(c: Column) -> Column:
+    """A struct: words of a name, whether they are two or five and more, and whether it has two spaces in a row."""
+    n = token_count(c)
+    return F.struct(n.cast("long").alias("n_tokens"), (n == 2).alias("two_tokens"), (n >= 5).alias("many_tokens"), F.coalesce(c.rlike("  +"), F.lit(False)).alias("multi_space"))
+
+
+def to_flag(c: Column) -> Column:
+    """0 or 1 as a whole number, from numbers, texts and booleans; anything else is null."""
+    number = c.cast("string").try_cast("double")
+    flag = F.coalesce(number, F.when(F.lower(c.cast("string")) == "true", 1.0).when(F.lower(c.cast("string")) == "false", 0.0))
+    return F.when(flag.isin(0.0, 1.0), flag.cast("long"))
+
+
 def visible_spaces(c: Column) -> Column:
     return F.replace(F.regexp_replace(c, r"\s{2,}", "--"), F.lit(" "), F.lit("␣"))
 

@@ -58,20 +58,37 @@ def _special(word: Column) -> Column:
     return word.startswith("[")
 
 
+#: Letters that a typing error may put in.
+LETTERS = "abcdefghijklmnopqrstuvwxyzáéíóúüñ"
+#: Columns that decide which rows are one entity.
+PROTECTED = ("nombre", "NOMBRE_DEL_PACIENTE", "NOMBRE_COMPLETO", "expediente", "EXP", "EXPEDIENTE")
+
+
+def _typo(word: Column, seed: int, p: float, *place: Column) -> Column:
+    """With chance p, a word of two letters or more loses, gains, swaps or changes one letter."""
+    n = F.char_length(word)
+    at = (F.floor(_unit(seed + 1, *place) * n) + 1).cast("int")
+    kind = F.floor(_unit(seed + 2, *place) * 4)
+    new = F.substr(F.lit(LETTERS), (F.floor(_unit(seed + 3, *place) * len(LETTERS)) + 1).cast("int"), F.lit(1))
+    head, letter, tail = F.substr(word, F.lit(1), at - 1), F.substr(word, at, F.lit(1)), F.substr(word, at + 1)
+    swapped = F.concat(head, F.substr(word, at + 1, F.lit(1)), letter, F.substr(word, at + 2))
+    changed = F.when(kind == 0, F.concat(head, tail)).when(kind == 1, F.concat(head, new, letter, tail)).when((kind == 2) & (at < n), swapped).otherwise(F.concat(head, new, tail))
+    return F.when((n > 1) & (_unit(seed, *place) < p), changed).otherwise(word)
+
+
 def inject_typos(text: Column, key: Column, seed: int, p: float) -> Column:
-    """Per word of two letters or more, with chance p: delete, double, swap or replace one letter."""
+    """Each word of a value, with chance p, is mistyped; names of columns, marks and NULL stay. A value's words get single spaces."""
 
-    def typo(word: Column, i: Column) -> Column:
-        n = F.char_length(word)
-        at = (F.floor(_unit(seed + 1, key, i) * n) + 1).cast("int")
-        kind = F.floor(_unit(seed + 2, key, i) * 4)
-        head, letter, tail = F.substr(word, F.lit(1), at - 1), F.substr(word, at, F.lit(1)), F.substr(word, at + 1)
-        new = F.substr(F.lit("abcdefghijklmnopqrstuvwxyz"), (F.floor(_unit(seed + 3, key, i) * 26) + 1).cast("int"), F.lit(1))
-        swapped = F.concat(head, F.substr(word, at + 1, F.lit(1)), letter, F.substr(word, at + 2))
-        changed = F.when(kind == 0, F.concat(head, tail)).when(kind == 1, F.concat(head, letter, letter, tail)).when((kind == 2) & (at < n), swapped).otherwise(F.concat(head, new, tail))
-        return F.when(~_special(word) & (n > 1) & (_unit(seed, key, i) < p), changed).otherwise(word)
+    def one(part: Column, place: Column) -> Column:
+        cut = F.instr(part, " [VAL] ")
+        value = F.trim(F.substr(part, cut + 7))
+        words = F.filter(F.split(value, r"\s+"), lambda w: w != "")
+        typed = F.array_join(F.transform(words, lambda w, i: _typo(w, seed, p, key, place, i)), " ")
+        real = part.startswith("[COL] ") & (cut > 0) & ~value.isin("NULL", "")
+        return F.when(real, F.concat(F.substr(part, F.lit(1), cut + 6), typed)).otherwise(part)
 
-    return F.array_join(F.transform(F.split(text, " "), typo), " ")
+    parts = F.flatten(F.transform(_blocks(text), _columns))
+    return F.array_join(F.transform(parts, one), " ")
 
 
 def delete_span(text: Column, key: Column, seed: int, p: float, longest: int = 3) -> Column:
@@ -84,11 +101,11 @@ def delete_span(text: Column, key: Column, seed: int, p: float, longest: int = 3
     return F.array_join(F.transform(F.filter(words, lambda s: ~F.array_contains(gone, s["i"])), lambda s: s["w"]), " ")
 
 
-def augment(text: Column, key: Column, seed: int, blocks: float = 0.3, columns: float = 0.3, mask: float = 0.25, typos: float = 0.25, span: float = 0.0, protected: tuple[str, ...] = ()) -> Column:
-    """The steps in a fixed order, each with its chance for a row."""
+def augment(text: Column, key: Column, seed: int, blocks: float = 0.3, columns: float = 0.3, mask: float = 0.25, typos: float = 0.25, span: float = 0.0, protected: tuple[str, ...] = PROTECTED) -> Column:
+    """The steps in a fixed order. blocks, columns and span are chances for a row, mask one for each value, typos one for each word."""
     on = lambda k, p: _unit(seed + 100 * k, key) < p
     text = F.when(on(1, blocks), shuffle_blocks(text, key, seed)).otherwise(text)
     text = F.when(on(2, columns), shuffle_columns(text, key, seed)).otherwise(text)
-    text = F.when(on(3, mask), mask_attributes(text, key, seed, 0.15, protected)).otherwise(text)
-    text = F.when(on(4, typos), inject_typos(text, key, seed, 0.05)).otherwise(text)
-    return delete_span(text, key, seed, span) if span else text
+    text = mask_attributes(text, key, seed + 300, mask, protected)
+    text = inject_typos(text, key, seed + 400, typos)
+    return delete_span(text, key, seed + 500, span) if span else text

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmesh.functions.scores import bernoulli_entropy, margin, sigmoid, softplus
+from quillmesh.operators.numbering import running
 
 BINS = 10
 
@@ -57,13 +58,9 @@ def best_threshold(scored: DataFrame, steps: int = 51) -> DataFrame:
 
 
 def _by_score(scored: DataFrame) -> DataFrame:
-    """Positives and rows at each distinct score, and cumulated over descending scores.
-
-    The running sums are over one row a distinct score.
-    """
+    """Positives and rows at each distinct score, and cumulated over descending scores."""
     at = scored.groupBy("score").agg(F.sum((F.col("label") == 1).cast("long")).alias("pos"), F.count("*").alias("n"))
-    down = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    return at.withColumns({"cum_pos": F.sum("pos").over(down), "cum_n": F.sum("n").over(down)})
+    return running(at, [F.desc("score")], {"cum_pos": F.col("pos"), "cum_n": F.col("n")})
 
 
 def average_precision(scored: DataFrame) -> DataFrame:

@@ -9,22 +9,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillmesh.functions.names import spare
 from quillmesh.functions.scores import pairs_of
 from quillmesh.functions.similarity import jaro_winkler_similarity, levenshtein_similarity
 from quillmesh.operators.components import connected_components
+from quillmesh.operators.numbering import numbered
 from quillmesh.session import ship_package
+from quillmesh.storage import Stage
 
 EXACT, METRIC, OPEN, REVIEWED = "exact_key", "classic_metric", "unconfirmed", "manual_review"
 
 
 def keep_first(df: DataFrame, keys: list[str], order: str = "record_id") -> DataFrame:
-    """The row of least `order` for each key."""
-    return df.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(order))).filter("_rn = 1").drop("_rn")
+    """The row of least `order` for each key; null keys are keys, and one of rows that tie stays."""
+    place = spare("place", df.columns)
+    return df.withColumn(place, F.row_number().over(Window.partitionBy(*keys).orderBy(order))).filter(F.col(place) == 1).drop(place)
 
 
 def number_records(df: DataFrame, order: list[str], name: str = "record_id") -> DataFrame:
-    """Consecutive ids from 0 in a total order. For tables that fit one sorted task; use stored ids beyond."""
-    return df.withColumn(name, (F.row_number().over(Window.orderBy(*order)) - 1).cast("long"))
+    """Consecutive ids from 0 in a total order."""
+    return numbered(df, [F.col(c) for c in order], name)
 
 
 def first_seen_ids(df: DataFrame, keys: list[str], name: str = "entity_id", order: str = "record_id") -> DataFrame:
@@ -32,14 +36,15 @@ def first_seen_ids(df: DataFrame, keys: list[str], name: str = "entity_id", orde
 
     Groups are numbered on one row a group, and the numbers joined back, null-safely.
     """
-    firsts = df.groupBy(*keys).agg(F.min(order).alias("_first"))
-    numbered = firsts.withColumn(name, (F.row_number().over(Window.orderBy("_first")) - 1).cast("long")).drop("_first")
-    renamed = numbered.toDF(*[f"_{k}" for k in keys], name)
+    first = spare("first_row", df.columns)
+    groups = numbered(df.groupBy(*keys).agg(F.min(order).alias(first)), [F.col(first)], name).drop(first)
+    own = [spare(f"own_{k}", df.columns) for k in keys]
+    renamed = groups.select(*[F.col(k).alias(o) for k, o in zip(keys, own, strict=True)], name)
     on = None
-    for k in keys:
-        same = F.col(k).eqNullSafe(F.col(f"_{k}"))
+    for k, o in zip(keys, own, strict=True):
+        same = F.col(k).eqNullSafe(F.col(o))
         on = same if on is None else on & same
-    return df.join(renamed, on).drop(*[f"_{k}" for k in keys])
+    return df.join(renamed, on).drop(*own)
 
 
 def key_candidates(records: DataFrame) -> DataFrame:
@@ -67,21 +72,34 @@ def candidate_pairs(records: DataFrame, null_source: str) -> DataFrame:
     return key_candidates(records).unionByName(null_key_candidates(records, null_source))
 
 
-def scored_pairs(pairs: DataFrame) -> DataFrame:
-    """Jaro-Winkler and Levenshtein similarity of the keys, rounded to nine places; equal keys skip the UDF's branch."""
-    ship_package(pairs.sparkSession)
-    lev = F.round(levenshtein_similarity(F.col("key_a"), F.col("key_b")), 9)
-    same = pairs.filter("key_a = key_b and key_a <> ''").withColumn("jw", F.lit(1.0))
-    rest = pairs.filter("not (key_a = key_b and key_a <> '')").withColumn("jw", F.round(jaro_winkler_similarity("key_a", "key_b"), 9))
-    return same.unionByName(rest).withColumn("lev", lev)
+LEAST_JW, LEAST_LEV = 0.88, 0.85
+
 
+def scored_pairs(pairs: DataFrame, undecided_only: bool = False, least_jw: float = LEAST_JW, least_lev: float = LEAST_LEV) -> DataFrame:
+    """Jaro-Winkler and Levenshtein similarity of the keys, rounded to nine places, in one pass over the pairs.
 
-def classify(scored: DataFrame, least_jw: float = 0.88, least_lev: float = 0.85) -> DataFrame:
+    Equal keys need no Python. With undecided_only, jw is null also where classify() does without: for pairs without
+    a file number, where lev is enough, and where the keys' lengths and first letters keep jw under least_jw.
+    """
+    ship_package(pairs.sparkSession)
+    a, b = F.col("key_a"), F.col("key_b")
+    pairs = pairs.withColumn("lev", F.round(levenshtein_similarity(a, b), 9))
+    open_ = ~((a == b) & (a != ""))
+    if undecided_only:
+        short, long = F.least(F.char_length(a), F.char_length(b)), F.greatest(F.char_length(a), F.char_length(b))
+        jaro = (2 + short / F.greatest(long, F.lit(1))) / 3
+        lead = sum(((F.substr(a, F.lit(1), F.lit(k)) == F.substr(b, F.lit(1), F.lit(k))) & (short >= k)).cast("int") for k in range(1, 5))
+        open_ = open_ & ~F.col("null_exp") & (F.col("lev") < least_lev) & (jaro + 0.1 * lead * (1 - jaro) >= least_jw - 1e-6)
+    jw = F.round(jaro_winkler_similarity(F.when(open_, a), F.when(open_, b)), 9)
+    return pairs.withColumn("jw", F.when((a == b) & (a != ""), F.lit(1.0)).otherwise(jw))
+
+
+def classify(scored: DataFrame, least_jw: float = LEAST_JW, least_lev: float = LEAST_LEV) -> DataFrame:
     """The cascade: equal keys, then either metric, else unconfirmed; null-key pairs are always unconfirmed."""
     known = ~F.col("null_exp")
     criterion = (
         F.when(known & (F.col("key_a") == F.col("key_b")), EXACT)
-        .when(known & ((F.col("jw") >= least_jw) | (F.col("lev") >= least_lev)), METRIC)
+        .when(known & (F.coalesce(F.col("jw") >= least_jw, F.lit(False)) | (F.col("lev") >= least_lev)), METRIC)
         .otherwise(OPEN)
     )
     return scored.withColumn("criterion", criterion)
@@ -114,15 +132,30 @@ def settle(reviewed: DataFrame) -> DataFrame:
 
 def merge_decisions(new: DataFrame, old: DataFrame) -> DataFrame:
     """Earlier decisions win where they are not blank."""
-    was = old.select("id_a", "id_b", F.col("decision").alias("_old"))
-    return new.join(was, ["id_a", "id_b"], "left").withColumn("decision", F.coalesce(F.nullif(F.trim("_old"), F.lit("")), F.col("decision"))).drop("_old")
+    name = spare("old_decision", new.columns)
+    was = old.select("id_a", "id_b", F.col("decision").alias(name))
+    return new.join(was, ["id_a", "id_b"], "left").withColumn("decision", F.coalesce(F.nullif(F.trim(name), F.lit("")), F.col("decision"))).drop(name)
+
+
+def merge_report(new: DataFrame, old: DataFrame) -> DataFrame:
+    """One row: pairs of the old and new review table, pairs lost and new, decisions copied, filled and open after merging."""
+    pair = ["id_a", "id_b"]
+    filled = lambda c: F.coalesce(F.trim(c), F.lit("")) != ""
+    both = old.select(*pair, F.col("decision").alias("was"), F.lit(True).alias("in_old")).join(new.select(*pair, "decision", F.lit(True).alias("in_new")), pair, "full")
+    one = lambda c: F.coalesce(F.sum(F.coalesce(c, F.lit(False)).cast("long")), F.lit(0))
+    here, there = F.col("in_new").isNotNull(), F.col("in_old").isNotNull()
+    after = filled(F.col("was")) | filled(F.col("decision"))
+    return both.agg(
+        one(there).alias("n_old"), one(here).alias("n_new"), one(there & ~here).alias("n_lost"), one(here & ~there).alias("n_added"),
+        one(here & there & filled(F.col("was"))).alias("n_copied"), one(here & after).alias("n_filled"), one(here & ~after).alias("n_open"),
+    )
 
 
 def star_edges(records: DataFrame) -> DataFrame:
     """Edges from the first record of (source, file number, key) to each other one."""
-    known = records.filter("exp is not null and key <> ''")
-    first = F.min("record_id").over(Window.partitionBy("source", "exp", "key"))
-    return known.withColumn("src", first).filter("src <> record_id").select("src", F.col("record_id").alias("dst"))
+    known = records.filter("exp is not null and key <> ''").select("source", "exp", "key", "record_id")
+    first = known.groupBy("source", "exp", "key").agg(F.min("record_id").alias("src"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    return known.join(first, ["source", "exp", "key"]).filter("src <> record_id").select("src", F.col("record_id").alias("dst"))
 
 
 def entities(records: DataFrame, edges: DataFrame) -> DataFrame:
@@ -130,9 +163,10 @@ def entities(records: DataFrame, edges: DataFrame) -> DataFrame:
 
     Roots are least record ids, so the numbering sorts one row an entity.
     """
-    comp = connected_components(edges.select("src", "dst"), "src", "dst").withColumnsRenamed({"node": "record_id", "component": "_c"})
-    rooted = records.select("record_id").join(comp, "record_id", "left").select("record_id", F.coalesce("_c", "record_id").alias("root"))
-    ids = rooted.select("root").distinct().withColumn("entity_id", (F.row_number().over(Window.orderBy("root")) - 1).cast("long"))
+    comp = connected_components(edges.select("src", "dst"), "src", "dst").toDF("record_id", "component")
+    rooted = records.select("record_id").join(comp, "record_id", "left").select("record_id", F.coalesce("component", "record_id").alias("root"))
+    rooted = Stage(records.sparkSession, "entities").put(rooted, "rooted")
+    ids = numbered(rooted.select("root").distinct(), [F.col("root")], "entity_id")
     return rooted.join(ids, "root").select("record_id", "root", "entity_id")
 
 
@@ -160,9 +194,10 @@ def split_entities(tagged: DataFrame, train: float = 0.70, val: float = 0.15, se
         raise ValueError("shares exceed 1")
     kinds = tagged.groupBy("entity_id").agg((F.countDistinct("source") >= 2).alias("linkable"))
     order = F.md5(F.concat(F.col("entity_id").cast("string"), F.lit(f"|{seed}")))
-    w = Window.partitionBy("linkable")
-    n = F.count("*").over(w)
-    ranked = kinds.withColumns({"rn": F.row_number().over(w.orderBy(order, "entity_id")), "n": n})
+    ranked = numbered(kinds.withColumn("order", order), [F.col("linkable"), F.col("order"), F.col("entity_id")], "place")
+    # two rows: what each kind holds, and where it begins
+    sizes = ranked.groupBy("linkable").agg(F.count("*").alias("n"), F.min("place").alias("first"))
+    ranked = ranked.join(F.broadcast(sizes), "linkable").withColumn("rn", F.col("place") - F.col("first") + 1)
     n_train, n_val = F.floor(F.col("n") * train), F.floor(F.col("n") * val)
     split = F.when(F.col("rn") <= n_train, "train").when(F.col("rn") <= n_train + n_val, "val").otherwise("test")
     return tagged.join(ranked.select("entity_id", "linkable", split.alias("split")), "entity_id")
@@ -183,6 +218,31 @@ def source_regions(tagged: DataFrame, sources: tuple[str, ...] = ("A", "B", "C")
     return flags.select(name.alias("region")).groupBy("region").agg(F.count("*").alias("n_entities"))
 
 
+def region_total(regions: DataFrame) -> DataFrame:
+    """Entities in any source: the sum over source_regions(), whose regions exclude one another."""
+    return regions.agg(F.coalesce(F.sum("n_entities"), F.lit(0)).alias("n_entities"))
+
+
+def space_totals(records: DataFrame, space: DataFrame) -> DataFrame:
+    """One row over pair_space(): records, all unordered pairs of them, pairs of different sources, and shared file numbers."""
+    n = records.agg(F.count("*").alias("n_records")).withColumn("n_pairs", pairs_of(F.col("n_records")))
+    sums = space.agg(F.coalesce(F.sum("space"), F.lit(0)).alias("n_cross_pairs"), F.coalesce(F.sum("shared_keys"), F.lit(0)).alias("n_shared_keys"))
+    return n.crossJoin(sums)  # one row each
+
+
+def residual_entity_pairs(tagged: DataFrame) -> DataFrame:
+    """One row: pairs of different sources that share a file number, by entity and not by record, and those of them in two entities."""
+    one = tagged.filter("exp is not null").groupBy("exp", "source", "entity_id").agg(F.min("record_id").alias("record_id"))
+    a, b = one.alias("a"), one.alias("b")
+    both = a.join(b, (F.col("a.exp") == F.col("b.exp")) & (F.col("a.record_id") < F.col("b.record_id")) & (F.col("a.source") != F.col("b.source")))
+    return both.agg(F.count("*").alias("n_same_key"), F.coalesce(F.sum((F.col("a.entity_id") != F.col("b.entity_id")).cast("long")), F.lit(0)).alias("n_residual"))
+
+
+def pair_index(scored: DataFrame) -> DataFrame:
+    """scored (id_a, id_b, jw, lev) with the lesser id first, one row an unordered pair: of several, the least scores."""
+    return scored.groupBy(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b")).agg(F.min("jw").alias("jw"), F.min("lev").alias("lev"))
+
+
 def pair_space(records: DataFrame) -> DataFrame:
     """For each two sources: records of both, all pairs, and file numbers that both hold."""
     counts = records.groupBy("source").agg(F.count("*").alias("n"))

@@ -5,33 +5,65 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillmesh.functions.names import spare
 from quillmesh.functions.text import snake_case
-
+from quillmesh.operators.numbering import numbered, running
 
 #: Ids of a range in which gaps are sought, and of a span in which missing ones are dealt out.
 GAP_RANGE = 4096
 
 
+def _one_column(df: DataFrame, c: str, kind: str) -> DataFrame:
+    v = F.col(f"`{c}`")
+    got = df.select(v.alias("v")).agg(F.count("*").alias("rows"), F.count("v").alias("non_null"), F.countDistinct("v").alias("n_distinct"), F.min(F.col("v").cast("string")).alias("least"), F.min("v").cast("string").alias("example"))
+    return got.select(
+        F.lit(c).alias("column"), F.lit(kind).alias("dtype"), "rows", "non_null", (F.col("rows") - F.col("non_null")).alias("nulls"), "n_distinct",
+        (F.col("n_distinct") + (F.col("rows") > F.col("non_null")).cast("long")).alias("n_values"), F.round(100 * (F.col("rows") - F.col("non_null")) / F.greatest("rows", F.lit(1)), 4).alias("null_pct"), "example",
+    )
+
+
+def column_profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """(column, dtype, rows, non_null, nulls, n_distinct without null, n_values with it, null_pct, example: the least value).
+
+    Each column is scanned alone, so that counting distinct values multiplies no rows.
+    """
+    kinds = dict(df.dtypes)
+    out = None
+    for c in columns or df.columns:
+        own = _one_column(df, c, kinds[c])
+        out = own if out is None else out.unionAll(own)
+    return out
+
+
 def null_profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """(column, rows, nulls, null_pct, n_distinct): distinct values without null; one aggregation, then unpivoted."""
-    columns = columns or df.columns
-    n = F.count("*")
-    aggs = [F.struct(F.lit(c).alias("column"), n.alias("rows"), (n - F.count(f"`{c}`")).alias("nulls"), F.countDistinct(f"`{c}`").alias("n_distinct")).alias(f"c{k}") for k, c in enumerate(columns)]
-    rows = df.agg(*aggs).select(F.explode(F.array(*[f"c{k}" for k in range(len(columns))])).alias("x")).select("x.*")
-    return rows.withColumn("null_pct", F.round(100 * F.col("nulls") / F.greatest("rows", F.lit(1)), 4))
+    """(column, rows, nulls, n_distinct, null_pct)."""
+    return column_profile(df, columns).select("column", "rows", "nulls", "n_distinct", "null_pct")
+
+
+def cuts(df: DataFrame, column: Column, points: tuple[float, ...]) -> DataFrame:
+    """One row, q: exact quantiles with linear interpolation, null without values. Values are counted, then placed by running sums."""
+    counts = df.select(column.cast("double").alias("v")).filter("v is not null").groupBy("v").agg(F.count("*").alias("n"))
+    placed = running(counts, [F.col("v")], {"upto": F.col("n")})
+    placed = placed.crossJoin(placed.agg(F.sum("n").alias("all")))  # one row
+    take = []
+    for k, p in enumerate(points):
+        for end, at in (("lo", F.floor((F.col("all") - 1) * p)), ("hi", F.ceil((F.col("all") - 1) * p))):
+            take.append(F.max(F.when((F.col("upto") > at) & (F.col("upto") - F.col("n") <= at), F.col("v"))).alias(f"{end}{k}"))
+    got = placed.agg(F.max("all").alias("all"), *take)
+    part = lambda p: (F.col("all") - 1) * p - F.floor((F.col("all") - 1) * p)
+    return got.select(F.array(*[F.col(f"lo{k}") + (F.col(f"hi{k}") - F.col(f"lo{k}")) * part(p) for k, p in enumerate(points)]).alias("q"))
 
 
 def describe(df: DataFrame, column: str) -> DataFrame:
     """count, mean, sample deviation, min, quartiles and max of a numeric column."""
     c = F.col(column)
-    cuts = F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    got = df.agg(F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).alias("min"), F.max(c).alias("max"), cuts.alias("q"))
+    got = df.agg(F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).alias("min"), F.max(c).alias("max")).crossJoin(cuts(df, c, (0.25, 0.5, 0.75)))
     return got.select("n", *[F.round(x, 6).alias(x) for x in ("mean", "std", "min", "max")], *[F.round(F.get("q", F.lit(k)), 6).alias(a) for k, a in enumerate(("q1", "median", "q3"))])
 
 
 def quantiles(df: DataFrame, column: str, points: tuple[float, ...] = (0.25, 0.75, 0.9, 0.95, 0.99)) -> DataFrame:
     """Exact, with linear interpolation."""
-    got = df.agg(F.percentile(F.col(column), F.array(*[F.lit(p) for p in points])).alias("q"))
+    got = cuts(df, F.col(column), points)
     return got.select(F.posexplode("q").alias("k", "value")).select(F.element_at(F.array(*[F.lit(p) for p in points]), F.col("k") + 1).alias("point"), F.round("value", 6).alias("value"))
 
 
@@ -39,7 +71,7 @@ def top_n_with_others(df: DataFrame, column: str, n: int = 10) -> DataFrame:
     """The n most frequent values and one row of all others, with shares."""
     counts = df.groupBy(F.col(column).cast("string").alias("value")).agg(F.count("*").alias("count"))
     top = counts.orderBy(F.desc("count"), F.asc_nulls_last("value")).limit(n)
-    marked = counts.join(top.select(F.col("value").alias("_v"), F.lit(True).alias("_top")), F.col("value").eqNullSafe(F.col("_v")), "left")
+    marked = counts.join(top.select(F.col("value").alias("_v"), F.lit(True).alias("_top")), F.col("value").eqNullSafe(F.col("_v")), "left")  # columns of its own
     rolled = marked.groupBy(F.when(F.col("_top"), F.col("value")).otherwise("(others)").alias("value"), F.coalesce("_top", F.lit(False)).alias("top")).agg(F.sum("count").alias("count"))
     total = counts.agg(F.sum("count").alias("_t"))
     return rolled.crossJoin(total).select("value", "top", "count", F.round(100 * F.col("count") / F.col("_t"), 4).alias("pct"))
@@ -64,7 +96,7 @@ def frequency_of_frequencies(df: DataFrame, key: str) -> DataFrame:
 
 def iqr_outliers(df: DataFrame, column: str, factor: float = 1.5) -> DataFrame:
     """Rows above the third quartile by `factor` interquartile ranges, counted beside the bound."""
-    q = df.agg(F.percentile(F.col(column), F.array(F.lit(0.25), F.lit(0.75))).alias("q"))
+    q = cuts(df, F.col(column), (0.25, 0.75))
     bound = q.select((F.get("q", F.lit(1)) + factor * (F.get("q", F.lit(1)) - F.get("q", F.lit(0)))).alias("bound"))
     return df.crossJoin(bound).groupBy("bound").agg(F.sum((F.col(column) > F.col("bound")).cast("long")).alias("n_outliers"), F.count("*").alias("n")).select(F.round("bound", 6).alias("bound"), "n_outliers", "n")
 
@@ -94,10 +126,12 @@ def offending_characters(df: DataFrame, column: str, pattern: str) -> DataFrame:
     return df.select(hits.alias("character")).groupBy("character").agg(F.count("*").alias("n_rows"))
 
 
-def length_statistics(df: DataFrame, length: Column, cuts: tuple[int, ...] = (128, 256, 384, 512)) -> DataFrame:
+def length_statistics(df: DataFrame, length: Column, cuts_at: tuple[int, ...] = (128, 256, 384, 512)) -> DataFrame:
     got = df.select(length.alias("n"))
-    shares = [F.round(100 * F.avg((F.col("n") <= k).cast("int")), 4).alias(f"pct_le_{k}") for k in cuts]
-    return got.agg(F.count("*").alias("rows"), F.round(F.avg("n"), 6).alias("mean"), F.round(F.percentile("n", 0.5), 6).alias("median"), F.round(F.percentile("n", 0.95), 6).alias("p95"), F.max("n").cast("long").alias("max"), *shares)
+    shares = [F.round(100 * F.avg((F.col("n") <= k).cast("int")), 4).alias(f"pct_le_{k}") for k in cuts_at]
+    sums = got.agg(F.count("*").alias("rows"), F.round(F.avg("n"), 6).alias("mean"), F.max("n").cast("long").alias("max"), *shares)
+    both = sums.crossJoin(cuts(got, F.col("n"), (0.5, 0.95)))
+    return both.select("rows", "mean", F.round(F.get("q", F.lit(0)), 6).alias("median"), F.round(F.get("q", F.lit(1)), 6).alias("p95"), "max", *[f"pct_le_{k}" for k in cuts_at])
 
 
 def duplicate_flags(df: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -105,13 +139,68 @@ def duplicate_flags(df: DataFrame, keys: list[str], order: str) -> DataFrame:
 
     Counts and first rows are aggregated by key and joined back, which copies in great number do not skew.
     """
-    own = df.groupBy(*keys).agg(F.count("*").alias("_n"), F.min(order).alias("_first")).toDF(*[f"_k{i}" for i in range(len(keys))], "_n", "_first")
+    n, first = spare("copies", df.columns), spare("first_row", df.columns)
+    names = [spare(f"key_{i}", df.columns) for i in range(len(keys))]
+    own = df.groupBy(*keys).agg(F.count("*").alias(n), F.min(order).alias(first)).toDF(*names, n, first)
     on = None
-    for i, k in enumerate(keys):
-        same = F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    for name, k in zip(names, keys, strict=True):
+        same = F.col(k).eqNullSafe(F.col(name))
         on = same if on is None else on & same
-    joined = df.join(own, on)
-    return joined.withColumns({"duplicated": F.col("_n") > 1, "repeated": F.col(order) > F.col("_first")}).drop("_n", "_first", *[f"_k{i}" for i in range(len(keys))])
+    return df.join(own, on).withColumns({"duplicated": F.col(n) > 1, "repeated": F.col(order) > F.col(first)}).drop(n, first, *names)
+
+
+def group_sizes(df: DataFrame, keys: list[str]) -> DataFrame:
+    """(size, n_groups) of groups of two rows or more."""
+    return df.groupBy(*keys).agg(F.count("*").alias("size")).filter("size > 1").groupBy("size").agg(F.count("*").alias("n_groups"))
+
+
+def domain_outliers(df: DataFrame, bounds: dict[str, tuple[float | None, float | None]]) -> DataFrame:
+    """(column, n_low, n_high): values under the least and over the greatest that a column may have."""
+    one = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0))
+    none = F.lit(False)
+    rows = [F.struct(F.lit(c).alias("column"), one(F.col(c) < lo if lo is not None else none).alias("n_low"), one(F.col(c) > hi if hi is not None else none).alias("n_high")).alias(f"c{k}") for k, (c, (lo, hi)) in enumerate(bounds.items())]
+    return df.agg(*rows).select(F.explode(F.array(*[f"c{k}" for k in range(len(rows))])).alias("x")).select("x.*")
+
+
+def declared_difference(df: DataFrame, declared: str, computed: Column, slack: float = 1) -> DataFrame:
+    """Rows with both a declared and a computed value, and those of them further apart than slack."""
+    apart = F.abs(computed - F.col(declared))
+    return df.agg(F.count(apart).alias("n_both"), F.coalesce(F.sum((apart > slack).cast("long")), F.lit(0)).alias("n_apart"), F.round(F.avg(apart), 6).alias("mean_apart"))
+
+
+def equals_row_number(df: DataFrame, column: str, order: list[str], first: int = 0) -> DataFrame:
+    """Rows, and those whose sequence number is their place in the order, counted from `first`."""
+    place = spare("place", df.columns)
+    placed = numbered(df, [F.col(c) for c in order], place)
+    return placed.agg(F.count("*").alias("n"), F.coalesce(F.sum((F.col(column) == F.col(place) + first).cast("long")), F.lit(0)).alias("n_equal"))
+
+
+def estimated_tokens(df: DataFrame, blocks: list[tuple[str, list[str]]], ids: tuple[str, ...] = ("expediente",), dates: str = "fecha") -> Column:
+    """A row's length in tokens, estimated: one for each block with a value; per column of it one, the words of its name,
+    and for a value one and its words, two more around an id or a date (ten characters of it); for a null one."""
+    words = lambda c: F.size(F.filter(F.split(F.trim(c), r"\s+"), lambda w: w != ""))
+    total = F.lit(0)
+    for _, names in blocks:
+        cols = [c for c in names if c in df.columns]
+        own = F.lit(1)
+        for c in cols:
+            value = F.col(f"`{c}`").cast("string")
+            marks = 2 * (c in ids) + 2 * (dates in c)
+            filled = 1 + marks + words(F.substr(value, F.lit(1), F.lit(10)) if dates in c else value)
+            own = own + 1 + len(c.split()) + F.when(value.isNull(), 1).otherwise(filled)
+        if cols:
+            total = total + F.when(F.coalesce(*[F.col(f"`{c}`").cast("string") for c in cols]).isNotNull(), own).otherwise(0)
+    return total
+
+
+def head_rows(df: DataFrame, n: int, order: list[str], condition: Column | None = None) -> DataFrame:
+    """The first n rows, of those that meet a condition, in a total order."""
+    return (df.filter(condition) if condition is not None else df).orderBy(*order).limit(n)
+
+
+def sample_rows(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
+    """n rows without replacement, the same at every run: those of least md5 of key and seed."""
+    return df.orderBy(F.md5(F.concat(F.col(key).cast("string"), F.lit(f"|{seed}"))), key).limit(n)
 
 
 def differing_columns(df: DataFrame, key: str, columns: list[str]) -> DataFrame:

@@ -6,12 +6,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmesh.functions.similarity import dot
 
 BLOCK_ROWS = 4096
+CHUNK_ROWS = 8192
+
+
+def _chunks(pool: DataFrame) -> int:
+    """Chunks of a pool, of CHUNK_ROWS vectors on average; a chunk is one row of a task."""
+    return max(1, -(-pool.count() // CHUNK_ROWS))
 
 
 def top_k(queries: DataFrame, pool: DataFrame, k: int, block_rows: int = BLOCK_ROWS, skip_self: bool = True) -> DataFrame:
@@ -26,7 +32,7 @@ def top_k(queries: DataFrame, pool: DataFrame, k: int, block_rows: int = BLOCK_R
     n_blocks = max(1, -(-queries.count() // block_rows))
     blocks = numbered.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)).cast("int"))
     packed = blocks.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("query_id", "q"))).alias("rows"))
-    chunk = pool.select("id", "embedding").withColumn("chunk", F.pmod(F.xxhash64("id", F.lit(7)), F.greatest(F.lit(1), F.lit(pool.rdd.getNumPartitions()))).cast("int"))
+    chunk = pool.select("id", "embedding").withColumn("chunk", F.pmod(F.xxhash64("id", F.lit(7)), F.lit(_chunks(pool))).cast("int"))
     chunks = chunk.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("id", "embedding"))).alias("cands"))
     pairs = chunks.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))).join(packed, "block").select("rows", "cands")
 
@@ -73,19 +79,12 @@ def metrics_at_k(ranked: DataFrame, entities: DataFrame, queries: DataFrame, ks:
     )
 
 
-def mean_reciprocal_rank(ranked: DataFrame, entities: DataFrame) -> DataFrame:
-    """The mean over queries with a positive among the ranked of 1 / rank of the first."""
-    ent = entities.select("id", "entity")
-    first = ranked.join(ent.toDF("query_id", "qe"), "query_id").join(ent.toDF("cand_id", "ce"), "cand_id").filter("qe = ce").groupBy("query_id").agg(F.min("rank").alias("r"))
-    return first.agg(F.round(F.avg(1 / F.col("r")), 6).alias("mrr"), F.count("*").alias("n_queries"))
-
-
 def _met_blocks(queries: DataFrame, pool: DataFrame, extra: tuple[str, ...] = (), block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(rows, cands): each chunk of the pool (id, embedding, entity) with each block of queries (these and extra), as in top_k()."""
     n_blocks = max(1, -(-queries.count() // block_rows))
     blocks = queries.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n_blocks)).cast("int"))
     packed = blocks.groupBy("block").agg(F.collect_list(F.struct("id", "embedding", "entity", *extra)).alias("rows"))
-    chunk = pool.withColumn("chunk", F.pmod(F.xxhash64("id", F.lit(7)), F.lit(max(1, pool.rdd.getNumPartitions()))).cast("int"))
+    chunk = pool.withColumn("chunk", F.pmod(F.xxhash64("id", F.lit(7)), F.lit(_chunks(pool))).cast("int"))
     chunks = chunk.groupBy("chunk").agg(F.collect_list(F.struct("id", "embedding", "entity")).alias("cands"))
     return chunks.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))).join(packed, "block").select("rows", "cands")
 
@@ -104,7 +103,7 @@ def _block_sims(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
             yield rows, qid, cid, np.round(q @ c.T, 9), (qid[:, None] != cid[None, :]), same & known, known
 
 
-def full_reciprocal_rank(queries: DataFrame, pool: DataFrame) -> DataFrame:
+def mean_reciprocal_rank(queries: DataFrame, pool: DataFrame) -> DataFrame:
     """The mean over all queries with a positive of 1 / rank of the first in the whole ranking, and their number.
 
     Both inputs are (id, embedding, entity). A first scan finds each query's best positive, a second counts the
@@ -135,19 +134,11 @@ def full_reciprocal_rank(queries: DataFrame, pool: DataFrame) -> DataFrame:
     return ranked.groupBy("id").agg((F.sum("ahead") + 1).alias("r")).agg(F.round(F.avg(1 / F.col("r")), 6).alias("mrr"), F.count("*").alias("n_queries"))
 
 
-def separability(pairs: DataFrame) -> DataFrame:
-    """pairs (sim, same): means, population deviations and the distance of means in pooled deviations."""
-    pick = lambda f, same: f(F.when(F.col("same") == same, F.col("sim")))
-    got = pairs.agg(
-        pick(F.avg, True).alias("mean_pos"), pick(F.stddev_pop, True).alias("std_pos"), pick(F.avg, False).alias("mean_neg"), pick(F.stddev_pop, False).alias("std_neg"),
-    )
-    pooled = F.sqrt((F.col("std_pos") ** 2 + F.col("std_neg") ** 2) / 2)
-    out = got.withColumn("delta", (F.col("mean_pos") - F.col("mean_neg")) / F.when(pooled > 0, pooled))
-    return out.select(*[F.round(c, 6).alias(c) for c in out.columns])
+def separability(queries: DataFrame, pool: DataFrame) -> DataFrame:
+    """Means and population deviations of similarity inside and between entities, and the means' distance in pooled deviations.
 
-
-def full_separability(queries: DataFrame, pool: DataFrame) -> DataFrame:
-    """separability() of all pairs of both inputs (id, embedding, entity): counts, sums and squares from one blocked scan."""
+    Over all pairs of both inputs (id, embedding, entity): counts, sums and squares come from one blocked scan.
+    """
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, _, _, sims, other, same, known in _block_sims(batches):
@@ -169,34 +160,39 @@ def full_separability(queries: DataFrame, pool: DataFrame) -> DataFrame:
     return got.select(*[F.round(c, 6).alias(c) for c in ("mean_pos", "std_pos", "mean_neg", "std_neg", "delta")])
 
 
-def all_pairs(queries: DataFrame, pool: DataFrame, similarity: Column | None = None) -> DataFrame:
-    """Every query with every candidate of another id: for stated, small query sets only."""
-    sim = similarity if similarity is not None else dot(F.col("q"), F.col("c"))
-    left = queries.select(F.col("id").alias("query_id"), F.col("entity").alias("qe"), F.col("embedding").alias("q"))
-    right = pool.select(F.col("id").alias("cand_id"), F.col("entity").alias("ce"), F.col("embedding").alias("c"))
-    return left.join(right, F.col("query_id") != F.col("cand_id")).select("query_id", "cand_id", sim.alias("sim"), (F.col("qe") == F.col("ce")).alias("same"))
-
-
 def pool_statistics(entities: DataFrame) -> DataFrame:
     sizes = entities.groupBy("entity").agg(F.count("*").alias("n"))
     return sizes.agg(F.count("*").alias("n_entities"), F.max("n").alias("max_positives"), F.round(F.avg("n"), 6).alias("mean_positives"), F.sum((F.col("n") > 1).cast("long")).alias("n_many"))
 
 
-def mine_hard_pairs(ranked: DataFrame, records: DataFrame) -> DataFrame:
-    """(id_a, id_b, label, type) of a split, from the top-K over all its records.
+def mine_hard_pairs(ranked: DataFrame, records: DataFrame, max_easy: int = 0, seed: int = 42) -> DataFrame:
+    """(id_a, id_b, label, similarity, type) of a split, from the top-K over all its records.
 
-    records: (id, entity, source). Positives are pairs of one entity and different sources: `positive` when
-    either ranks the other, else `hard_positive`. Negatives are ranked pairs of different entity and source.
+    records: (id, entity, source, embedding) of the split's linkable records. Positives are pairs of one entity and
+    different sources: `positive` when either ranks the other, else `hard_positive`. Negatives are ranked pairs of
+    different entity and source. With max_easy, so many of the `positive` ones stay, the least by a seeded hash.
     """
     r = records.select("id", "entity", "source")
     near = ranked.select(F.least("query_id", "cand_id").alias("id_a"), F.greatest("query_id", "cand_id").alias("id_b")).distinct()
     a, b = r.toDF("id_a", "ea", "sa"), r.toDF("id_b", "eb", "sb")
     same = a.join(b, (F.col("ea") == F.col("eb")) & (F.col("id_a") < F.col("id_b")) & (F.col("sa") != F.col("sb"))).select("id_a", "id_b")
-    positive = same.join(near.withColumn("_near", F.lit(True)), ["id_a", "id_b"], "left").select(
-        "id_a", "id_b", F.lit(1).alias("label"), F.when(F.col("_near"), "positive").otherwise("hard_positive").alias("type")
+    positive = same.join(near.withColumn("near", F.lit(True)), ["id_a", "id_b"], "left").select(
+        "id_a", "id_b", F.lit(1).alias("label"), F.when(F.col("near"), "positive").otherwise("hard_positive").alias("type")
     )
+    if max_easy > 0:
+        easy = positive.filter("type = 'positive'").orderBy(F.xxhash64(F.lit(seed), "id_a", "id_b"), "id_a", "id_b").limit(max_easy)
+        positive = positive.filter("type <> 'positive'").unionByName(easy)
     negative = near.join(a, "id_a").join(b, "id_b").filter("ea <> eb and sa <> sb").select("id_a", "id_b", F.lit(0).alias("label"), F.lit("hard_negative").alias("type"))
-    return positive.unionByName(negative)
+    v = records.select("id", "embedding")
+    pairs = positive.unionByName(negative).join(v.toDF("id_a", "va"), "id_a").join(v.toDF("id_b", "vb"), "id_b")
+    return pairs.select("id_a", "id_b", "label", F.round(dot(F.col("va"), F.col("vb")), 6).alias("similarity"), "type")
+
+
+def sanity_margin(pairs: DataFrame, least: float = 0.75) -> DataFrame:
+    """pairs (a, b unit vectors, same): mean similarity of paraphrases and of others, their distance, and whether the first reaches `least`."""
+    sim = dot(F.col("a"), F.col("b"))
+    got = pairs.select("same", sim.alias("sim")).agg(F.avg(F.when(F.col("same"), F.col("sim"))).alias("pos"), F.avg(F.when(~F.col("same"), F.col("sim"))).alias("neg"))
+    return got.select(F.round("pos", 6).alias("mean_pos"), F.round("neg", 6).alias("mean_neg"), F.round(F.col("pos") - F.col("neg"), 6).alias("margin"), (F.col("pos") >= least).alias("passed"))
 
 
 def directional_metrics(vectors: DataFrame, sources: list, k: int = 5) -> DataFrame:

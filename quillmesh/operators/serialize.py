@@ -30,6 +30,30 @@ def serialize(df: DataFrame, blocks: Blocks, tokens: bool = True, skip_null: boo
     return F.array_join(F.filter(F.array(*parts), lambda x: x != ""), " " if tokens else ". ")
 
 
+def serialize_blocks(df: DataFrame, blocks: Blocks, tokens: bool = True) -> Column:
+    """The older form: everything joined by single spaces; with tokens a null is written as NULL, without it is left out."""
+    parts = []
+    for name, cols in blocks:
+        cols = [c for c in cols if c in df.columns]
+        values = [format_value(F.col(f"`{c}`")) for c in cols]
+        if not cols:
+            continue
+        one = [F.when(v != "", F.concat(F.lit(f"[COL] {c} [VAL] " if tokens else f"{c}: "), v)).otherwise(f"[COL] {c} [VAL] NULL" if tokens else "") for c, v in zip(cols, values, strict=True)]
+        some = F.exists(F.array(*values), lambda v: v != "")
+        body = F.array_join(F.filter(F.array(*one), lambda x: x != ""), " ")
+        parts.append(F.when(some, F.concat(F.lit(f"[BLK_{name}] " if tokens else ""), body)).otherwise(""))
+    return F.array_join(F.filter(F.array(*parts), lambda x: x != ""), " ")
+
+
+def name_text(df: DataFrame, column: str, parts: tuple[str, ...] = (), label: str = "nombre") -> Column:
+    """`column: name`, or, where the column is null or absent, `label: ` and the filled name parts; '' without a name."""
+    whole = F.col(f"`{column}`").cast("string") if column in df.columns else F.lit(None).cast("string")
+    own = [F.trim(F.col(f"`{p}`").cast("string")) for p in parts if p in df.columns]
+    joined = F.array_join(F.filter(F.array(*own), lambda x: x.isNotNull() & (x != "")), " ") if own else F.lit("")
+    name = F.coalesce(F.trim(whole), joined)
+    return F.when(name != "", F.concat(F.when(whole.isNotNull(), column).otherwise(label), F.lit(": "), name)).otherwise("")
+
+
 def serialize_zeroshot(df: DataFrame, leave_out: tuple[str, ...] = ("record_id", "source")) -> Column:
     """All columns in their own order as `name: value`, nulls skipped."""
     cols = [c for c in df.columns if c not in leave_out]

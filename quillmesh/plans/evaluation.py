@@ -61,26 +61,48 @@ _add(
     """SELECT k, round(sum(CASE WHEN h > 0 THEN 1.0 ELSE 0.0 END) / (SELECT count(*) FROM v), 4) AS hit, round(sum(h / n_pos) / (SELECT count(*) FROM v), 4) AS recall,
  round(sum(h / least(k, n_pos)) / (SELECT count(*) FROM v), 4) AS recall_norm, round(sum(h / k) / (SELECT count(*) FROM v), 4) AS precision FROM h JOIN pos USING (query_id) WHERE n_pos > 0 GROUP BY k""",
 )
-_add("mrr", lambda s, d: R.mean_reciprocal_rank(ranked(s, d), vectors(s, d)), V, "SELECT round(avg(1 / r), 6) AS mrr, count(*) AS n_queries FROM (SELECT query_id, min(rank) AS r FROM rk WHERE rank <= 20 AND same GROUP BY 1)")
-_add("mrr_full", lambda s, d: R.full_reciprocal_rank(vectors(s, d), vectors(s, d)), V, "SELECT round(avg(1 / r), 6) AS mrr, count(*) AS n_queries FROM (SELECT query_id, min(rank) AS r FROM rk WHERE same GROUP BY 1)")
+_add("mrr", lambda s, d: R.mean_reciprocal_rank(vectors(s, d), vectors(s, d)), V, "SELECT round(avg(1 / r), 6) AS mrr, count(*) AS n_queries FROM (SELECT query_id, min(rank) AS r FROM rk WHERE same GROUP BY 1)")
 _add(
     "separability",
-    lambda s, d: R.separability(R.all_pairs(vectors(s, d).filter("id % 50 = 0"), vectors(s, d))),
-    V + ", m AS (SELECT avg(sim) FILTER (same) AS mp, stddev_pop(sim) FILTER (same) AS sp, avg(sim) FILTER (NOT same) AS mn, stddev_pop(sim) FILTER (NOT same) AS sn FROM sim WHERE query_id % 50 = 0)",
-    "SELECT round(mp, 6) AS mean_pos, round(sp, 6) AS std_pos, round(mn, 6) AS mean_neg, round(sn, 6) AS std_neg, round((mp - mn) / sqrt((sp * sp + sn * sn) / 2), 6) AS delta FROM m",
-)
-_add(
-    "separability_full",
-    lambda s, d: R.full_separability(vectors(s, d), vectors(s, d)),
+    lambda s, d: R.separability(vectors(s, d), vectors(s, d)),
     V + ", m AS (SELECT avg(sim) FILTER (same) AS mp, stddev_pop(sim) FILTER (same) AS sp, avg(sim) FILTER (NOT same) AS mn, stddev_pop(sim) FILTER (NOT same) AS sn FROM sim)",
     "SELECT round(mp, 6) AS mean_pos, round(sp, 6) AS std_pos, round(mn, 6) AS mean_neg, round(sn, 6) AS std_neg, round((mp - mn) / sqrt((sp * sp + sn * sn) / 2), 6) AS delta FROM m",
 )
 _add("candidate_pool_stats", lambda s, d: R.pool_statistics(vectors(s, d)), V, "SELECT count(*) AS n_entities, max(n) AS max_positives, round(avg(n), 6) AS mean_positives, CAST(sum(CASE WHEN n > 1 THEN 1 ELSE 0 END) AS BIGINT) AS n_many FROM (SELECT count(*) AS n FROM v GROUP BY entity)")
-HARD = V + """, near AS (SELECT DISTINCT least(query_id, cand_id) AS id_a, greatest(query_id, cand_id) AS id_b FROM rk WHERE rank <= 20),
-hp AS (SELECT a.id AS id_a, b.id AS id_b, 1 AS label, CASE WHEN near.id_a IS NOT NULL THEN 'positive' ELSE 'hard_positive' END AS type FROM v a JOIN v b ON a.entity = b.entity AND a.id < b.id AND a.source <> b.source LEFT JOIN near ON near.id_a = a.id AND near.id_b = b.id
- UNION ALL SELECT near.id_a, near.id_b, 0, 'hard_negative' FROM near JOIN v a ON a.id = near.id_a JOIN v b ON b.id = near.id_b WHERE a.entity <> b.entity AND a.source <> b.source)"""
-_add("hard_pairs", lambda s, d: R.mine_hard_pairs(ranked(s, d), vectors(s, d)), HARD, "SELECT id_a, id_b, CAST(label AS INTEGER) AS label, type FROM hp")
-_add("hard_pair_type_counts", lambda s, d: R.mine_hard_pairs(ranked(s, d), vectors(s, d)).groupBy("type").agg(F.count("*").alias("n_pairs")), HARD, "SELECT type, count(*) AS n_pairs FROM hp GROUP BY type")
+def linkable(s, d):
+    """Vectors of entities with two sources or more."""
+    v = vectors(s, d)
+    return v.join(v.groupBy("entity").agg(F.countDistinct("source").alias("n")).filter("n >= 2").select("entity"), "entity", "left_semi")
+
+
+def hard(s, d, **options):
+    v = linkable(s, d)
+    return R.mine_hard_pairs(Stage(s, "ranked").put(R.top_k(v, v, 20), "t"), v, **options)
+
+
+HARD = """v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS e, label AS entity, vec_id % 3 AS source FROM embeddings WHERE label IN (SELECT label FROM embeddings GROUP BY label HAVING count(DISTINCT vec_id % 3) >= 2)),
+sim AS (SELECT a.id AS query_id, b.id AS cand_id, round(list_dot_product(a.e, b.e), 9) AS sim FROM v a JOIN v b ON a.id <> b.id),
+rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, cand_id) AS rank FROM sim), near AS (SELECT DISTINCT least(query_id, cand_id) AS id_a, greatest(query_id, cand_id) AS id_b FROM rk WHERE rank <= 20),
+hp AS (SELECT a.id AS id_a, b.id AS id_b, 1 AS label, round(list_dot_product(a.e, b.e), 6) AS similarity, CASE WHEN near.id_a IS NOT NULL THEN 'positive' ELSE 'hard_positive' END AS type FROM v a JOIN v b ON a.entity = b.entity AND a.id < b.id AND a.source <> b.source LEFT JOIN near ON near.id_a = a.id AND near.id_b = b.id
+ UNION ALL SELECT near.id_a, near.id_b, 0, round(list_dot_product(a.e, b.e), 6), 'hard_negative' FROM near JOIN v a ON a.id = near.id_a JOIN v b ON b.id = near.id_b WHERE a.entity <> b.entity AND a.source <> b.source)"""
+_add("hard_pairs", hard, HARD, "SELECT id_a, id_b, CAST(label AS INTEGER) AS label, similarity, type FROM hp")
+_add("hard_pair_type_counts", lambda s, d: hard(s, d).groupBy("type").agg(F.count("*").alias("n_pairs")), HARD, "SELECT type, count(*) AS n_pairs FROM hp GROUP BY type")
+_add("hard_pairs_few_easy", lambda s, d: hard(s, d, max_easy=25).groupBy("type").agg(F.count("*").alias("n_pairs")), HARD, "SELECT type, CASE WHEN type = 'positive' THEN least(count(*), 25) ELSE count(*) END AS n_pairs FROM hp GROUP BY type")
+_add(
+    "sanity_margin",
+    lambda s, d: R.sanity_margin(_neighbours(s, d)),
+    "p AS (SELECT CAST(a.embedding AS DOUBLE[]) AS a, CAST(b.embedding AS DOUBLE[]) AS b, a.label = b.label AS same FROM embeddings a JOIN embeddings b ON a.vec_id % 2 = 0 AND b.vec_id = a.vec_id + 1), m AS (SELECT avg(list_dot_product(a, b)) FILTER (same) AS p, avg(list_dot_product(a, b)) FILTER (NOT same) AS n FROM p)",
+    "SELECT round(p, 6) AS mean_pos, round(n, 6) AS mean_neg, round(p - n, 6) AS margin, p >= 0.75 AS passed FROM m",
+)
+
+
+def _neighbours(s, d):
+    """Each vector of an even id with the next one."""
+    v = vectors(s, d)
+    left = v.filter("id % 2 = 0").select((F.col("id") + 1).alias("other"), F.col("embedding").alias("a"), F.col("entity").alias("ea"))
+    return left.join(v.select(F.col("id").alias("other"), F.col("embedding").alias("b"), F.col("entity").alias("eb")), "other").select("a", "b", (F.col("ea") == F.col("eb")).alias("same"))
+
+
 _add(
     "cross_source_topk",
     lambda s, d: R.top_k(vectors(s, d).filter("source = 0"), vectors(s, d).filter("source = 1"), 5),

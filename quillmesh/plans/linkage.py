@@ -34,6 +34,11 @@ def classified(spark, d: str) -> DataFrame:
     return L.classify(L.scored_pairs(candidates(spark, d)))
 
 
+def decided(spark, d: str) -> DataFrame:
+    """The criteria alone, with Python for undecided pairs only."""
+    return L.classify(L.scored_pairs(candidates(spark, d), undecided_only=True))
+
+
 def reviewed(spark, d: str) -> DataFrame:
     """Classified pairs with decisions derived from their ids."""
     h = F.substring(F.md5(F.concat_ws("-", "id_a", "id_b")), 1, 1)
@@ -94,8 +99,8 @@ def _add(name, fn, sql=None):
 _add("linkage_candidates", lambda s, d: L.key_candidates(records(s, d)), q(CAND, "SELECT * FROM cand WHERE NOT null_exp"))
 _add("linkage_null_key_candidates", lambda s, d: L.null_key_candidates(records(s, d), "A"), q(CAND, "SELECT * FROM cand WHERE null_exp"))
 _add("linkage_scores", lambda s, d: L.scored_pairs(candidates(s, d)).select("id_a", "id_b", "jw", "lev"), q(SCORED, "SELECT id_a, id_b, jw, lev FROM scored"))
-_add("linkage_cascade", lambda s, d: classified(s, d).groupBy("criterion").agg(F.count("*").alias("n_pairs")), q(SCORED, "SELECT criterion, count(*) AS n_pairs FROM cls GROUP BY criterion"))
-_add("linkage_classified", lambda s, d: classified(s, d).select("id_a", "id_b", "criterion"), q(SCORED, "SELECT id_a, id_b, criterion FROM cls"))
+_add("linkage_cascade", lambda s, d: decided(s, d).groupBy("criterion").agg(F.count("*").alias("n_pairs")), q(SCORED, "SELECT criterion, count(*) AS n_pairs FROM cls GROUP BY criterion"))
+_add("linkage_classified", lambda s, d: decided(s, d).select("id_a", "id_b", "criterion"), q(SCORED, "SELECT id_a, id_b, criterion FROM cls"))
 _add(
     "review_projection",
     lambda s, d: reviewed(s, d).select("id_a", "id_b", "source_a", "source_b", "exp_shared", "key_a", "key_b", F.round("jw", 3).alias("jw"), F.round("lev", 3).alias("lev"), "criterion", "decision"),

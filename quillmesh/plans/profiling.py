@@ -47,11 +47,6 @@ _add(
 )
 _add(
     "name_key",
-    lambda s, d: _docs(s, d).select("doc_id", X.name_key(F.substr("text", F.lit(1), F.lit(60))).alias("key"), X.name_key(F.substr("text", F.lit(1), F.lit(60)), sort_tokens=False).alias("key_v1")),
-    f"SELECT doc_id, {KEY.format('substr(text, 1, 60)')} AS key, {KEY.format('substr(text, 1, 60)').replace('list_sort', '')} AS key_v1 FROM documents",
-)
-_add(
-    "name_key_full",
     lambda s, d: _docs(s, d).select("doc_id", X.name_key(F.col("text")).alias("key"), X.name_key(F.col("text"), sort_tokens=False).alias("key_v1")),
     f"SELECT doc_id, {KEY.format('text')} AS key, {KEY.format('text').replace('list_sort', '')} AS key_v1 FROM documents",
 )
@@ -101,8 +96,10 @@ _add("augment_typos", lambda s, d: _augmented(s, d, lambda x, k: A.inject_typos(
 _add("augment_all", lambda s, d: _augmented(s, d, lambda x, k: A.augment(x, k, 7, span=0.2)))
 
 # profiles
-_cols = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice"]
-_add("column_profile", lambda s, d: P.null_profile(t(s, d, "orders"), _cols), " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) AS rows, count(*) - count({c}) AS nulls, count(DISTINCT {c}) AS n_distinct, round(100 * (count(*) - count({c})) / count(*), 4) AS null_pct FROM orders" for c in _cols))
+_ORDERS = {"o_orderkey": "bigint", "o_custkey": "bigint", "o_orderstatus": "string", "o_totalprice": "double", "o_orderdate": "timestamp_ntz", "o_orderpriority": "string"}
+_add("column_profile", lambda s, d: P.column_profile(t(s, d, "orders")).withColumn("example", F.when(F.col("dtype").isin("bigint", "string"), F.col("example"))), " UNION ALL ".join(
+    f"""SELECT '{c}' AS "column", '{k}' AS dtype, count(*) AS rows, count({c}) AS non_null, count(*) - count({c}) AS nulls, count(DISTINCT {c}) AS n_distinct, count(DISTINCT {c}) + CAST(count(*) > count({c}) AS INTEGER) AS n_values,
+ round(100 * (count(*) - count({c})) / greatest(count(*), 1), 4) AS null_pct, {f"CAST(min({c}) AS VARCHAR)" if k in ("bigint", "string") else "NULL"} AS example FROM orders""" for c, k in _ORDERS.items()))
 _add("null_profile", lambda s, d: P.null_profile(_cust(s, d)), f"WITH {CUST} " + " UNION ALL ".join(f"SELECT '{n}' AS \"column\", count(*) AS rows, count(*) - count({c}) AS nulls, count(DISTINCT {c}) AS n_distinct, round(100 * (count(*) - count({c})) / count(*), 4) AS null_pct FROM c" for n, c in (("c_custkey", "c_custkey"), ("c_name", "c_name"), ("c_mktsegment", "m"), ("c_region", "r"))))
 _add("describe_numeric", lambda s, d: P.describe(t(s, d, "orders"), "o_totalprice"), "SELECT count(o_totalprice) AS n, round(avg(o_totalprice), 6) AS mean, round(stddev_samp(o_totalprice), 6) AS std, round(min(o_totalprice), 6) AS min, round(max(o_totalprice), 6) AS max, round(quantile_cont(o_totalprice, 0.25), 6) AS q1, round(quantile_cont(o_totalprice, 0.5), 6) AS median, round(quantile_cont(o_totalprice, 0.75), 6) AS q3 FROM orders")
 _add("quantiles", lambda s, d: P.quantiles(t(s, d, "lineitem"), "l_extendedprice"), " UNION ALL ".join(f"SELECT CAST({p} AS DOUBLE) AS point, round(quantile_cont(l_extendedprice, {p}), 6) AS value FROM lineitem" for p in (0.25, 0.75, 0.9, 0.95, 0.99)))
@@ -125,8 +122,7 @@ _add("key_duplicates_diff", lambda s, d: P.differing_columns(_docs(s, d).withCol
  (SELECT count(DISTINCT lang) + max(CASE WHEN lang IS NULL THEN 1 ELSE 0 END) AS a, count(DISTINCT source) + max(CASE WHEN source IS NULL THEN 1 ELSE 0 END) AS b, count(DISTINCT n_chars) AS c FROM documents GROUP BY text HAVING count(*) > 1)""")
 _add("key_conflicts", lambda s, d: P.key_conflicts(t(s, d, "part"), "p_brand", "p_type"), "SELECT p_brand, count(DISTINCT p_type) AS n_values, string_agg(DISTINCT p_type, '|' ORDER BY p_type) AS \"values\" FROM part GROUP BY 1 HAVING count(DISTINCT p_type) > 1")
 _add("id_gaps", lambda s, d: P.id_gaps(t(s, d, "events").filter("event_id % 7 <> 3 and event_id % 11 <> 5"), "event_id", 1000), "SELECT * FROM (SELECT lag(event_id) OVER (ORDER BY event_id) AS after_id, event_id AS next_id, event_id - lag(event_id) OVER (ORDER BY event_id) - 1 AS n_missing FROM events WHERE event_id % 7 <> 3 AND event_id % 11 <> 5) WHERE n_missing > 0")
-_add("sequence_missing", lambda s, d: P.missing_in_sequence(t(s, d, "labels"), "doc_id", 0, 199), "SELECT i AS missing FROM range(200) r(i) WHERE i NOT IN (SELECT doc_id FROM labels)")
-_add("sequence_missing_full", lambda s, d: P.missing_between_ends(t(s, d, "labels"), "doc_id"), "SELECT missing FROM (SELECT unnest(range(min(doc_id), max(doc_id) + 1)) AS missing FROM labels) WHERE missing NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)")
+_add("sequence_missing", lambda s, d: P.missing_between_ends(t(s, d, "labels"), "doc_id"), "SELECT missing FROM (SELECT unnest(range(min(doc_id), max(doc_id) + 1)) AS missing FROM labels) WHERE missing NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)")
 _add("date_coherence", lambda s, d: t(s, d, "lineitem").join(t(s, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).withColumn("days", F.datediff("l_shipdate", "o_orderdate")).agg(
     F.count("*").alias("n"), F.sum((F.col("days") < 0).cast("long")).alias("n_inverted"), F.sum((F.col("days") == 0).cast("long")).alias("n_same_day"), F.sum((~F.year("l_shipdate").between(1993, 2000)).cast("long")).alias("n_out_of_range"), F.round(F.avg("days"), 6).alias("mean_days")),
     "SELECT count(*) AS n, count(*) FILTER (days < 0) AS n_inverted, count(*) FILTER (days = 0) AS n_same_day, count(*) FILTER (y NOT BETWEEN 1993 AND 2000) AS n_out_of_range, round(avg(days), 6) AS mean_days FROM (SELECT date_diff('day', CAST(o_orderdate AS DATE), CAST(l_shipdate AS DATE)) AS days, year(l_shipdate) AS y FROM lineitem JOIN orders ON l_orderkey = o_orderkey)")
@@ -141,8 +137,7 @@ _add("imputation_plan", lambda s, d: P.imputation_plan(P.null_profile(_cust(s, d
 SELECT n AS "column", CAST(x AS DOUBLE) AS null_pct, CASE WHEN n = 'c_custkey' THEN 'critical' WHEN x > 80 THEN 'drop' WHEN x < 5 THEN 'simple' ELSE 'advanced' END AS plan FROM p""")
 _add("target_dictionary", lambda s, d: P.target_dictionary(P.schema_rows(t(s, d, "orders")), [("key$", "ID"), ("date", "TIME"), ("price", "MONEY")]), """SELECT * FROM (VALUES ('o_orderkey', 'ID', 'o_orderkey', 'numeric', 'o_orderkey -> o_orderkey'), ('o_custkey', 'ID', 'o_custkey', 'numeric', 'o_custkey -> o_custkey'), ('o_orderstatus', 'other', 'o_orderstatus', 'categorical', 'o_orderstatus -> o_orderstatus'),
  ('o_totalprice', 'MONEY', 'o_totalprice', 'numeric', 'o_totalprice -> o_totalprice'), ('o_orderdate', 'TIME', 'o_orderdate', 'temporal', 'o_orderdate -> o_orderdate'), ('o_orderpriority', 'other', 'o_orderpriority', 'categorical', 'o_orderpriority -> o_orderpriority')) t("column", block, target, kind, lineage)""")
-_add("snake_case", lambda s, d: _docs(s, d).select("doc_id", X.snake_case(F.substr("text", F.lit(1), F.lit(40))).alias("name")), "SELECT doc_id, trim(regexp_replace(regexp_replace(lower(substr(text, 1, 40)), '[^a-z0-9]', '_', 'g'), '_+', '_', 'g'), '_') AS name FROM documents")
-_add("snake_case_full", lambda s, d: _docs(s, d).select("doc_id", X.snake_case(F.col("text")).alias("name")), "SELECT doc_id, trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9]', '_', 'g'), '_+', '_', 'g'), '_') AS name FROM documents")
+_add("snake_case", lambda s, d: _docs(s, d).select("doc_id", X.snake_case(F.col("text")).alias("name")), "SELECT doc_id, trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9]', '_', 'g'), '_+', '_', 'g'), '_') AS name FROM documents")
 _nations = lambda s, d, n, c: t(s, d, n).select(F.col(c).alias("nation"))
 _add("union_by_name", lambda s, d: t(s, d, "supplier").select(F.col("s_name").alias("name"), F.col("s_nationkey").alias("nation"), F.lit("supplier").alias("kind")).unionByName(t(s, d, "customer").select(F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"), F.lit("customer").alias("kind")), allowMissingColumns=True), "SELECT s_name AS name, s_nationkey AS nation, 'supplier' AS kind, NULL AS segment FROM supplier UNION ALL SELECT c_name, NULL, 'customer', c_mktsegment FROM customer")
 _add("set_intersection", lambda s, d: _nations(s, d, "supplier", "s_nationkey").intersect(_nations(s, d, "customer", "c_nationkey")), "SELECT s_nationkey AS nation FROM supplier INTERSECT SELECT c_nationkey FROM customer")

@@ -1,12 +1,16 @@
 """Linkage, evaluation, profiling, serialisation, sources and streams on small tables."""
 
+import json
+import zipfile
+
 import pytest
 from pyspark.sql import functions as F
 
-from quillmesh.operators import augment, cleaning, consolidate, evaluate, linkage, profile, retrieval, serialize
+from quillmesh.operators import augment, cleaning, consolidate, evaluate, linkage, numbering, profile, retrieval, serialize, training
 from quillmesh.operators.components import connected_components
-from quillmesh.operators.registry import Comparator, default_registry
-from quillmesh.sources import tables
+from quillmesh.operators.labelling import Labelling
+from quillmesh.operators.registry import default_registry
+from quillmesh.sources import sheets, tables
 from quillmesh.streaming import link_stream
 
 REC = "record_id long, source string, exp long, name string, key string"
@@ -68,7 +72,7 @@ def test_entities_numbering_and_split(spark):
     assert consolidate.document_statistics(docs).first().n_entities == len(set(ids.values()))
     assert '"exp":null' in "".join(x.document for x in consolidate.as_json(docs).collect())
     with pytest.raises(ValueError):
-        default_registry().add(Comparator("levenshtein", (), "", "", lambda a, b: None))
+        default_registry().comparator("levenshtein", "key")
 
 
 def test_binary_metrics_edge_cases(spark):
@@ -101,6 +105,8 @@ def test_retrieval(spark):
     assert m[1].hit == 1.0 and m[5].recall == 1.0 and m[5].precision == 0.4
     kinds = {r.type for r in retrieval.mine_hard_pairs(retrieval.top_k(v, v, 3), v).collect()}
     assert kinds <= {"positive", "hard_positive", "hard_negative"} and "positive" in kinds
+    few = retrieval.mine_hard_pairs(retrieval.top_k(v, v, 3), v, max_easy=1)
+    assert few.filter("type = 'positive'").count() == 1 and "similarity" in few.columns
 
 
 def test_serialise_round_trip_and_augment(spark):
@@ -122,6 +128,109 @@ def test_serialise_round_trip_and_augment(spark):
     assert text.select(augment.inject_typos(F.col("t"), k, 1, 0.0).alias("a"), "t").filter("a <> t").count() == 0
 
 
+def test_typos_and_masks_touch_values_only(spark):
+    blocks = [("ID", ["nombre", "edad"]), ("C", ["nota", "none"])]
+    df = spark.createDataFrame([(i, f"maria del mar {i % 7}", i, "una nota larga aqui", None) for i in range(400)], "id long, nombre string, edad long, nota string, none string")
+    text = df.select("id", serialize.serialize(df, blocks, True, False).alias("t"))
+    k = F.col("id")
+    for p in (0.3, 1.0):
+        typed = text.select("id", F.posexplode(serialize.parse(augment.inject_typos(F.col("t"), k, 5, p))).alias("i", "x")).select("id", "x.*").collect()
+        assert len(typed) == 1600 and {(r.block, r.col) for r in typed} == {("ID", "nombre"), ("ID", "edad"), ("C", "nota"), ("C", "none")}
+        assert {r.val for r in typed if r.col == "none"} == {"NULL"}
+        words = [(a, b) for r in typed if r.col == "nota" for a, b in zip("una nota larga aqui".split(), r.val.split(), strict=True)]
+        share = sum(a != b for a, b in words) / len(words)
+        assert 0.75 * p < share <= p + 0.05 and all(abs(len(a) - len(b)) <= 1 for a, b in words)
+        assert all(r.val == str(r.id) for r in typed if r.col == "edad" and r.id < 10)  # one letter is never mistyped
+    # a chance for each value, never a protected one
+    masked = text.select("id", F.explode(serialize.parse(augment.augment(F.col("t"), k, 5, 0, 0, 0.25, 0))).alias("x")).select("x.*").collect()
+    gone = {c: sum(r.val == "NULL" for r in masked if r.col == c) / 400 for c in ("nombre", "edad", "nota")}
+    assert gone["nombre"] == 0 and 0.15 < gone["edad"] < 0.35 and 0.15 < gone["nota"] < 0.35
+
+
+def test_running_and_numbers(spark):
+    rows = [(i, (i * 37) % 1000, 1 if i % 3 else None) for i in range(1000)]
+    df = spark.createDataFrame(rows, "part long, v long, base_0 int").repartition(6)
+    got = numbering.numbered(df, [F.col("v")], "n").collect()
+    assert all(r.n == r.v for r in got) and len(got) == 1000 and got[0].asDict().keys() == {"part", "v", "base_0", "n"}
+    down = numbering.running(df, [F.desc("v")], {"s": F.col("v"), "c": F.lit(1)}).collect()
+    assert all((r.c, r.s) == (1000 - r.v, sum(range(r.v, 1000))) for r in down)
+    assert numbering.numbered(df.limit(0), [F.col("v")], "n").count() == 0
+    q = profile.cuts(df, F.col("v"), (0.0, 0.3, 1.0)).first().q
+    assert [round(x, 6) for x in q] == [0.0, 299.7, 999.0]
+    assert profile.cuts(df.limit(0), F.col("v"), (0.5,)).first().q in ([None], None)
+
+
+def test_components_in_rounds_and_in_one_task(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(0, 60) if i % 10] + [(100, 3), (7, 7)], "src long, dst long")
+    one = {r.node: r.component for r in connected_components(edges).collect()}
+    assert one == {r.node: r.component for r in connected_components(edges, small=0).collect()} and one[100] == 1
+
+
+def test_cascade_with_python_for_undecided_pairs(spark):
+    names = ["", "ANA", "ANA LUZ", "ANALUZ", "LUZ ANA", "MARTHA", "MARHTA", "DIXON", "DICKSONX", "JELLYFISH", "SMELLYFISH", "ABCD EFGH", "ABCD EFGX", "A", "B"]
+    pairs = spark.createDataFrame([(a, b, n) for a in names for b in names for n in (False, True)], "key_a string, key_b string, null_exp boolean")
+    of = lambda u: {(r.key_a, r.key_b, r.null_exp): r.criterion for r in linkage.classify(linkage.scored_pairs(pairs, undecided_only=u)).collect()}
+    assert of(True) == of(False)
+
+
+def test_review_sheets(spark, tmp_path):
+    rows = [(2, 1, "unconfirmed", None, "é <&> \x01x"), (1, 2, "exact_key", "no_match", " a  b "), (3, 4, "classic_metric", " ", None)]
+    df = spark.createDataFrame(rows, "id_a long, id_b long, criterion string, decision string, key_a string")
+    path = f"{tmp_path}/r.xlsx"
+    sheets.write_sheet(df, path)
+    got = sheets.read_sheet(spark, path).orderBy("id_a").collect()
+    assert [(r.id_a, r.id_b, r.decision) for r in got] == [(1, 2, "no_match"), (2, 1, None), (3, 4, None)] and got[1].key_a == "é <&> x"
+    with zipfile.ZipFile(path) as z:
+        text = z.read("xl/worksheets/sheet1.xml").decode()
+    style = {n: k + 1 for k, n in enumerate(sheets.FILLS)}
+    assert f'r="A2" s="{style["red"]}"' in text and f'r="A3" s="{style["yellow"]}"' in text and f'r="A4" s="{style["green"]}"' in text and 'r="D2" s="0"' in text
+    assert 'state="frozen"' in text and "match,no_match" in text
+    assert [sheets.column_letters(k) for k in (0, 25, 26, 701, 702)] == ["A", "Z", "AA", "ZZ", "AAA"]
+    with pytest.raises(ValueError, match="no sheet"):
+        sheets.read_sheet(spark, path, "other")
+
+
+def test_labelling_guards(spark, tmp_path):
+    kind = "source string, exp long, name string, key string, text string, place long"
+    tables = [spark.createDataFrame([(s, 1 if i else None, "Ana", "ANA", f"{s}{i}", i) for i in range(2)], kind) for s in "ABC"]
+    work = Labelling(spark, f"{tmp_path}/w")
+    with pytest.raises(FileNotFoundError):
+        work.finalize()
+    with pytest.raises(ValueError, match="3 are expected"):
+        work.classify(tables[:2])
+    with pytest.raises(PermissionError):
+        Labelling(spark, f"{tmp_path}/w", canonical=True).classify(tables)
+    assert work.classify(tables).count() == 5  # three pairs by number, two by name
+    done = {r.text: r.entity_id for r in work.finalize().collect()}
+    assert done["A1"] == done["B1"] == done["C1"] != done["A0"]
+    with pytest.raises(ValueError, match="were classified"):
+        work.finalize([tables[0].limit(1), *tables[1:]])
+    again = work.finalize([t.withColumn("text", F.lit("new")) for t in tables])
+    assert {r.text for r in again.collect()} == {"new"}
+    sheet = sheets.read_sheet(spark, work.sheet_path)
+    assert {"entity_id_a", "entity_id_b"} <= set(sheet.columns) and sheet.filter("criterion = 'exact_key' and decision = 'match'").count() == 3
+
+
+def test_checkpoints_and_paths(spark, tmp_path):
+    for name in ("r1/epoch_01", "r1/epoch_02", "r2/best", "r2/epoch_01"):
+        (tmp_path / name).mkdir(parents=True)
+    at = lambda run, e=None: training.resolve_checkpoint(spark, str(tmp_path), run, e).rpartition("/")[2]
+    assert (at("r1"), at("r1", 1), at("r2")) == ("epoch_02", "epoch_01", "best") and training.runs_with_best(spark, str(tmp_path)) == ["r2"]
+    with pytest.raises(FileNotFoundError):
+        at("r1", 9)
+    paths = training.data_paths("full", str(tmp_path))
+    assert set(training.missing_paths(spark, paths)) == set(paths)
+
+
+def test_json_arrays_and_types(spark, tmp_path):
+    df = spark.createDataFrame([(2, None), (1, "x")], "id int, t string").coalesce(1)
+    tables.write_json_array(df, f"{tmp_path}/a", ["id"])
+    text = "".join(p.read_text() for p in (tmp_path / "a").glob("part-*"))
+    assert json.loads(text) == [{"id": 1, "t": "x"}, {"id": 2, "t": None}]
+    raw = spark.createDataFrame([("1", "1.5", "a", None), (None, "2", "3", None)], "a string, b string, c string, d string")
+    assert tables.inferred_types(raw) == {"a": "bigint", "b": "double", "c": "string", "d": "bigint"}
+
+
 def test_profiles_and_plans(spark):
     spec = cleaning.SourceSpec(lost_letter=("n",), names=("n",), ages=("e",), keys=("x",), drop=("dx",), rename={"n": "nombre"}, name_parts=("n", "m"))
     raw = spark.createDataFrame([(" pe?a. ", "b", "3 años", "S/E", "d", "u"), (None, None, None, "12", "d", "u")], "n string, m string, e string, x string, dx string, `Unnamed: 1` string")
@@ -178,13 +287,13 @@ def _line(spark, n):
 
 def test_reciprocal_rank_has_no_cut(spark):
     v = _line(spark, 40)
-    got = retrieval.full_reciprocal_rank(v, v).first()
+    got = retrieval.mean_reciprocal_rank(v, v).first()
     assert got.n_queries == 2 and got.mrr == round((1 / 39 + 1) / 2, 6)  # record 0 is most similar to itself and then to 1, 2...; 39 to 0
 
 
 def test_separability_of_all_queries(spark):
     v = spark.createDataFrame([(1, [1.0, 0.0], 1), (2, [0.0, 1.0], 1), (3, [1.0, 1.0], 2), (51, [1.0, 1.0], 2)], "id long, embedding array<double>, entity long")
-    got = retrieval.full_separability(v, v).first()  # no id divides by 50
+    got = retrieval.separability(v, v).first()  # no id divides by 50
     assert (got.mean_pos, got.std_pos, got.mean_neg, got.std_neg) == (1.0, 1.0, 1.0, 0.0)
 
 
