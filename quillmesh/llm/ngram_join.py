@@ -26,7 +26,6 @@ other than doc_id and text are ignored; empty tables give no rows.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -136,17 +135,11 @@ def codes_of(sketch: np.ndarray, hashes: np.ndarray, bits: int) -> np.ndarray:
     return (sketch[cell >> np.uint64(1)] >> ((cell & np.uint64(1)) << np.uint64(2)).astype(np.uint8)) & 15
 
 
-_SKETCH: dict[str, np.ndarray] = {}
-
-
-def _profile_rows(run: int, percent: int, bits: int, key: str, sketch, schema: pa.Schema):
+def _profile_rows(run: int, percent: int, bits: int, sketch, schema: pa.Schema):
     """Of each text: class fingerprint, set size, prefix runs rare first, parities by hash range."""
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _SKETCH:
-            _SKETCH.clear()
-            _SKETCH[key] = sketch.value
-        counts = _SKETCH[key]
+        counts = sketch.value
         for rows, sets in text_sets(batches, run):
             n = np.array([len(s) for s in sets], np.int64)
             prefix, ranges, low, high = [], [], [], []
@@ -311,7 +304,7 @@ class NgramJoin:
         sketch = self.spark.sparkContext.broadcast(run_sketch(self.docs, self.run, bits))
         kind = "doc_id long, key long, n long, low long, high long, prefix binary, ranges array<bigint>"
         schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("low", pa.int64()), ("high", pa.int64()), ("prefix", pa.binary()), ("ranges", pa.list_(pa.int64()))])
-        rows = self.docs.select("doc_id", "key", "text").mapInArrow(_profile_rows(self.run, self.percent, bits, uuid.uuid4().hex, sketch, schema), kind)
+        rows = self.docs.select("doc_id", "key", "text").mapInArrow(_profile_rows(self.run, self.percent, bits, sketch, schema), kind)
         profiles = self.stage.put(rows, "profiles")
         sketch.destroy()
         same = ["low", "high", "n"]

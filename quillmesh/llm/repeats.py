@@ -22,7 +22,6 @@ doc_id stays null, doc_id must be an integer or the text of one; other columns a
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -153,22 +152,11 @@ def _bit(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
     return (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
-_CELLS: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def _cells(key: str, cells) -> tuple[np.ndarray, np.ndarray]:
-    """One sketch is kept in each worker."""
-    if key not in _CELLS:
-        _CELLS.clear()
-        _CELLS[key] = cells.value
-    return _CELLS[key]
-
-
-def _split_rows(window: int, anchor: int, bits: int, key: str, cells, schema: pa.Schema):
+def _split_rows(window: int, anchor: int, bits: int, cells, schema: pa.Schema):
     """Each text: kept whole, or its window places estimated repeated, as ranges [from, to)."""
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        twice, _ = _cells(key, cells)
+        twice, _ = cells.value
         pack = zstandard.ZstdCompressor(level=3)
         rid = TaskContext.get().partitionId() << 40
         for rows, data, bounds in text_groups(batches):
@@ -208,7 +196,7 @@ SPAN = 24
 PLACES = np.arange(SPAN)
 
 
-def _window_rows(window: int, anchor: int, bits: int, key: str, cells):
+def _window_rows(window: int, anchor: int, bits: int, cells):
     """The windows estimated repeated, in rows of up to 24 neighbours with one anchor.
 
     A row is (k it is dealt by, rid, at: the first place, bits: which places have a hash here, and 24 bits higher which
@@ -239,7 +227,7 @@ def _window_rows(window: int, anchor: int, bits: int, key: str, cells):
             yield _row_batch(h2[lone].view(np.int64), rid[lone], place[lone], 1 | met[lone].astype(np.int64) << SPAN, h[lone], np.ones(len(lone), np.int64))
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, hot = _cells(key, cells)
+        _, hot = cells.value
         shift = np.uint64(64 - min(bits, HOT_BITS))
         cols: list[list[np.ndarray]] = [[] for _ in range(7)]
         n = spots = 0
@@ -394,13 +382,13 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     spark = docs.sparkSession
     ship_package(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    stage, bits, key = Stage(spark, "repeats"), sketch_bits(docs, max_cells), uuid.uuid4().hex
+    stage, bits = Stage(spark, "repeats"), sketch_bits(docs, max_cells)
     cells = spark.sparkContext.broadcast(repeated_cells(docs, window, anchor, bits, hot))
     schema = pa.schema([("rid", pa.int64()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("kept", pa.string()), ("text", pa.binary()), ("ranges", pa.binary())])
     kind = "rid long, doc_id long, n_words long, kept string, text binary, ranges binary"
-    rows = stage.put(docs.mapInArrow(_split_rows(window, anchor, bits, key, cells, schema), kind), "rows", compression="zstd")
+    rows = stage.put(docs.mapInArrow(_split_rows(window, anchor, bits, cells, schema), kind), "rows", compression="zstd")
     suspects = rows.filter("ranges is not null")
-    windows = suspects.select("rid", "text", "ranges").mapInArrow(_window_rows(window, anchor, bits, key, cells), DEALT)
+    windows = suspects.select("rid", "text", "ranges").mapInArrow(_window_rows(window, anchor, bits, cells), DEALT)
     marks = windows.repartition("k").sortWithinPartitions("k").mapInArrow(_met_again(at_once), "rid long, at int, mask int")
     none = F.lit(None)
     texts = suspects.select("rid", F.lit(False).alias("mark"), "doc_id", "text", none.cast("int").alias("at"), none.cast("int").alias("mask"))

@@ -38,6 +38,7 @@ from quillmesh.storage import Stage
 MAGIC = b"QWM1"
 STEP = 512
 SHARD_TOKENS = 1 << 20
+#: Words whose ids a worker keeps; each takes some 180 bytes.
 KEPT_WORDS = 800_000
 END_ID = 0
 
@@ -64,11 +65,11 @@ class _OddSpace(Exception):
 class _Words(dict):
     """Ids of words as bytes; made when first met. When full, only words met since it was full before stay."""
 
-    def __init__(self, encoder: Encoder, lead: str):
-        self.encoder, self.lead, self.before = encoder, lead, {}
+    def __init__(self, encoder: Encoder, lead: str, most: int):
+        self.encoder, self.lead, self.most, self.before = encoder, lead, most, {}
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= KEPT_WORDS // 2:
+        if len(self) >= self.most // 2:
             self.before = dict(self)
             self.clear()
         ids = self[word] = self.before.pop(word, None) or self.encoder.word(self.lead, word)
@@ -78,12 +79,12 @@ class _Words(dict):
 class Encoder:
     """A byte-level tokenizer file, with the words that were met."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, kept_words: int = KEPT_WORDS):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.first, self.after = _Words(self, ""), _Words(self, " ")
+        self.first, self.after = _Words(self, "", kept_words), _Words(self, " ", kept_words)
         self.line_end = self.whole("\n")
 
     def whole(self, text: str) -> bytes:
@@ -126,13 +127,15 @@ class Encoder:
         return self.line_end.join(out)
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple[str, int], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+def encoder(path: str, kept_words: int = KEPT_WORDS) -> Encoder:
+    """One encoder is kept in each worker."""
+    if (path, kept_words) not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[path, kept_words] = Encoder(path, kept_words)
+    return _ENCODERS[path, kept_words]
 
 
 def build_image(ids: np.ndarray, ends: np.ndarray) -> bytes:
@@ -248,9 +251,9 @@ class WaveletMatrix:
         return at
 
 
-def _shard_rows(path: str, shard_tokens: int):
+def _shard_rows(path: str, shard_tokens: int, kept_words: int):
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, part, number = encoder(path), TaskContext.get().partitionId(), 0
+        enc, part, number = encoder(path, kept_words), TaskContext.get().partitionId(), 0
         end = np.array([END_ID], "<u4").tobytes()
         ids, names, held, size = [], [], [], 0
 
@@ -274,14 +277,14 @@ def _shard_rows(path: str, shard_tokens: int):
     return shards
 
 
-def write_shards(docs: DataFrame, tokenizer_path: str, stage: Stage, name: str = "shards", shard_tokens: int = SHARD_TOKENS, partitions: int | None = None) -> DataFrame:
+def write_shards(docs: DataFrame, tokenizer_path: str, stage: Stage, name: str = "shards", shard_tokens: int = SHARD_TOKENS, partitions: int | None = None, kept_words: int = KEPT_WORDS) -> DataFrame:
     """The shard table: (first_doc, part, number, n_tokens, doc_ids, image), in ascending doc_id order."""
     spark = docs.sparkSession
     ship_package(spark)
     partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     dealt = rows.repartitionByRange(partitions, "doc_id").sortWithinPartitions("doc_id", "text")
-    return stage.put(dealt.mapInArrow(_shard_rows(tokenizer_path, shard_tokens), "first_doc long, part int, number int, n_tokens long, doc_ids array<long>, image binary"), name, maxRecordsPerFile=1)
+    return stage.put(dealt.mapInArrow(_shard_rows(tokenizer_path, shard_tokens, kept_words), "first_doc long, part int, number int, n_tokens long, doc_ids array<long>, image binary"), name, maxRecordsPerFile=1)
 
 
 def _read_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -305,10 +308,10 @@ def read_shards(shards: DataFrame) -> DataFrame:
     return rows.join(before, ["part", "number"]).select("doc_id", (F.col("first") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
 
 
-def token_output(docs: DataFrame, tokenizer_path: str) -> DataFrame:
+def token_output(docs: DataFrame, tokenizer_path: str, kept_words: int = KEPT_WORDS) -> DataFrame:
     """Write documents as shards in the shared folder and read them back."""
     stage = Stage(docs.sparkSession, "token_output")
-    return read_shards(write_shards(docs, tokenizer_path, stage))
+    return read_shards(write_shards(docs, tokenizer_path, stage, kept_words=kept_words))
 
 
 def default_tokenizer() -> str:

@@ -7,6 +7,7 @@ array operations and memory is bounded by the group size (or by one very long te
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -58,6 +59,13 @@ LOWER[65:91] += 32
 VALUES_LOWER = VALUES[LOWER]
 
 
+def give_back() -> None:
+    """Return freed memory of this worker to the system; workers are kept between stages."""
+    pa.default_memory_pool().release_unused()
+    if (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:
+        trim(0)
+
+
 def text_groups(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = GROUP) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """(rows, bytes, bounds): slices of at most about limit bytes of text, or of one longer text. Null counts as empty."""
     for batch in batches:
@@ -73,6 +81,7 @@ def text_groups(batches: Iterator[pa.RecordBatch], column: str = "text", limit:
             end = min(end, len(texts))
             yield batch.slice(row, end - row), data[offsets[row] : offsets[end]], offsets[row : end + 1] - offsets[row]
             row = end
+    give_back()
 
 
 def word_bounds(data: np.ndarray, bounds: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
