@@ -56,7 +56,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Start, length and checksum of each document's ids, read back from the token files."""
-    return token_output(docs, default_tokenizer())
+    # workers of all stages share an executor, so they keep few words
+    return token_output(docs, default_tokenizer(), kept_words=100_000)
 
 
 STAGES = [
