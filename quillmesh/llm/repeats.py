@@ -310,6 +310,8 @@ def _met_again(limit: int):
             return [np.concatenate([x[0][c] for x in every]) for c in range(4)], np.concatenate([x[1] for x in every])
 
         for batch in batches:
+            if not batch.num_rows:
+                continue
             blobs = batch.column(4)
             edges = np.frombuffer(blobs.buffers()[1], np.int32)[blobs.offset : blobs.offset + len(blobs) + 1]
             own = np.frombuffer(blobs.buffers()[2], np.uint8)[edges[0] : edges[-1]].copy().view(np.uint64) if edges[-1] > edges[0] else np.zeros(0, np.uint64)
@@ -363,7 +365,8 @@ def _cut_rows(window: int, schema: pa.Schema):
             at, mask = (batch.column(c).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) for c in (4, 5))
             marks.append((at[: heads[0] if len(heads) else None], mask[: heads[0] if len(heads) else None]))
             done = []
-            for k, nxt in zip(heads.tolist(), [*heads[1:].tolist(), batch.num_rows], strict=True):
+            # a batch may hold marks of the text before it only
+            for k, nxt in zip(heads.tolist(), [*heads.tolist(), batch.num_rows][1:], strict=True):
                 if doc is not None:
                     done.append(finish(plain, doc, marks))
                 doc, marks = (batch.column(2)[k].as_py(), batch.column(3)[k].as_py()), [(at[k + 1 : nxt], mask[k + 1 : nxt])]
