@@ -100,13 +100,13 @@ def _legacy(s, d):
     docs = consolidate.legacy_documents(tagged(s, d).select("entity_id", "record_id", "source", "key", "exp", "name"), L.pair_index(L.scored_pairs(candidates(s, d))))
     return docs.select(
         "entity_id", "cluster_size", F.array_join(F.transform("linked_items", lambda x: x["source"]), "+").alias("sources"), F.array_join(F.transform("records", lambda r: r["name"]), "|").alias("names"), F.size("scores").cast("long").alias("n_scores"),
-        F.round(F.aggregate(F.transform("scores", lambda x: x["value"]), F.lit(0.0), lambda a, b: a + b), 3).alias("total"),
+        F.round(F.aggregate(F.transform("scores", lambda x: x["value"]), F.lit(0.0), lambda a, b: a + b), 4).alias("total"),
     )
 
 
 _add("legacy_documents", _legacy, q(TAG + """, pi AS (SELECT least(id_a, id_b) AS a, greatest(id_a, id_b) AS b, min(jw) AS jw, min(lev) AS lev FROM scored GROUP BY 1, 2),
 sc AS (SELECT x.entity_id, 2 * count(*) AS n, sum(round(jw, 4) + round(lev, 4)) AS total FROM pi JOIN tag x ON x.record_id = a JOIN tag y ON y.record_id = b AND x.entity_id = y.entity_id GROUP BY 1)""",
-    """SELECT tag.entity_id, count(*) AS cluster_size, string_agg(source, '+' ORDER BY record_id) AS sources, string_agg(name, '|' ORDER BY record_id) AS names, coalesce(any_value(sc.n), 0) AS n_scores, round(coalesce(any_value(total), 0), 3) AS total
+    """SELECT tag.entity_id, count(*) AS cluster_size, string_agg(source, '+' ORDER BY record_id) AS sources, string_agg(name, '|' ORDER BY record_id) AS names, coalesce(any_value(sc.n), 0) AS n_scores, round(coalesce(any_value(total), 0), 4) AS total
  FROM tag LEFT JOIN sc ON sc.entity_id = tag.entity_id GROUP BY tag.entity_id"""))
 _BLK = [("ALL", ["c_custkey", "c_mktsegment", "c_region"]), ("SEG", ["c_mktsegment"])]
 _add("serialize_blocks_tok", lambda s, d: _cust(s, d).select("c_custkey", S.serialize_blocks(_cust(s, d), _BLK).alias("text")), f"WITH {CUST} SELECT c_custkey, concat_ws(' ', '[BLK_ALL] [COL] c_custkey [VAL] ' || c_custkey || ' [COL] c_mktsegment [VAL] ' || coalesce(m, 'NULL') || ' [COL] c_region [VAL] ' || coalesce(CAST(r AS VARCHAR), 'NULL'), '[BLK_SEG] [COL] c_mktsegment [VAL] ' || m) AS text FROM c")
