@@ -8,13 +8,12 @@ n-grams, so a language's model has a proven bound of 16 MB; languages are scored
 max_languages, one broadcast for each. A document gets the perplexity of the language whose model fits it best
 (`fit`), and is judged among that language's documents, so a wrong language mark widens no band.
 
-The word model is modified Kneser-Ney over word pairs (ASCII case folded), counted by Spark over all documents and
-as large as their different pairs: no part of it is collected or broadcast. Its pairs are one table, by hash, with
-counts, context totals and lower probabilities, and the documents' pairs are joined to it. It is one model for all
-languages. As each document is part of the corpus, its own uses are taken off its pairs' counts and its contexts'
-totals, and a word of one document alone counts as unknown; else any order of words would vouch for itself. Besides
-the perplexity there is `order_gain`, the mean log-ratio of a word's probability after its neighbour to the one
-without: shuffled words keep their frequencies and lose this gain.
+The word model (`word_model.py`) is modified Kneser-Ney over word pairs, counted by Spark over all documents and as
+large as their different pairs: no part of it is collected or broadcast. It is one model for all languages. As each
+document is part of the corpus, its own uses are taken off its pairs' counts and its contexts' totals, and a word
+of one document alone counts as unknown; else any order of words would vouch for itself. Besides the perplexity there is
+`order_gain`, the mean log-ratio of a word's probability after its neighbour to the one without: shuffled words keep
+their frequencies and lose this gain.
 
 Words are judged by best-fitting language: a document is rejected when its word perplexity is over the median by more than
 `spread` median absolute deviations, or when its order gain is under `order` times the language's median gain.
@@ -42,7 +41,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmesh.llm.tokens import SLAB, SPACE, VALUES_LOWER, gram_hashes, grams_inside, text_groups, word_bounds, word_hashes
+from quillmesh.llm.tokens import SLAB, SPACE, gram_hashes, grams_inside, text_groups, word_bounds, word_hashes
+from quillmesh.llm.word_model import discounts, word_perplexity
 from quillmesh.session import ship_package
 from quillmesh.storage import Stage
 
@@ -131,15 +131,8 @@ def _count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _discounts(counts: np.ndarray) -> np.ndarray:
-    """Modified Kneser-Ney discounts for counts of 1, 2, and 3 or more."""
-    return _discounts_of([float((counts == k).sum()) for k in range(1, 5)])
-
-
-def _discounts_of(n: list[float]) -> np.ndarray:
-    """The same from the number of n-grams counted 1, 2, 3 and 4 times."""
-    y = n[0] / (n[0] + 2 * n[1]) if n[0] else 0.5
-    d = [k + 1 - (k + 2) * y * n[k + 1] / n[k] if n[k] else 0.5 * (k + 1) for k in range(3)]
-    return np.clip(d, 0.05, [0.95, 1.95, 2.95])
+    """Modified Kneser-Ney discounts for counts of 0, 1, 2, and 3 or more."""
+    return discounts([float((counts == k).sum()) for k in range(1, 5)])
 
 
 def _hash(keys: np.ndarray, order: int) -> np.ndarray:
@@ -157,7 +150,7 @@ def kneser_ney(gram: np.ndarray, n: np.ndarray) -> list[tuple[np.ndarray, np.nda
     model, lower = [], None
     for order in range(1, ORDER + 1):
         keys, c = counts[order]
-        d = np.concatenate([[0.0], _discounts(c)])[np.minimum(c, 3).astype(np.int64)]
+        d = _discounts(c)[np.minimum(c, 3).astype(np.int64)]
         context, where = np.unique(keys >> BITS, return_inverse=True)
         total = np.bincount(where, c)
         weight = np.bincount(where, d) / total
@@ -264,93 +257,6 @@ def _score_rows(key: str, models, known: list, schema: pa.Schema):
     return score
 
 
-def _own_grams(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Of each text's different word pairs: (text, word before, word, count, count of the word before); a text begins with word 0."""
-    n = len(hashes)
-    text = np.repeat(np.arange(len(counts)), counts)
-    first = np.cumsum(counts) - counts
-    last = hashes.view(np.int64)
-    before = np.zeros(n, np.int64)
-    before[1:] = last[:-1]
-    before[first[counts > 0]] = 0
-    order = np.lexsort((last, before, text))
-    text, before, last = text[order], before[order], last[order]
-    other = lambda *cols: np.flatnonzero(np.concatenate([[True], np.any([c[1:] != c[:-1] for c in cols], axis=0)])) if n else np.zeros(0, np.int64)
-    pair, context = other(text, before, last), other(text, before)
-    own = np.diff(np.append(pair, n))
-    held = np.diff(np.append(context, n))
-    return text[pair], before[pair], last[pair], own, held[np.searchsorted(context, pair, side="right") - 1]
-
-
-def _text_words(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    starts, ends, counts = word_bounds(data, bounds)
-    return word_hashes(data, starts, ends, VALUES_LOWER), counts
-
-
-def _merged(keys: list[np.ndarray], sums: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    order = np.lexsort(keys[::-1])
-    keys = [k[order] for k in keys]
-    at = np.flatnonzero(np.concatenate([[True], np.any([k[1:] != k[:-1] for k in keys], axis=0)])) if len(order) else np.zeros(0, np.int64)
-    return [k[at] for k in keys], [np.add.reduceat(s[order], at) if len(at) else s[:0] for s in sums]
-
-
-def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(before, word, n, texts) of the word pairs of each group of texts, and with a null before of its words."""
-    for _, data, bounds in text_groups(batches, limit=8 * SLAB):
-        text, before, last, own, _ = _own_grams(*_text_words(data, bounds))
-        (b, w), (n, texts) = _merged([before, last], [own, np.ones(len(own), np.int64)])
-        yield pa.RecordBatch.from_arrays([pa.array(b), pa.array(w), pa.array(n), pa.array(texts)], names=["before", "word", "n", "texts"])
-        (_, w), (n,) = _merged([text, last], [own])
-        (w,), (n, texts) = _merged([w], [n, np.ones(len(w), np.int64)])
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(w), pa.int64()), pa.array(w), pa.array(n), pa.array(texts)], names=["before", "word", "n", "texts"])
-
-
-def _word_uses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, before, word, own, held): each text's different word pairs."""
-    for rows, data, bounds in text_groups(batches, limit=SLAB):
-        text, before, last, own, held = _own_grams(*_text_words(data, bounds))
-        keys = rows.column(1).to_numpy()[text]
-        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(before), pa.array(last), pa.array(own), pa.array(held)], names=["key", "before", "word", "own", "held"])
-
-
-def _discount(c, d: list[float]):
-    """The discount of a count of 0, 1, 2 or more."""
-    return F.when(c <= 0, F.lit(0.0)).when(c == 1, F.lit(d[0])).when(c == 2, F.lit(d[1])).otherwise(F.lit(d[2]))
-
-
-def _fitted(table: DataFrame, column: str) -> list[float]:
-    """Modified Kneser-Ney discounts of a table's counts."""
-    seen = table.agg(*[F.coalesce(F.sum((F.col(column) == k).cast("long")), F.lit(0)) for k in range(1, 5)]).first()
-    return _discounts_of([float(x) for x in seen]).tolist()
-
-
-def word_perplexity(docs: DataFrame, stage: Stage) -> DataFrame:
-    """(key, word_log_perplexity, order_gain) of docs (key, text): see the head of the module."""
-    counted = docs.select("text").mapInArrow(_word_counts, "before long, word long, n long, texts long")
-    counted = stage.put(counted.groupBy("before", "word").agg(F.sum("n").alias("n"), F.sum("texts").alias("texts")), "word_counts")
-    pairs = counted.filter("before is not null")
-    kinds = pairs.groupBy("word").agg(F.count("*").alias("kinds"))
-    words = stage.put(counted.filter("before is null").select("word", "texts").join(kinds, "word"), "words")
-    high, low = _fitted(pairs, "n"), _fitted(words, "kinds")
-    total = words.agg(F.sum("kinds").alias("k"), F.count("*").alias("v"), F.sum(_discount(F.col("kinds"), low)).alias("d")).first()
-    spread = (total.d or 0.0) / (total.k or 1) / ((total.v or 0) + 1)
-    # a word of this text alone is as good as unknown
-    lower = F.when(F.col("texts") > 1, (F.col("kinds") - _discount(F.col("kinds"), low)) / F.lit(float(total.k or 1))).otherwise(F.lit(0.0)) + F.lit(spread)
-    contexts = pairs.groupBy("before").agg(F.sum("n").alias("total"), F.sum(_discount(F.col("n"), high)).alias("left"))
-    types = pairs.select("before", "word", "n").join(contexts, "before").join(words.select("word", lower.alias("lower")), "word")
-    types = stage.put(types.select(F.xxhash64("before", "word").alias("pair"), "n", "total", "left", "lower"), "pairs")
-    uses = docs.select("text", "key").mapInArrow(_word_uses, "key long, before long, word long, own long, held long")
-    uses = uses.select("key", F.xxhash64("before", "word").alias("pair"), F.col("own").cast("int").alias("own"), F.col("held").cast("int").alias("held"))
-    rest, known = F.col("total") - F.col("held"), F.col("n") - F.col("own")
-    p = F.when(rest > 0, (known - _discount(known, high)) / rest + F.least(F.lit(1.0), F.col("left") / rest) * F.col("lower")).otherwise(F.col("lower"))
-    summed = uses.join(types, "pair").groupBy("key").agg(
-        (-F.sum(F.col("own") * F.log(p)) / F.sum("own")).alias("word_log_perplexity"), (F.sum(F.col("own") * F.log(p / F.col("lower"))) / F.sum("own")).alias("order_gain")
-    )
-    out = stage.put(summed, "word_scores")
-    stage.drop("word_counts", "words", "pairs")
-    return out
-
-
 COLUMNS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
@@ -363,6 +269,7 @@ def quality_rules(docs: DataFrame, spread: float = 8.0, few: int = 10, max_langu
     stage = Stage(spark, "quality_rules")
     counted = docs.select("text", "lang").mapInArrow(_count_rows, "lang string, gram int, n long")
     model = stage.put(counted.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "counts")
+    chars = model.agg(F.sum("n")).first()[0] or 0
     languages = [r.lang for r in model.select("lang").distinct().orderBy("lang").toLocalIterator()]
     schema = pa.schema([("doc_id", docs_type(docs)), ("lang", pa.string()), ("key", pa.int64()), *[(c, pa.int64()) for c in COLUMNS], ("log_perplexity", pa.float64()), ("fit", pa.string())])
     kind = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang string, key long, {', '.join(f'{c} long' for c in COLUMNS)}, log_perplexity double, fit string"
@@ -385,7 +292,7 @@ def quality_rules(docs: DataFrame, spread: float = 8.0, few: int = 10, max_langu
         best = best.groupBy("key").agg(F.min("best").alias("best"))
         scored = parts[0].drop("log_perplexity", "fit").join(best, "key").select("doc_id", "lang", "key", *COLUMNS, "best.log_perplexity", "best.fit")
     scored = stage.put(scored, "scored")
-    scored = stage.put(scored.join(word_perplexity(docs, stage), "key", "left").drop("key"), "worded")
+    scored = stage.put(scored.join(word_perplexity(docs, stage, chars), "key", "left").drop("key"), "worded")
     stage.drop("scored", "word_scores")
     worded = scored.filter("n_words > 0")
     worded = worded.select(F.col("fit").alias("_fit"), "log_perplexity", "word_chars").distinct()
