@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmesh.llm.tokens import SLAB, SPACE, gram_hashes, grams_inside, text_groups, word_bounds, word_hashes
+from quillmesh.llm.tokens import SLAB, SPACE, gram_hashes, grams_inside, mix, text_groups, word_bounds, word_hashes
 from quillmesh.llm.word_model import discounts, word_perplexity
 from quillmesh.session import ship_package
 from quillmesh.storage import Stage
@@ -205,25 +205,23 @@ def base_counts(data: np.ndarray, bounds: np.ndarray) -> dict[str, np.ndarray]:
     cuts = np.concatenate([[0], np.cumsum(~SPACE[data] & ((data & 0xC0) != 0x80))])
     symbols = np.concatenate([[0], np.cumsum(SYMBOLS[data])])
     index, text, _ = grams_inside(counts, WINDOW)
-    grams = gram_hashes(word_hashes(data, starts, ends), WINDOW)[index]
-    at = np.searchsorted(text, np.arange(len(counts) + 1))
+    grams = gram_hashes(word_hashes(data, starts, ends), WINDOW)[index] + mix(text.astype(np.uint64))
+    order = np.argsort(grams)
+    same = grams[order][1:] == grams[order][:-1]
+    again = np.zeros(len(grams), bool)
+    again[order[1:][same]] = again[order[:-1][same]] = True
+    first = index[again]
+    cover = np.bincount(first, minlength=len(starts) + 1) - np.bincount(first + WINDOW, minlength=len(starts) + 1)
+    inside = np.concatenate([[0], np.cumsum(np.cumsum(cover[:-1]) > 0)])
+    cut = np.concatenate([[0], np.cumsum(counts)])
+    repeat = inside[cut[1:]] - inside[cut[:-1]]
     raw = data.tobytes()
-    dup, repeat = np.zeros(len(counts), np.int64), np.zeros(len(counts), np.int64)
+    dup = np.zeros(len(counts), np.int64)
     for i in range(len(counts)):
         lines = raw[bounds[i] : bounds[i + 1]].split(b"\n")
         if len(lines) > 1 and len(set(lines)) < len(lines):
             solid = [x for x in lines if x.split(None, 1)]
             dup[i] = len(solid) - len(set(solid))
-        own = grams[at[i] : at[i + 1]]
-        if len(own) > 1:
-            order = np.argsort(own, kind="stable")
-            same = own[order][1:] == own[order][:-1]
-            if same.any():
-                cover = np.zeros(counts[i] + 1, np.int64)
-                again = np.unique(np.concatenate([order[1:][same], order[:-1][same]]))
-                cover[again] += 1
-                np.subtract.at(cover, again + WINDOW, 1)
-                repeat[i] = int((np.cumsum(cover[:-1]) > 0).sum())
     return {
         "n_words": counts.astype(np.int64), "word_chars": cuts[bounds[1:]] - cuts[bounds[:-1]], "n_symbols": symbols[bounds[1:]] - symbols[bounds[:-1]],
         "n_dup_lines": dup, "n_repeat_words": repeat,

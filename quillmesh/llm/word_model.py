@@ -106,8 +106,13 @@ class Group:
         signs, solid = np.zeros(int(sizes.sum()), U), np.ones(int(sizes.sum()), bool)
         solid[np.cumsum(sizes) - sizes] = False
         signs[solid] = words
-        self.words, ids = np.unique(signs, return_inverse=True)
-        self.ids = ids.astype(U)
+        # by a hash table, as there are far fewer different signs than signs
+        coded = pa.array(signs).dictionary_encode()
+        found = coded.dictionary.to_numpy()
+        order = np.argsort(found)
+        rank = np.empty(len(found), U)
+        rank[order] = np.arange(len(found), dtype=U)
+        self.words, self.ids = found[order], rank[coded.indices.to_numpy()]
         self.texts = np.repeat(live, sizes).astype(U)
         self.text_bits = U(int(len(counts)).bit_length())
 
@@ -160,7 +165,7 @@ def _count_map(ranges: int, low: int, high: int):
             before, word = group.words[before[at]], group.words[word[at]]
             own_range = pair_ranges(pair_keys(before, word), ranges)
             order = np.flatnonzero((own_range >= low) & (own_range < high))
-            order = order[np.argsort(own_range[order], kind="stable")]  # by range, then by the word before
+            order = order[np.argsort(own_range[order].astype(np.uint16 if ranges < 1 << 16 else np.int64), kind="stable")]  # by range, then by the word before
             cuts = np.searchsorted(own_range[order], np.arange(low, high + 1))
             for r, a, b in zip(range(low, high), cuts, cuts[1:]):
                 if b > a:
@@ -334,7 +339,7 @@ def _use_map(ranges: int, low: int, high: int):
             key = pair_keys(group.words[before], group.words[word])
             own_range = pair_ranges(key, ranges)
             some = np.flatnonzero((own_range >= low) & (own_range < high))
-            some = some[np.argsort(key[some], kind="stable")]
+            some = some[np.argsort(key[some])]
             key, text, own, own_range = key[some], text[some], own[some], own_range[some]
             cuts = np.searchsorted(own_range, np.arange(low, high + 1))
             parts += [(ranges + r, steps(key[a:b]), text[a:b], own[a:b]) for r, a, b in zip(range(low, high), cuts, cuts[1:]) if b > a]

@@ -12,8 +12,10 @@ from quillmesh.llm import decontaminate as D
 from quillmesh.llm import quality_rules as Q
 from quillmesh.llm import secrets as S
 from quillmesh.llm import token_output as T
+from quillmesh.llm import word_model as W
 from quillmesh.llm.ngram_join import NgramJoin
 from quillmesh.llm.repeats import remove_repeats
+from quillmesh.storage import Stage
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 KIND = "doc_id long, text string, lang string, source string, n_chars long, contaminated string, secrets int, kept string, node int"
@@ -226,6 +228,50 @@ def test_quality_rejects_shuffled_words(spark):
     assert all(r.order_gain < 0.3 < 1 < s.order_gain for r in got for s in got if 1000 <= r.doc_id < 2000 and s.doc_id < 1000)
 
 
+def brute_word_model(texts):
+    """(log-perplexity, order gain) of each text by the formula at the head of word_model, over words in tuples."""
+    signs = [["", *re.findall(r"[^\x20\x09-\x0D]+", t)] if t and t.strip() else [] for t in texts]
+    signs = [[re.sub("[A-Z]", lambda m: m[0].lower(), w) for w in s] for s in signs]
+    circles = [list(zip(s, [*s[1:], ""])) for s in signs]
+    n = Counter(p for c in circles for p in c)
+    total, by_text = Counter(w for s in signs for w in s), Counter(w for s in signs for w in set(s))
+    kinds = Counter(w for _, w in n)
+    fit = lambda counts: W.discounts([sum(c == k for c in counts.values()) for k in range(1, 5)])
+    high, low = fit(n), fit(kinds)
+    left = Counter()
+    for (b, _), c in n.items():
+        left[b] += high[min(c, 3)]
+    unknown = sum(low[min(c, 3)] for c in kinds.values()) / len(n) / (len(kinds) + 1)
+    lower = {w: ((k - low[min(k, 3)]) / len(n) if by_text[w] > 1 else 0) + unknown for w, k in kinds.items()}
+    out = []
+    for s, c in zip(signs, circles):
+        own, held, logs, gains = Counter(c), Counter(s), 0.0, 0.0
+        for b, w in c:
+            rest = n[b, w] - own[b, w]
+            p = (rest - high[min(rest, 3)] + left[b] * lower[w]) / max(total[b] - held[b], left[b])
+            logs, gains = logs - np.log(p), gains + np.log(p / lower[w])
+        out.append((logs / len(c), gains / len(c)) if c else None)
+    return out
+
+
+@pytest.mark.parametrize(("passes", "span"), [(1, 1 << 25), (3, 300)])
+def test_word_model_is_the_formula_s(spark, monkeypatch, passes, span):
+    monkeypatch.setattr(W, "RANGE_CHARS", span)
+    rng = np.random.default_rng(8)
+    words = ["The", "cat", "sat", "MAT", "on", "río", "x"]
+    rows = [" ".join(rng.choice(words, int(n))) for n in rng.integers(1, 40, 30)]
+    rows += [rows[0], rows[0], "once only here", "again again again again", "", None, "  \n", "y " * 3000]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "key long, text string").repartition(3)
+    got = {r.key: r for r in W.word_perplexity(docs, Stage(spark, "word_model"), sum(len(t or "") for t in rows), passes).collect()}
+    for i, want in enumerate(brute_word_model(rows)):
+        assert (i in got) == (want is not None)
+        if want:
+            assert np.allclose((got[i].word_log_perplexity, got[i].order_gain), want, rtol=1e-4, atol=1e-4), (i, rows[i])
+    twice = W.word_perplexity(docs.union(docs.filter("key = 3")), Stage(spark, "word_model"), 1000, passes)
+    assert twice.filter("key = 3").count() == 1
+    assert W.word_perplexity(docs.limit(0), Stage(spark, "word_model"), 0, passes).count() == 0
+
+
 def test_quality_band_is_the_language_s_own(spark):
     rng = np.random.default_rng(4)
     words = {lang: [f"{''.join(rng.choice(list(letters), 6))}" for _ in range(60)] for lang, letters in (("xa", "abcdefgh"), ("xb", "mnopqrst"))}
