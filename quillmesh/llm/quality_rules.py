@@ -184,16 +184,28 @@ def log_probabilities(model, keys: np.ndarray) -> np.ndarray:
     return np.log(p).astype(np.float32)
 
 
+#: Languages whose log-probabilities of one n-gram lie side by side, so that a text's n-grams are looked up once for all.
+BESIDE = 8
+#: Code points summed in 32 bits; their sums are added in 64.
+CHUNK = 4096
+
+
 class Scorer:
-    """A block's models; a language's 2^20 n-grams are looked up once a worker."""
+    """A block's models; their 2^20 n-grams are looked up once a worker."""
 
-    def __init__(self, models: dict):
-        self.models, self.tables = models, {}
+    def __init__(self, models: dict, known: list):
+        self.tables = [
+            np.stack([log_probabilities(models[lang], np.arange(GRAMS, dtype=np.int64)) for lang in known[k : k + BESIDE]], axis=1) for k in range(0, len(known), BESIDE)
+        ]
 
-    def table(self, lang) -> np.ndarray:
-        if lang not in self.tables:
-            self.tables[lang] = log_probabilities(self.models[lang], np.arange(GRAMS, dtype=np.int64))
-        return self.tables[lang]
+    def sums(self, grams: np.ndarray, counts: np.ndarray) -> Iterator[np.ndarray]:
+        """Of each language in order, the sum of log-probabilities of each text; counts, n-grams a text, are not 0."""
+        chunks = -(-counts // CHUNK)
+        before = np.cumsum(chunks) - chunks
+        cuts = np.repeat(np.cumsum(counts) - counts, chunks) + CHUNK * (np.arange(int(chunks.sum())) - np.repeat(before, chunks))
+        for table in self.tables:
+            parts = np.add.reduceat(table.take(grams, axis=0), cuts, axis=0).astype(np.float64)
+            yield from np.add.reduceat(parts, before, axis=0).T
 
 
 _SCORERS: dict[str, Scorer] = {}
@@ -234,18 +246,17 @@ def _score_rows(key: str, models, known: list, schema: pa.Schema):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if key not in _SCORERS:
             _SCORERS.clear()
-            _SCORERS[key] = Scorer(models.value)
+            _SCORERS[key] = Scorer(models.value, known)
         scorer = _SCORERS[key]
         for rows, data, bounds in text_groups(batches, limit=SLAB):
             figures = base_counts(data, bounds)
             grams, counts = char_grams(data, bounds)
-            some, first = counts > 0, np.cumsum(counts) - counts
+            some = counts > 0
             own = rows.column(1).to_pylist()
             mean, fit = np.where(some, np.inf, 0.0), own if not known else [None] * len(own)
-            for lang in known:
+            for lang, total in zip(known, scorer.sums(grams, counts[some]) if some.any() else []):
                 part = np.zeros(len(counts))
-                if some.any():
-                    part[some] = -np.add.reduceat(scorer.table(lang)[grams], first[some], dtype=np.float64) / counts[some]
+                part[some] = -total / counts[some]
                 better = some & (part < mean)
                 mean = np.where(better, part, mean)
                 fit = [lang if b else x for b, x in zip(better, fit, strict=True)]
