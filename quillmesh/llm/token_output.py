@@ -23,6 +23,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -86,6 +87,7 @@ class Encoder:
         self.model = self.tokenizer.model
         self.first, self.after = _Words(self, "", kept_words), _Words(self, " ", kept_words)
         self.line_end = self.whole("\n")
+        self.tail = lru_cache(4096)(self._piece)
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -97,6 +99,8 @@ class Encoder:
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def word(self, lead: str, word: str) -> bytes:
+        if word.isalpha():
+            return self._piece(lead + word)
         if not word:
             return self.whole(lead)
         if word.split() != [word]:
@@ -109,7 +113,7 @@ class Encoder:
         if not tail:
             return self._piece(lead + body)
         known = self.after if lead else self.first
-        return (known[body] if body in known else known.setdefault(body, self._piece(lead + body))) + self._piece(tail)
+        return (known[body] if body in known else known.setdefault(body, self._piece(lead + body))) + self.tail(tail)
 
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids of a text."""
