@@ -77,7 +77,7 @@ def linkable(s, d):
 
 def hard(s, d, **options):
     v = linkable(s, d)
-    return R.mine_hard_pairs(Stage(s, "ranked").put(R.top_k(v, v, 20), "t"), v, **options)
+    return R.mine_hard_pairs(Stage(s, "ranked").put(R.top_k(v, v, 20, exact=True), "t"), v, **options)
 
 
 HARD = """v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS e, label AS entity, vec_id % 3 AS source FROM embeddings WHERE label IN (SELECT label FROM embeddings GROUP BY label HAVING count(DISTINCT vec_id % 3) >= 2)),

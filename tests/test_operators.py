@@ -3,6 +3,7 @@
 import json
 import zipfile
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -109,6 +110,36 @@ def test_retrieval(spark):
     assert few.filter("type = 'positive'").count() == 1 and "similarity" in few.columns
 
 
+def test_hard_pairs_by_blocks(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "PAIR_ROWS", 100)
+    monkeypatch.setattr(retrieval, "CHUNK_ROWS", 100)
+    joins = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    rng = np.random.default_rng(3)
+    e = rng.normal(size=(900, 16)).astype(np.float32)
+    e[100:140] = e[99]  # more ties than k
+    entity, source = [None if i % 97 == 0 else min(i % 7, 3) if i else 9 for i in range(900)], [i % 3 for i in range(900)]
+    v = spark.createDataFrame([(i, e[i].tolist(), entity[i], source[i]) for i in range(900)], "id long, embedding array<float>, entity int, source int").repartition(4)
+    sims = np.round(e.astype(float) @ e.T.astype(float), 9)
+    ranked = {(i, j) for i in range(900) for j in sorted((x for x in range(900) if x != i), key=lambda x: (-sims[i, x], x))[:5]}
+    near = {(min(p), max(p)) for p in ranked}
+    want = {}
+    for a in range(900):
+        for b in range(a + 1, 900):
+            if source[a] != source[b] and None not in (entity[a], entity[b]) and (entity[a] == entity[b] or (a, b) in near):
+                want[a, b] = "hard_negative" if entity[a] != entity[b] else "positive" if (a, b) in near else "hard_positive"
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(True).apply(0).totalShuffleWrite()
+    for exact in (True, False):
+        top = retrieval.top_k(v, v, 5, block_rows=200, exact=exact).cache()
+        assert {(r.query_id, r.cand_id) for r in top.collect()} == ranked
+        before = written()
+        got = retrieval.mine_hard_pairs(top, v).collect()
+        assert len(got) == len(want) and {(r.id_a, r.id_b): r.type for r in got} == want
+        assert all(abs(r.similarity - sims[r.id_a, r.id_b]) < 1e-6 and r.label == (r.type != "hard_negative") for r in got)
+        assert not exact or written() - before < 12 * len(want)  # no vector moves with a pair
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", joins)
+
+
 def test_serialise_round_trip_and_augment(spark):
     df = spark.createDataFrame([(1, "ana luz", None, 2.50), (2, None, None, None)], "id long, nombre string, x string, pago double")
     blocks = [("ID", ["id", "nombre"]), ("C", ["x", "pago"]), ("NONE", ["absent"])]
