@@ -262,6 +262,19 @@ def test_labelling_guards(spark, tmp_path):
     assert {"entity_id_a", "entity_id_b"} <= set(sheet.columns) and sheet.filter("criterion = 'exact_key' and decision = 'match'").count() == 3
 
 
+def test_labelling_over_several_sheets(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sheets, "MOST_ROWS", 4)
+    kind = "source string, exp long, name string, key string, text string, place long"
+    tables = [spark.createDataFrame([(s, i, "Ana", "ANA" if i % 2 else "ANA " + s * 9, f"{s}{i}", i) for i in range(6)], kind) for s in "ABC"]
+    work = Labelling(spark, f"{tmp_path}/w")
+    assert work.classify(tables).count() == 18
+    pairs = sheets.read_sheet(spark, work.sheet_path)
+    work.decide(pairs.filter("criterion = 'unconfirmed' and exp_shared = 4").select("id_a", "id_b", F.lit("match").alias("decision")))
+    done = {r.text: r.entity_id for r in work.finalize().collect()}
+    assert len(done) == 18 and all((done[f"A{i}"] == done[f"B{i}"] == done[f"C{i}"]) == (i % 2 == 1 or i == 4) for i in range(6))
+    assert sheets.read_sheet(spark, work.sheet_path).filter("entity_id_a is not null and entity_id_b is not null").count() == 18
+
+
 def test_checkpoints_and_paths(spark, tmp_path):
     for name in ("r1/epoch_01", "r1/epoch_02", "r2/best", "r2/epoch_01"):
         (tmp_path / name).mkdir(parents=True)
