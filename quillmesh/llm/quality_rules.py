@@ -107,9 +107,25 @@ def char_grams(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nda
     return key, counts
 
 
+#: Code points whose n-grams a task holds before it counts them.
+HELD = 1 << 22
+
+
 def _count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each task's 4-gram counts by language, as (lang, gram, n)."""
     sums: dict[str | None, np.ndarray] = {}
+    held: dict[str | None, list[np.ndarray]] = {}
+
+    def add():
+        """Counts what is held: each time costs as much as there are n-grams a language."""
+        for lang in list(held):
+            if lang not in sums and len(sums) >= 16:
+                yield from emit()
+            part = np.bincount(np.concatenate(held.pop(lang)), minlength=GRAMS)
+            if lang in sums:
+                sums[lang] += part
+            else:
+                sums[lang] = part
 
     def emit():
         for lang, counts in sums.items():
@@ -117,16 +133,19 @@ def _count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(gram), pa.string()), pa.array(gram.astype(np.int32)), pa.array(counts[gram])], names=["lang", "gram", "n"])
         sums.clear()
 
+    size = 0
     for rows, data, bounds in text_groups(batches, limit=SLAB):
         key, counts = char_grams(data, bounds)
         langs = rows.column(1).to_pylist()
         which = {lang: k for k, lang in enumerate(dict.fromkeys(langs))}
         own = np.repeat(np.array([which[x] for x in langs]), counts)
         for lang, k in which.items():
-            if lang not in sums and len(sums) >= 16:
-                yield from emit()
-            part = np.bincount(key[own == k], minlength=GRAMS)
-            sums[lang] = sums[lang] + part if lang in sums else part
+            held.setdefault(lang, []).append(key.take(np.flatnonzero(own == k)))
+        size += len(key)
+        if size >= HELD:
+            yield from add()
+            size = 0
+    yield from add()
     yield from emit()
 
 
@@ -211,11 +230,18 @@ class Scorer:
 _SCORERS: dict[str, Scorer] = {}
 
 
+def scorer(key: str, models, known: list) -> Scorer:
+    """One scorer is kept in each worker. A task's own function could not keep it: its globals are copies, made anew for each task."""
+    if key not in _SCORERS:
+        _SCORERS.clear()
+        _SCORERS[key] = Scorer(models.value, known)
+    return _SCORERS[key]
+
+
 def base_counts(data: np.ndarray, bounds: np.ndarray) -> dict[str, np.ndarray]:
     """The base figures of each text of a group."""
     starts, ends, counts = word_bounds(data, bounds)
-    cuts = np.concatenate([[0], np.cumsum(~SPACE[data] & ((data & 0xC0) != 0x80))])
-    symbols = np.concatenate([[0], np.cumsum(SYMBOLS[data])])
+    inside_bounds = lambda flags: np.diff(np.searchsorted(np.flatnonzero(flags), bounds))
     index, text, _ = grams_inside(counts, WINDOW)
     grams = gram_hashes(word_hashes(data, starts, ends), WINDOW)[index] + mix(text.astype(np.uint64))
     order = np.argsort(grams)
@@ -235,7 +261,7 @@ def base_counts(data: np.ndarray, bounds: np.ndarray) -> dict[str, np.ndarray]:
             solid = [x for x in lines if x.split(None, 1)]
             dup[i] = len(solid) - len(set(solid))
     return {
-        "n_words": counts.astype(np.int64), "word_chars": cuts[bounds[1:]] - cuts[bounds[:-1]], "n_symbols": symbols[bounds[1:]] - symbols[bounds[:-1]],
+        "n_words": counts.astype(np.int64), "word_chars": inside_bounds(~SPACE[data] & ((data & 0xC0) != 0x80)), "n_symbols": inside_bounds(SYMBOLS[data]),
         "n_dup_lines": dup, "n_repeat_words": repeat,
     }
 
@@ -244,17 +270,14 @@ def _score_rows(key: str, models, known: list, schema: pa.Schema):
     """The base figures, and the least mean log-perplexity among the known languages with its language."""
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _SCORERS:
-            _SCORERS.clear()
-            _SCORERS[key] = Scorer(models.value, known)
-        scorer = _SCORERS[key]
+        fits = scorer(key, models, known)
         for rows, data, bounds in text_groups(batches, limit=SLAB):
             figures = base_counts(data, bounds)
             grams, counts = char_grams(data, bounds)
             some = counts > 0
             own = rows.column(1).to_pylist()
             mean, fit = np.where(some, np.inf, 0.0), own if not known else [None] * len(own)
-            for lang, total in zip(known, scorer.sums(grams, counts[some]) if some.any() else []):
+            for lang, total in zip(known, fits.sums(grams, counts[some]) if some.any() else []):
                 part = np.zeros(len(counts))
                 part[some] = -total / counts[some]
                 better = some & (part < mean)

@@ -5,7 +5,9 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from quillmesh.llm import decontaminate as D
@@ -184,6 +186,39 @@ def test_quality_base_rules(spark):
     assert Q.quality_rules(empty(spark)).count() == 0
 
 
+class _Held:
+    def __init__(self, value):
+        self.value = value
+
+
+def test_scorer_is_kept_between_tasks(monkeypatch):
+    data = np.frombuffer(b"a few words of a text", np.uint8)
+    gram, n = np.unique(Q.char_grams(data, np.array([0, len(data)]))[0], return_counts=True)
+    schema = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("key", pa.int64()), *[(c, pa.int64()) for c in Q.COLUMNS], ("log_perplexity", pa.float64()), ("fit", pa.string())])
+    sent = cloudpickle.dumps(Q._score_rows("some run", _Held({"en": Q.kneser_ney(gram, n)}), ["en"], schema))
+    made, build = [], Q.Scorer.__init__
+    monkeypatch.setattr(Q.Scorer, "__init__", lambda self, *a: (made.append(1), build(self, *a))[1])
+    rows = pa.RecordBatch.from_arrays([pa.array([1]), pa.array(["en"]), pa.array(["a few words"]), pa.array([5])], names=["doc_id", "lang", "text", "key"])
+    got = [next(cloudpickle.loads(sent)(iter([rows]))) for _ in range(3)]  # as three tasks of one worker
+    assert len(made) == 1 and got[0].equals(got[2]) and got[0].column(3).to_pylist() == [3]
+
+
+def test_char_counts_held(monkeypatch):
+    rows = [("x" * k + " ñ#", "abc"[k % 3] if k % 7 else None) for k in range(200)]
+    batch = pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows]) for k in (0, 1)], names=["text", "lang"])
+
+    def counts():
+        out = Counter()
+        for b in Q._count_rows(iter([batch.slice(k, 20) for k in range(0, 200, 20)])):
+            for lang, gram, n in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                out[lang, gram] += n
+        return out
+
+    every = counts()
+    monkeypatch.setattr(Q, "HELD", 300)
+    assert counts() == every and sum(every.values()) == sum(len(t) for t, _ in rows)
+
+
 def test_kneser_ney_sums_to_one_and_ranks_noise():
     rng = np.random.default_rng(0)
     text = " ".join(rng.choice(["the", "cat", "sat", "mat", "on"], 4000)).encode()
