@@ -40,6 +40,8 @@ U = np.uint64
 #: Characters of the corpus a range; a range is merged in one task.
 RANGE_CHARS = 1 << 25
 LEAST_RANGES = 16
+#: A range is merged in so many parts, one after the other; pairs whose hashes one step makes at a time.
+PARTS, KEYS_AT_ONCE = 4, 1 << 17
 STATS = ["<u4"] * 4 + ["<u8", "<u4"]  # of a word: pairs with 1, 2, and more uses, kinds before it, uses, texts
 BLOCK = "kind int, range int, block binary, c1 long, c2 long, c3 long, c4 long, total long"
 PAIRS, WORDS, FIGURES = 0, 1, 2
@@ -78,9 +80,15 @@ def changes(keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
 
 
-def pair_keys(before: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """A hash of each pair of word hashes."""
-    return mix(before * U(0x9E3779B97F4A7C15) + word) >> U(64 - PAIR_BITS)
+def pair_keys(before: np.ndarray, word: np.ndarray, words: np.ndarray | None = None) -> np.ndarray:
+    """A hash of each pair of word hashes, or of indices into words."""
+    out = np.empty(len(before), U)
+    for k in range(0, len(out), KEYS_AT_ONCE):
+        a, b = before[k : k + KEYS_AT_ONCE], word[k : k + KEYS_AT_ONCE]
+        if words is not None:
+            a, b = words[a], words[b]
+        out[k : k + KEYS_AT_ONCE] = mix(a * U(0x9E3779B97F4A7C15) + b) >> U(64 - PAIR_BITS)
+    return out
 
 
 def pair_ranges(keys: np.ndarray, ranges: int) -> np.ndarray:
@@ -159,10 +167,13 @@ def _count_map(ranges: int, low: int, high: int):
                 word, _, own = group.word_uses()
                 at, none = changes(word), np.zeros(len(group.words), np.int64)
                 rows += _word_rows(group.words, [none] * 4 + [np.add.reduceat(own.astype(np.int64), at), np.diff(np.append(at, len(word)))], ranges)
-            before, word, _, own = group.pair_uses()
+                del word, own, at, none
+            known, (before, word, _, own) = group.words, group.pair_uses()
+            del group
             at = changes(before << U(32) | word)
             uses, texts = np.add.reduceat(own.astype(np.int64), at), np.diff(np.append(at, len(word)))
-            before, word = group.words[before[at]], group.words[word[at]]
+            before, word = known[before[at]], known[word[at]]
+            del own, at
             own_range = pair_ranges(pair_keys(before, word), ranges)
             order = np.flatnonzero((own_range >= low) & (own_range < high))
             order = order[np.argsort(own_range[order].astype(np.uint16 if ranges < 1 << 16 else np.int64), kind="stable")]  # by range, then by the word before
@@ -190,40 +201,65 @@ def _merge_words(words: list[np.ndarray], stats: list[list[np.ndarray]]) -> tupl
     return keys[at], [np.add.reduceat(np.concatenate(s)[order].astype(np.int64), at) if len(at) else np.zeros(0, np.int64) for s in stats]
 
 
+def _split(columns: list[np.ndarray], parts: int) -> list[list[np.ndarray] | None]:
+    """Pairs (word before, word, ...) dealt by their hashes to parts, None where there are none; each part has arrays of its own."""
+    own = (pair_keys(*columns[:2]) % U(parts)).astype(np.uint8)
+    order = np.argsort(own, kind="stable")
+    cuts = np.searchsorted(own[order], np.arange(parts + 1))
+    return [[c[order[a:b]] for c in columns] if b > a else None for a, b in zip(cuts, cuts[1:])]
+
+
+def _merge_pairs(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(word before, word, uses, texts) of different pairs, by their hashes."""
+    before, word, uses, texts = columns
+    order = np.argsort(pair_keys(before, word))
+    before, word = before[order], word[order]
+    # by the words too: pairs of one hash stay apart, and no word loses its last pair
+    at = np.flatnonzero(np.concatenate([[True], (before[1:] != before[:-1]) | (word[1:] != word[:-1])]))
+    return before[at], word[at], np.add.reduceat(uses[order].astype(np.int64), at), np.add.reduceat(texts[order].astype(np.int64), at)
+
+
 def _count_reduce(ranges: int):
     """Each range's pairs: those of two texts or more by the range of the word before, and what all say about their words."""
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in _ranges(batches):
-            parts = []
+            parts: list[list] = [[] for _ in range(PARTS)]
             for row in rows:
                 if row["kind"] == PAIRS:
-                    before, word, uses, texts = unpack(row["block"], ["<u8", "<u8", "<u4", "u1"])
-                    parts.append((np.cumsum(before, dtype=U), word, uses, texts))
+                    before, *rest = unpack(row["block"], ["<u8", "<u8", "<u4", "u1"])
+                    for part, some in zip(parts, _split([np.cumsum(before, dtype=U), *rest], PARTS), strict=True):
+                        if some:
+                            part.append(some)
                 else:
                     yield _blocks([(WORDS, row["range"], row["block"])])
-            if not parts:
+            words, figures, shared = None, np.zeros(5, np.int64), []
+            while parts:
+                if not (part := parts.pop()):
+                    continue
+                columns = [np.concatenate(c) for c in zip(*part, strict=True)]
+                part.clear()
+                before, word, uses, texts = _merge_pairs(columns)
+                del columns
+                one = [uses == 1, uses == 2, uses > 2]
+                zero = np.zeros(len(uses), np.uint8)
+                stats = [[x.astype(np.uint8), zero] for x in one] + [[zero, zero + 1], [zero, zero], [zero, zero]]
+                got = _merge_words([before, word], stats)
+                words = got if words is None else _merge_words([words[0], got[0]], [list(s) for s in zip(words[1], got[1], strict=True)])
+                figures += [*[int((uses == k).sum()) for k in range(1, 5)], len(uses)]
+                some = np.flatnonzero(texts > 1)
+                shared.append([before[some], word[some], uses[some].astype(np.uint32)])
+            if words is None:
                 continue
-            before, word, uses, texts = (np.concatenate(c) for c in zip(*parts, strict=True))
-            del parts
-            order = np.argsort(pair_keys(before, word))
-            before, word = before[order], word[order]
-            # by the words too: pairs of one hash stay apart, and no word loses its last pair
-            at = np.flatnonzero(np.concatenate([[True], (before[1:] != before[:-1]) | (word[1:] != word[:-1])]))
-            uses, texts = np.add.reduceat(uses[order].astype(np.int64), at), np.add.reduceat(texts[order].astype(np.int64), at)
-            before, word = before[at], word[at]
-            one = [uses == 1, uses == 2, uses > 2]
-            zero = np.zeros(len(at), np.uint8)
-            stats = [[x.astype(np.uint8), zero] for x in one] + [[zero, zero + 1], [zero, zero], [zero, zero]]
-            out = _word_rows(*_merge_words([before, word], stats), ranges)
-            out.append((FIGURES, 0, b"", *[int((uses == k).sum()) for k in range(1, 5)], len(uses)))
-            shared = np.flatnonzero(texts > 1)
-            shared = shared[np.argsort(before[shared])]
-            cuts = range_cuts(before[shared], ranges)
+            out = _word_rows(*words, ranges)
+            out.append((FIGURES, 0, b"", *figures.tolist()))
+            before, word, uses = (np.concatenate(c) for c in zip(*shared, strict=True))
+            order = np.argsort(before)
+            cuts = range_cuts(before[order], ranges)
             for r, (a, b) in enumerate(zip(cuts, cuts[1:])):
                 if b > a:
-                    some = shared[a:b]
-                    out.append((PAIRS, r, pack(steps(before[some]), word[some], uses[some].astype(np.uint32))))
+                    some = order[a:b]
+                    out.append((PAIRS, r, pack(steps(before[some]), word[some], uses[some])))
             yield _blocks(out)
         give_back()
 
@@ -334,16 +370,20 @@ def _use_map(ranges: int, low: int, high: int):
             rows = [(KEYS, -1, name, len(keys), pack(keys, group.events.astype(np.int64)))]
             word, text, own = group.word_uses()
             cuts = range_cuts(group.words[word], ranges)
-            parts = [(r, steps(group.words[word[a:b]]), text[a:b], own[a:b]) for r, (a, b) in enumerate(zip(cuts, cuts[1:])) if low <= r < high and b > a]
-            before, word, text, own = group.pair_uses()
-            key = pair_keys(group.words[before], group.words[word])
+            ask = lambda r, *cols: (USES, r, name, len(keys), pack(*cols))
+            rows += [ask(r, steps(group.words[word[a:b]]), text[a:b], own[a:b]) for r, (a, b) in enumerate(zip(cuts, cuts[1:])) if low <= r < high and b > a]
+            del word, text, own
+            known, (before, word, text, own) = group.words, group.pair_uses()
+            del group
+            key = pair_keys(before, word, known)
+            del before, word
             own_range = pair_ranges(key, ranges)
             some = np.flatnonzero((own_range >= low) & (own_range < high))
             some = some[np.argsort(key[some])]
             key, text, own, own_range = key[some], text[some], own[some], own_range[some]
             cuts = np.searchsorted(own_range, np.arange(low, high + 1))
-            parts += [(ranges + r, steps(key[a:b]), text[a:b], own[a:b]) for r, a, b in zip(range(low, high), cuts, cuts[1:]) if b > a]
-            yield _asks([*rows, *[(USES, r, name, len(keys), pack(*cols)) for r, *cols in parts]])
+            rows += [ask(ranges + r, steps(key[a:b]), text[a:b], own[a:b]) for r, a, b in zip(range(low, high), cuts, cuts[1:]) if b > a]
+            yield _asks(rows)
 
     return use
 

@@ -2,6 +2,7 @@
 
 import re
 import time
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -308,6 +309,36 @@ def test_word_model_is_the_formula_s(spark, monkeypatch, passes, span):
     assert W.word_perplexity(docs.limit(0), Stage(spark, "word_model"), 0, passes).count() == 0
 
 
+def test_word_model_merges_a_range_in_parts():
+    rng = np.random.default_rng(1)
+    vocab = np.sort(rng.integers(1, 1 << 40, 50_000, dtype=np.uint64))
+    rows, want = [], {}
+    for _ in range(12):
+        both = vocab[rng.zipf(1.2, (2, 20_000)) % len(vocab)]
+        (before, word), uses = np.unique(both, axis=1, return_counts=True)
+        rows.append((W.PAIRS, 3, W.pack(W.steps(before), word, uses.astype(np.uint32), np.minimum(uses, 2).astype(np.uint8))))
+        for pair, n in zip(zip(before.tolist(), word.tolist(), strict=True), uses.tolist(), strict=True):
+            had = want.get(pair, (0, 0))
+            want[pair] = had[0] + n, had[1] + min(n, 2)
+    batch, n_read = [W._blocks(rows)], sum(len(W.unpack(r[2], ["<u8", "<u8", "<u4", "u1"])[0]) for r in rows)
+    tracemalloc.start()
+    got = [row for out in W._count_reduce(16)(iter(batch)) for row in out.to_pylist()]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 70 * n_read
+    pairs = {}
+    for row in got:
+        if row["kind"] == W.PAIRS:
+            before, word, uses = W.unpack(row["block"], ["<u8", "<u8", "<u4"])
+            pairs |= dict(zip(zip(np.cumsum(before, dtype=np.uint64).tolist(), word.tolist(), strict=True), uses.tolist(), strict=True))
+    assert pairs == {p: n for p, (n, texts) in want.items() if texts > 1}
+    figures = [[row[c] for c in ("c1", "c2", "c3", "c4", "total")] for row in got if row["kind"] == W.FIGURES]
+    assert figures == [[*[sum(n == k for n, _ in want.values()) for k in range(1, 5)], len(want)]]
+    words, stats = W._words_of([row["block"] for row in got if row["kind"] == W.WORDS])
+    kinds = Counter(word for _, word in want)
+    assert dict(zip(words.tolist(), stats[3].tolist(), strict=True)) == {x: kinds[x] for x in set(kinds) | {b for b, _ in want}}
+
+
 def test_quality_band_is_the_language_s_own(spark):
     rng = np.random.default_rng(4)
     words = {lang: [f"{''.join(rng.choice(list(letters), 6))}" for _ in range(60)] for lang, letters in (("xa", "abcdefgh"), ("xb", "mnopqrst"))}
