@@ -128,7 +128,8 @@ class Mixture:
         first, last = F.floor(F.col("start") / F.col("block")), F.floor((F.col("end") - 1) / F.col("block"))
         pieces = self.placed.filter("size > 0").select("row", "rank", "start", "end", "block", F.explode(F.sequence(first, last)).alias("at"))
         part = F.least("end", (F.col("at") + 1) * F.col("block")) - F.greatest("start", F.col("at") * F.col("block"))
-        taken = pieces.join(times, ["rank", "at"]).groupBy("row").agg(F.sum(part * F.col("times")).alias("taken"))
+        # few documents of many words are many pieces, which Spark takes for few and would broadcast
+        taken = pieces.join(times.hint("merge"), ["rank", "at"]).groupBy("row").agg(F.sum(part * F.col("times")).alias("taken"))
         self.documents = self.placed.join(taken, "row", "left").select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"), "text_key")
 
 

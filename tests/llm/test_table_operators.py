@@ -201,6 +201,15 @@ def test_pipeline_stages_against_brute_force(spark, tmp_path):
     assert P.run(spark, src).filter(F.col("n_tokens") < 1).count() == 0
 
 
+def test_mixture_does_not_broadcast_pieces(spark):
+    docs = spark.createDataFrame([(i, "w " * 500, "ab"[i % 2]) for i in range(40)], "doc_id long, text string, source string")
+    mixed = Mixture(docs).documents
+    assert abs(mixed.agg(F.sum("taken")).first()[0] - 30_000) < 30
+    # 20,000 pieces of 40 rows, which look small by their bytes
+    plan = mixed._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"SortMergeJoin \[rank#\d+L?, at#\d+L?\]", plan) and not re.search(r"BroadcastHashJoin \[rank#\d+L?, at#", plan)
+
+
 def test_pipeline_keeps_one_row_of_near_copies(spark):
     import corpus_pipeline as P
 
